@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .lm_score import lm_score
+from .near_dup import near_dup
 from .substring_dedup import substring_dedup
 
 
@@ -16,11 +17,15 @@ def op1_substring_dedup(spark, sf_dir):
     return substring_dedup(_t(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_near_dup(spark, sf_dir):
+    return near_dup(_t(spark, sf_dir, "documents"), shingle=3, percent=85).drop("n_links")
+
+
 def op5_lm_scoring(spark, sf_dir):
     return lm_score(_t(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_near_dup, op5_lm_scoring)}
 
 SQL = {
     "op1_substring_dedup": r"""
@@ -32,4 +37,13 @@ gone AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM hits GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
   sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)""",
+    "op4_near_dup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS k FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y USING (k) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least_ AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN least_ USING (doc_id)""",
 }
