@@ -7,12 +7,12 @@ Equal shingle sets form one class, found by a 128-bit digest before anything els
 cost one row each. The classes' bands form buckets; each bucket's least class is its centre
 and the other classes are compared to the centre only (a star), on their full sets.
 
-Links between two members that a star doesn't show are found in further rounds, by the
-triangle inequality of the Jaccard distance: a class less alike to the centre than
-2 * threshold - 1 can't be linked with any class that the centre is linked with. So the next
-round's bucket holds those not linked with the centre, and also those linked where some class
-lies between the two limits; the centre itself leaves. Buckets whose classes are in one
-component already are done. Rounds go on until no bucket is left; no bucket is capped.
+Links that the stars don't show are found in further rounds. A bucket whose classes are all in
+one component is done. In any other, each pair from two components has an end outside the
+bucket's most frequent component; those outside ends become further centres, 16 in the second
+round and 16 times as many in each later one, are compared to the classes of other components
+and leave the bucket. Rounds go on until no bucket is left: no bucket is capped, and the pairs
+of a round are at most centres times members, never those within a component.
 
 Defined cases: null and empty texts have no shingles and link with nothing; with fewer words
 than a shingle the whole sequence is the only one; a null id is kept as null, and a group of
@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -136,31 +136,29 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """One row per document: doc_id, n_shingles, component_id, kept, n_links (links shown to other classes)."""
     sig = scratch(signatures(docs, id_col, text_col, shingle, bands, rows), "sig")
     classes = scratch(sig.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("bands").alias("bands")), "cls")
-    bucket = classes.select("cls", "n", F.explode("bands").alias("h"))
-    near = max(0, 2 * percent - 100)
-    done, rest, roots = None, bucket, None
+    rest = classes.select("cls", "n", F.explode("bands").alias("h"), F.col("cls").alias("root"))
+    centre = rest.groupBy("h").agg(F.min(F.struct("cls", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("h", F.col("c.cls").alias("c"), F.col("c.n").alias("nc"), F.col("c.cls").alias("rc"))
+    done, roots, centres = None, None, 16
     while True:
-        centre = rest.groupBy("h").agg(F.min(F.struct("cls", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("h", F.col("c.cls").alias("c"), F.col("c.n").alias("nc"))
-        star = rest.join(centre, "h").where("cls <> c").select("h", F.col("cls").alias("m"), "n", "c", "nc")
-        star = scratch(star, "star")
-        pairs = star.where(F.least("n", "nc") * 100 >= F.greatest("n", "nc") * near).select("m", "c").distinct()
+        pairs = rest.join(centre, "h").where(f"cls <> c and root <> rc and least(n, nc) * 100 >= greatest(n, nc) * {percent}")
+        pairs = pairs.select(F.greatest("cls", "c").alias("m"), F.least("cls", "c").alias("c")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["m", "c"], "left_anti")
-        new = scratch(_verified(pairs, classes, docs, id_col, text_col, shingle), "ver")
-        done = new if done is None else done.unionByName(new)
-        links = done.where(F.col("common") * 100 >= F.col("total") * percent)
-        roots = components(links.select(F.col("m").alias("a"), F.col("c").alias("b")))
-        j = star.join(done, ["m", "c"], "left")
-        linked = F.coalesce(F.col("common") * 100 >= F.col("total") * percent, F.lit(False))
-        between = F.coalesce(F.col("common") * 100 >= F.col("total") * near, F.lit(False)) & ~linked
-        j = j.select("h", "m", "n", linked.alias("linked"), between.alias("between"))
-        open_ = j.groupBy("h").agg(F.max("between").alias("fringe"), F.sum(F.when(~F.col("linked"), 1).otherwise(0)).alias("unlinked"), F.count("*").alias("k")).where("unlinked > 0 and k > 1")
-        left = j.join(open_, "h").where("fringe or not linked").select("h", F.col("m").alias("cls"), "n")
-        part = left.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        mixed = part.groupBy("h").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("h")
-        rest = scratch(left.join(mixed, "h", "left_semi"), "rest")
+        new = scratch(_verified(scratch(pairs, "pairs"), classes, docs, id_col, text_col, shingle), "ver")
+        links = new.where(F.col("common") * 100 >= F.col("total") * percent).select(F.col("m").alias("a"), F.col("c").alias("b"))
+        roots = components(links if roots is None else links.union(roots.select("node", "root")))
+        gone, done = centre.select("h", F.col("c").alias("cls")), new if done is None else done.unionByName(new)
+        part = rest.drop("root").join(gone.select("h").distinct(), "h", "left_semi").join(gone, ["h", "cls"], "left_anti")
+        part = part.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        by_root = part.groupBy("h", "root").agg(F.count("*").alias("k"))
+        most = by_root.groupBy("h").agg(F.max(F.struct("k", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("h", F.col("x.root").alias("most"))
+        rest = scratch(part.join(most, "h"), "rest")
         if rest.isEmpty():
             break
+        nth = F.row_number().over(Window.partitionBy("h").orderBy("cls"))
+        centre = rest.where("root <> most").withColumn("nth", nth).where(F.col("nth") <= centres).select("h", F.col("cls").alias("c"), F.col("n").alias("nc"), F.col("root").alias("rc"))
+        rest, centres = rest.drop("most"), centres * 16
+    links = done.where(F.col("common") * 100 >= F.col("total") * percent)
     ends = links.select(F.col("m").alias("cls")).union(links.select(F.col("c").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
     known = classes.select("cls", "min_doc").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = known.groupBy("root").agg(F.min("min_doc").alias("component_id"))
