@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .decontaminate import MASKS, decontaminate
+from .fingerprint import edited_fingerprints
+from .license_scan import K, license_scan, template_rows
 from .lm_score import lm_score
 from .near_dup import near_dup
 from .substring_dedup import substring_dedup
@@ -17,6 +20,14 @@ def op1_substring_dedup(spark, sf_dir):
     return substring_dedup(_t(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_license_scan(spark, sf_dir):
+    return license_scan(_t(spark, sf_dir, "documents")).drop("spans")
+
+
+def op3_fingerprints(spark, sf_dir):
+    return edited_fingerprints(_t(spark, sf_dir, "documents")).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op4_near_dup(spark, sf_dir):
     return near_dup(_t(spark, sf_dir, "documents"), shingle=3, percent=85).drop("n_links")
 
@@ -25,9 +36,68 @@ def op5_lm_scoring(spark, sf_dir):
     return lm_score(_t(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_near_dup, op5_lm_scoring)}
+def op10_decontamination(spark, sf_dir):
+    found = decontaminate(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_items", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"), "agree", "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_fingerprints, op4_near_dup, op5_lm_scoring, op10_decontamination)}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _license_sql() -> str:
+    known = ", ".join(f"({tid}, '{label}', {base}, {grams}, {t}, '{gram}')" for tid, label, base, grams, t, gram in template_rows())
+    return f"""
+WITH known(tid, label, base, grams, t, gram) AS (VALUES {known}),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + {K - 1}], ' ') AS gram FROM d, unnest(range(1, len(w) - {K - 2})) AS r(i)),
+votes AS (SELECT doc_id, tid, label, base, grams, pos - t AS diagonal, list(t) AS ts, min(pos) AS start FROM g JOIN known USING (gram) GROUP BY ALL),
+steps AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) > 3, true) THEN 1 ELSE 0 END AS new FROM votes),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) AS span FROM steps),
+spanned AS (SELECT doc_id, tid, label, base, grams, span, flatten(list(ts)) AS ts, min(start) AS start FROM numbered GROUP BY ALL),
+spans AS (SELECT *, len(list_distinct(ts)) / grams AS share FROM spanned),
+good AS (SELECT * FROM spans WHERE CASE WHEN base THEN share = 1 ELSE share >= 0.6 END),
+found AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ','), '') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, round(max(share), 6) AS score FROM good GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN found USING (doc_id)"""
+
+
+def _fingerprint_sql() -> str:
+    return r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER o, first_value(coalesce(text, '')) OVER o) AS nxt FROM documents WINDOW o AS (ORDER BY doc_id DESC)),
+e AS (SELECT doc_id, length(text) AS n, text, nxt, left(text, length(text) - length(text) // 3) || left(nxt, length(text) // 3) AS edited FROM d),
+x AS (SELECT doc_id, n, sha256(edited) AS edited_sha256, unnest([struct_pack(k := 't', v := text), struct_pack(k := 'e', v := edited), struct_pack(k := 'n', v := nxt)]) AS s FROM e),
+y AS (SELECT doc_id, n, edited_sha256, s.k AS k, list_transform(string_split(s.v, E'\n\n'), lambda a: list_transform(string_split(a, E'\n'), lambda p: list_transform(regexp_extract_all(p, '(?s).{1,64}'), lambda q: md5(q)))) AS t FROM x),
+z AS (SELECT doc_id, n, edited_sha256, k, sha256(array_to_string(list_transform(t, lambda a: md5(array_to_string(list_transform(a, lambda p: md5(coalesce(array_to_string(p, ''), ''))), ''))), '')) AS root,
+  array_to_string(list_transform(t, lambda a: array_to_string(list_transform(a, lambda p: coalesce(array_to_string(list_transform(p, lambda q: left(q, 8)), ''), '')), ',')), ';') AS body, list_distinct(list_transform(flatten(flatten(t)), lambda q: left(q, 8))) AS leaves FROM y),
+p AS (SELECT doc_id, any_value(n) AS n, any_value(edited_sha256) AS edited_sha256, any_value(root) FILTER (k = 't') AS rt, any_value(root) FILTER (k = 'e') AS re, any_value(root) FILTER (k = 'n') AS rn,
+  any_value(body) FILTER (k = 't') AS bt, any_value(body) FILTER (k = 'e') AS be, any_value(leaves) FILTER (k = 't') AS lt, any_value(leaves) FILTER (k = 'e') AS le, any_value(leaves) FILTER (k = 'n') AS ln FROM z GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_chars, edited_sha256, rt || '/' || bt AS fingerprint, re || '/' || be AS edited_fingerprint,
+  (CASE WHEN rt = re THEN 1 WHEN len(lt) + len(le) = 0 THEN 0 ELSE round(2 * len(list_intersect(lt, le)) / (len(lt) + len(le)), 6) END)::DOUBLE AS near_edited,
+  (CASE WHEN rt = rn THEN 1 WHEN len(lt) + len(ln) = 0 THEN 0 ELSE round(2 * len(list_intersect(lt, ln)) / (len(lt) + len(ln)), 6) END)::DOUBLE AS near_next FROM p"""
+
+
+def _decontamination_sql() -> str:
+    span = [len(m) for m in MASKS]
+    seed = lambda m: "||' '||".join(f"w[i + {j}]" for j, c in enumerate(m) if c == "1")
+    seeds = lambda src, key: " UNION ALL ".join(f"SELECT {key}, {n} AS mask, i AS pos, {seed(m)} AS seed FROM {src}, unnest(range(1, len(w) - {len(m)} + 2)) AS r(i)" for n, m in enumerate(MASKS))
+    return f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ds AS ({seeds("d", "doc_id")}), bs AS ({seeds("b", "item_id")}),
+a AS (SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS start FROM ds JOIN bs USING (mask, seed)),
+s AS (SELECT doc_id, item_id, start, least(len(b.w), 13) AS size, list_transform(range(1, len(b.w) + 1), lambda i: CASE WHEN start + i >= 1 AND start + i <= len(d.w) AND d.w[greatest(start + i, 1)] = b.w[i] THEN 1 ELSE 0 END) AS same FROM a JOIN d USING (doc_id) JOIN b USING (item_id) WHERE len(b.w) >= {min(span)}),
+v AS (SELECT doc_id, item_id, round(list_max(list_transform(range(1, len(same) - size + 2), lambda i: list_sum(same[i:i + size - 1]))) / size, 6) AS agree FROM s),
+f AS (SELECT doc_id, count(DISTINCT item_id) AS n, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items, max(agree) AS agree FROM v WHERE agree >= 0.8 GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_items, coalesce(items, '') AS items, coalesce(agree, 0)::DOUBLE AS agree, n IS NOT NULL AS contaminated FROM d LEFT JOIN f USING (doc_id)"""
+
 
 SQL = {
+    "op2_license_scan": _license_sql(),
+    "op3_fingerprints": _fingerprint_sql(),
+    "op10_decontamination": _decontamination_sql(),
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM d, unnest(range(1, len(w) - 11)) AS r(i)),
