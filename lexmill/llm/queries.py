@@ -6,11 +6,16 @@ from pyspark.sql import functions as F
 
 from .decontaminate import MASKS, decontaminate
 from .fingerprint import edited_fingerprints
+from .language_id import fit, held_out, identify
 from .license_scan import K, license_scan, template_rows
 from .lm_score import lm_score
+from .mixing import TARGETS, label_domain, mix
 from .near_dup import near_dup
+from .pii import find, rendered
 from .substring_dedup import substring_dedup
 
+from .token_counts import token_counts
+
 
 def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,12 +41,33 @@ def op5_lm_scoring(spark, sf_dir):
     return lm_score(_t(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op6_token_counts(spark, sf_dir):
+    return token_counts(_t(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
+def op7_pii(spark, sf_dir):
+    found = find(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("d.doc_id", *(count(k).alias(f"n_{n}") for k, n in enumerate(("email", "ip", "card", "phone"))), F.sha2(rendered(F.col("base")), 256).alias("base_sha256"), rendered(F.col("spans")).alias("spans"))
+
+
+def op8_language_id(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out()), "text", "lang", "doc_id")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_mixing(spark, sf_dir):
+    found = mix(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), label_domain(), TARGETS)
+    return found.select("doc_id", "n_tokens", F.transform("p", lambda x: F.round(x, 6)).alias("posterior"), F.round("rate", 6).alias("rate"))
+
+
 def op10_decontamination(spark, sf_dir):
     found = decontaminate(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_items", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"), "agree", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_fingerprints, op4_near_dup, op5_lm_scoring, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_fingerprints, op4_near_dup, op5_lm_scoring, op6_token_counts, op7_pii, op8_language_id, op9_mixing, op10_decontamination)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
