@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
     salt = mix(np.arange(bands, dtype=U) + U(5))
 
     def kernel(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             sets, cls, out = shingle_sets(batch.column(1), shingle), [], []
             for s in sets:
                 if len(s):
@@ -120,8 +120,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
 
     def kernel(batches):
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                b, out = batch.slice(at, 512), []
+            for at in range(0, batch.num_rows, 256):
+                b, out = batch.slice(at, 256), []
                 ms, cs = b.column(0).to_pylist(), b.column(1).to_pylist()
                 for m, c, x, y in zip(ms, cs, shingle_sets(b.column(2), shingle), shingle_sets(b.column(3), shingle)):
                     if digest(x) == m and digest(y) == c:  # else another text of a repeated id
