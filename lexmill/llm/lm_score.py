@@ -27,21 +27,21 @@ from .substring_dedup import _rows
 _KEEP = ~U(15)
 
 
-def _grams(w: Words, order: int):
-    """By length: (starts, distinct hashes, index of each start's hash, counts in the chunk)."""
-    out = []
-    for k in range(1, order + 1):
-        at = w.valid(k)
-        u, i, c = np.unique(w.windows(k)[at] & _KEEP if len(at) else np.zeros(0, U), return_inverse=True, return_counts=True)
-        out.append((at, u, i, c))
-    return out
+def _grams(w: Words, k: int):
+    """Starts and hashes of the n-grams of length k."""
+    at = w.valid(k)
+    return at, w.windows(k)[at] & _KEEP if len(at) else np.zeros(0, U)
 
 
 def _own(w: Words, at, i):
     """For each n-gram place: how often its n-gram occurs in that document."""
     key = w.doc()[at].astype(np.int64) << 40 | i
-    _, inverse, c = np.unique(key, return_inverse=True, return_counts=True)
-    return c[inverse]
+    order = np.argsort(key)
+    new = np.flatnonzero(np.diff(key[order], prepend=-1))
+    size = np.diff(new, append=len(key))
+    out = np.empty(len(key), np.int32)
+    out[order] = np.repeat(size, size)
+    return out
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, leave_one_out: bool = True, chunks: int | None = None) -> DataFrame:
@@ -51,7 +51,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", or
 
     def count(t: pa.Table) -> pa.Table:
         w, chunk, rows = Words(t["text"], SPACES, True), t["chunk"][0].as_py(), []
-        for k, (_, u, _, c) in enumerate(_grams(w, order)):
+        for k in range(order):
+            u, c = np.unique(_grams(w, k + 1)[1], return_counts=True)
             cut = block_ends(u, n)
             rows += [(chunk, 2 * k + j, b, planes(x[cut[b] : cut[b + 1]], not j)) for b in range(n) if cut[b] < cut[b + 1] for j, x in ((0, u), (1, c.astype(np.int64)))]
         return _rows([*rows, (chunk, -1, 0, planes(np.array([len(w.hash)])))])
@@ -77,18 +78,23 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", or
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())])
         if not len(docs):
             return schema.empty_table()
-        w, counts, total = Words(docs["text"], SPACES, True), [], 0
-        grams = _grams(w, order)
-        cuts, totals = [block_ends(g[1], n) for g in grams], [np.zeros(len(g[1]), np.int64) for g in grams]
+        w, counts, total, got = Words(docs["text"], SPACES, True), [], 0, {}
         for k, b, d in zip(*(answers[x].to_pylist() for x in ("kind", "block", "data"))):
             if k == -1:
                 total = int(unplanes(d, np.int64)[0])
             else:
-                totals[k][cuts[k][b] : cuts[k][b + 1]] = unplanes(d, np.int64)
-        for (at, _, i, _), c in zip(grams, totals):
+                got[k, b] = d
+        for k in range(order):  # one length at a time bounds the memory
+            at, h = _grams(w, k + 1)
+            u, i = np.unique(h, return_inverse=True)
+            cut, totals = block_ends(u, n), np.zeros(len(u), np.int64)
+            for b in range(n):
+                if (k, b) in got:
+                    totals[cut[b] : cut[b + 1]] = unplanes(got[k, b], np.int64)
             full = np.zeros(len(w.hash) + 1, np.int64)
-            full[at] = c[i] - (_own(w, at, i) if leave_one_out else 0)
+            full[at] = totals[i] - (_own(w, at, i) if leave_one_out else 0)
             counts.append(full)
+            del at, h, u, i, totals
         m = len(w.hash)
         own = np.repeat(w.n, w.n) if leave_one_out else 0
         p = np.maximum(counts[0][:m], 0.5 if leave_one_out else 0) / np.maximum(total - own, 1)
