@@ -94,9 +94,10 @@ _SPAN = "array<struct<kind:int,start:int,end:int>>"
 _EDGE = "array<struct<pattern:string,instance:string,start:int,end:int,seed:boolean>>"
 
 
-def _searched(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` as struct d, with row number, base spans and graph edges."""
-    wide = docs.select(F.struct(*(name(c) for c in docs.columns)).alias("d"), name(text_col).cast("string").alias("t"), F.monotonically_increasing_id().alias("row"))
+def _searched(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of ``docs`` as struct d, with row number, base spans and graph edges."""
+    kept = docs.select(*map(name, keep)).schema.simpleString()
+    wide = docs.select(F.struct(*map(name, keep)).alias("d"), name(text_col).cast("string").alias("t"), F.monotonically_increasing_id().alias("row"))
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     edge = pa.list_(pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_())]))
 
@@ -110,7 +111,7 @@ def _searched(docs: DataFrame, text_col: str) -> DataFrame:
                     graph.append([dict(zip(("pattern", "instance", "start", "end", "seed"), x)) for x in edges(t or "", base)])
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(spans, span), pa.array(graph, edge)], names=["d", "row", "base", "edges"])
 
-    return wide.mapInArrow(kernel, f"d {docs.schema.simpleString()}, row long, base {_SPAN}, edges {_EDGE}")
+    return wide.mapInArrow(kernel, f"d {kept}, row long, base {_SPAN}, edges {_EDGE}")
 
 
 def _reliable(graph: DataFrame, rounds: int, reliable: float, support: int) -> DataFrame:
@@ -126,9 +127,9 @@ def _reliable(graph: DataFrame, rounds: int, reliable: float, support: int) -> D
     return e.where(f"not seed and k >= {support} and p >= {reliable}").select("pattern", "instance")
 
 
-def find(docs: DataFrame, text_col: str = "text", rounds: int = 3, reliable: float = 0.7, support: int = 5) -> DataFrame:
-    """``d`` (the row of ``docs``) with ``base`` and ``spans``: arrays of (kind number, start, end), sorted."""
-    s = scratch(_searched(docs, text_col), "pii")
+def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, rounds: int = 3, reliable: float = 0.7, support: int = 5) -> DataFrame:
+    """``d`` (columns ``keep`` of ``docs``, or all) with ``base`` and ``spans``: arrays of (kind number, start, end), sorted."""
+    s = scratch(_searched(docs, text_col, docs.columns if keep is None else keep), "pii")
     each = s.select("row", F.explode("edges").alias("e")).select("row", "e.*").where("pattern <> ''")
     good = _reliable(each, rounds, reliable, support)
     new = each.where("not seed").join(good, ["pattern", "instance"]).groupBy("row").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("new"))

@@ -46,7 +46,7 @@ def op6_token_counts(spark, sf_dir):
 
 
 def op7_pii(spark, sf_dir):
-    found = find(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find(_t(spark, sf_dir, "documents"), keep=["doc_id"])
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select("d.doc_id", *(count(k).alias(f"n_{n}") for k, n in enumerate(("email", "ip", "card", "phone"))), F.sha2(rendered(F.col("base")), 256).alias("base_sha256"), rendered(F.col("spans")).alias("spans"))
 
