@@ -31,7 +31,7 @@ from .kernels import text_buffer
 from .scratch import scratch
 
 _FORM = 6
-_KIND = np.zeros(256, np.int64)
+_KIND = np.zeros(256, np.uint8)
 _KIND[[*range(48, 58)]] = 1
 _KIND[[10]] = 2
 _KIND[[c for c in range(33, 127) if not chr(c).isalnum()]] = 3
@@ -86,7 +86,7 @@ def posteriors(docs: DataFrame, model, domains: list[str], id_col: str, text_col
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("p", pa.list_(pa.float64()))])
 
     def kernel(batches):
-        for b in batches:
+        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             n, means = mean_weights(b.column(1), model[1] if model else np.zeros((DIM, 1), np.float32), word_bins)
             p = np.full((len(n), len(domains)), 1 / len(domains))
             if model:
