@@ -9,7 +9,7 @@ from functools import lru_cache
 
 from .normalize import normalize
 from .stem import stemmer
-from .words import CLASSES, LETTER, NONE, scan
+from .words import CLASSES, LETTER, NONE, class_of, flat, scan
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,7 @@ class Filter:
 
     spec: TokenSpec
     trie: dict = field(default_factory=dict)
+    memo: dict = field(default_factory=dict)
 
     def __post_init__(self):
         s = self.spec
@@ -103,6 +104,29 @@ class Filter:
                 best = node[None], k - at
         return best
 
+    def types(self, text: str) -> list[str]:
+        """The kept types of a text in order; without combine rules one look-up per word."""
+        if self.trie:
+            return [x for _, _, x, _ in self.tokens(text) if x is not None]
+        memo, out = self.memo, []
+        for word in flat(text):
+            try:
+                type_ = memo[word]
+            except KeyError:
+                if len(memo) > 1 << 20:
+                    memo.clear()
+                type_ = memo[word] = self.final(word)
+            if type_ is not None:
+                out.append(type_)
+        return out
+
+    def final(self, word: str) -> str | None:
+        """What becomes of a single word; None if it is dropped."""
+        type_ = None if class_of(word) == NONE else self.type(word)
+        if type_ is not None and self.stem:
+            type_ = self.stemmed(type_)
+        return None if type_ is None or self.drops(type_) else re.sub(r"\s+", self.spec.connector, type_)
+
     def tokens(self, text: str) -> Iterator[tuple[int, int, str | None, str]]:
         """(start, end, type, class) of every word; the type is None for white space and dropped words."""
         words = list(scan(text))

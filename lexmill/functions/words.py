@@ -60,3 +60,21 @@ def scan(text: str) -> Iterator[tuple[int, int, str]]:
             first = text[m.start()]
             kind = kind_of(first) if first != "_" or group == "other" else next((kind_of(c) for c in m[0] if c != "_"), PUNCT)
         yield m.start(), m.end(), kind
+
+
+#: The same words without white space and without classes, for counting: a plain findall. ASCII
+#: texts take the standard module, which is faster and needs no marks or ideographs.
+_ASCII_WORD = r"(?:_*(?:[A-Za-z]+(?:[.:'][A-Za-z]+)*|[0-9]+(?:[.,;'][0-9]+)*))+_*"
+_ASCII = re.compile(rf"(?:https?|ftp)://[^\s<>\"'(){{}}\[\]]*[^\s<>\"'(){{}}\[\].,;:!?]|(?<!\w)[#@]\w+|{_ASCII_WORD}|[^\s\x00-\x1f\x7f]", re.ASCII)
+_FLAT = (_regex or re).compile(rf"{_URL}|(?<![\w]){_TAG}|{_WORD}|{_IDEO}{_MARK}*|(?![\s\x00-\x1f\x7f-\x9f​﻿]).{_MARK}*", re.DOTALL if not _regex else _regex.DOTALL)
+
+
+def flat(text: str) -> list[str]:
+    """The words of ``scan`` whose class isn't NONE by way of their pattern, as strings."""
+    return (_ASCII if text.isascii() else _FLAT).findall(text)
+
+
+def class_of(word: str) -> str:
+    """Class of a single word as ``scan`` gives it."""
+    first = next(scan(word), (0, 0, NONE))
+    return first[2] if first[1] == len(word) else kind_of(word[0])
