@@ -35,6 +35,12 @@ def types_of(text: Column, spec: TokenSpec = TokenSpec()) -> Column:
     return kernel.asNondeterministic()(text)
 
 
+def _lists(item: pa.DataType, columns, ends: list[int], missing: list[bool]) -> pa.Array:
+    """A list array of structs from flat columns; missing rows are NULL."""
+    rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, item)], fields=list(item))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, mask=pa.array(missing))
+
+
 _TOKEN = "array<struct<start:int,size:int,token:string,type:string,kind:string>>"
 
 
@@ -44,9 +50,16 @@ def tokens_of(text: Column, spec: TokenSpec = TokenSpec(), keep_dropped: bool =
 
     @F.arrow_udf(_TOKEN)
     def kernel(texts: pa.Array) -> pa.Array:
-        f = filter_of(spec)
-        rows = [None if t is None else [{"start": a, "size": b - a, "token": t[a:b], "type": x, "kind": k} for a, b, x, k in f.tokens(t) if keep_dropped or x is not None] for t in texts.to_pylist()]
-        return pa.array(rows, pa.list_(item))
+        f, flat = filter_of(spec), ([], [], [], [], [])
+        ends, missing = [0], []
+        for t in texts.to_pylist():
+            missing.append(t is None)
+            for a, b, x, k in f.tokens(t) if t else ():
+                if keep_dropped or x is not None:
+                    for column, v in zip(flat, (a, b - a, t[a:b], x, k)):
+                        column.append(v)
+            ends.append(len(flat[0]))
+        return _lists(item, flat, ends, missing)
 
     return kernel.asNondeterministic()(text)
 
