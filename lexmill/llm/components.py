@@ -9,7 +9,7 @@ from .scratch import scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges(a, b)``; root is the component's least node, itself included.
+    """(node, root) for every node of ``edges(a, b)`` but the roots; a root is its component's least node.
 
     Each step is one aggregate and one join; edges never exceed twice the input and the
     depth halves with every pair of steps. Only two figures per step reach the driver.

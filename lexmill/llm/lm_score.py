@@ -105,8 +105,9 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", or
             context[k:] = counts[k - 1][: max(0, m - k)]
             seen = (place >= k) & (joint > 0)
             p = np.where(seen, joint / np.maximum(context, 1), np.where(place >= k, backoff * p, p))
-        logs = np.concatenate([[0.0], np.cumsum(np.log(p))]) if m else np.zeros(1)
-        sums = logs[w.woff[1:]] - logs[w.woff[:-1]]
+        sums = np.zeros(len(w.n))
+        if m:
+            sums[w.n > 0] = np.add.reduceat(np.log(p), w.woff[:-1][w.n > 0])
         none = w.n == 0
         return pa.table([docs["doc_id"].combine_chunks(), pa.array(w.n, pa.int64()), pa.array(sums, mask=none), pa.array(sums / np.maximum(w.n, 1), mask=none)], schema=schema)
 

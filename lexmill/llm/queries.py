@@ -120,7 +120,22 @@ f AS (SELECT doc_id, count(DISTINCT item_id) AS n, array_to_string(list_sort(lis
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_items, coalesce(items, '') AS items, coalesce(agree, 0)::DOUBLE AS agree, n IS NOT NULL AS contaminated FROM d LEFT JOIN f USING (doc_id)"""
 
 
+_LM_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, i, len(w) AS n, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM d, unnest(range(1, len(w) + 1)) AS r(i)),
+x AS (SELECT *, count(*) OVER () AS total, count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY doc_id, c) AS u,
+  CASE WHEN b IS NOT NULL THEN count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY doc_id, b, c) END AS bi,
+  CASE WHEN a IS NOT NULL THEN count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY doc_id, a, b, c) END AS tri FROM t),
+y AS (SELECT *, lag(u) OVER o AS ub, lag(bi) OVER o AS bb FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p1 AS (SELECT *, greatest(u, 0.5) / greatest(total - n, 1)::DOUBLE AS p FROM y),
+p2 AS (SELECT * REPLACE (CASE WHEN b IS NULL THEN p WHEN bi > 0 THEN bi / greatest(ub, 1)::DOUBLE ELSE 0.4 * p END AS p) FROM p1),
+p3 AS (SELECT * REPLACE (CASE WHEN a IS NULL THEN p WHEN tri > 0 THEN tri / greatest(bb, 1)::DOUBLE ELSE 0.4 * p END AS p) FROM p2),
+s AS (SELECT doc_id, sum(ln(p)) AS s FROM p3 GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(s, 4) AS log_score, round(s / len(w), 6) AS mean_log_score FROM d LEFT JOIN s USING (doc_id)"""
+
+
 SQL = {
+    "op5_lm_scoring": _LM_SQL,
     "op2_license_scan": _license_sql(),
     "op3_fingerprints": _fingerprint_sql(),
     "op10_decontamination": _decontamination_sql(),
