@@ -88,8 +88,8 @@ def signature(s: np.ndarray, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, cls, bands): set size, set digest (null for no shingles), band hashes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, tie, n, cls, bands): hash of the text, set size, set digest (null for no shingles), band hashes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64()))])
     salt = mix(np.arange(bands, dtype=U) + U(5))
 
     def kernel(batches):
@@ -105,9 +105,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
                 else:
                     cls.append(None)
                     out.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(out, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(out, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select(name(id_col).cast("long").alias("doc_id"), name(text_col).cast("string").alias("text")).mapInArrow(kernel, "doc_id long, n long, cls binary, bands array<long>")
+    return docs.select(name(id_col).cast("long").alias("doc_id"), name(text_col).cast("string").alias("text"), F.xxhash64(name(text_col)).alias("tie")).mapInArrow(kernel, "doc_id long, tie long, n long, cls binary, bands array<long>")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -133,7 +133,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
 
 
 def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, n_links (links shown to other classes)."""
+    """One row per document: doc_id, tie (hash of its text), n_shingles, component_id, kept, n_links (links
+    shown to other classes), group (one value per component, null without shingles)."""
     sig = scratch(signatures(docs, id_col, text_col, shingle, bands, rows), "sig")
     classes = scratch(sig.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("bands").alias("bands")), "cls")
     rest = classes.select("cls", "n", F.explode("bands").alias("h"), F.col("cls").alias("root"))
@@ -162,7 +163,7 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     ends = links.select(F.col("m").alias("cls")).union(links.select(F.col("c").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
     known = classes.select("cls", "min_doc").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = known.groupBy("root").agg(F.min("min_doc").alias("component_id"))
-    label = known.join(least, "root").join(ends, "cls", "left").select("cls", "component_id", "n_links")
-    out = sig.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(label, "cls", "left")
+    label = known.join(least, "root").join(ends, "cls", "left").select("cls", F.col("root").alias("group"), "component_id", "n_links")
+    out = sig.select("doc_id", "tie", F.col("n").alias("n_shingles"), "cls").join(label, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "tie", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "group")

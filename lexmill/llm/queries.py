@@ -34,7 +34,7 @@ def op3_fingerprints(spark, sf_dir):
 
 
 def op4_near_dup(spark, sf_dir):
-    return near_dup(_t(spark, sf_dir, "documents"), shingle=3, percent=85).drop("n_links")
+    return near_dup(_t(spark, sf_dir, "documents"), shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_lm_scoring(spark, sf_dir):

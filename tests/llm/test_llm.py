@@ -125,6 +125,17 @@ def test_near_dup_brute_force(spark):
     assert {r.doc_id: r.component_id for r in near_dup(docs, shingle=3, percent=85).collect()} == {i: root(i) for i in range(len(texts))}
 
 
+def test_near_duplicate_stage(spark):
+    from corpus_pipeline import near_duplicates
+
+    a, b, c = "one two three four five six seven eight", "other words make another text of some length", "third text here that nobody else has written"
+    rows = [(2, a), (1, a), (1, b), (1, b), (3, b), (None, b), (None, c), (None, c), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in near_duplicates(spark, docs, SF).collect())
+    assert got == {(1, a): 1, (1, b): 1, (None, c): 1, (4, ""): 2}
+    assert near_duplicates(spark, docs.limit(0), SF).count() == 0
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (31, 30), (40, 40), (None, 3)], "a int, b int")
     assert {r["node"]: r["root"] for r in components(e).collect()} == {**{i: 0 for i in range(1, 21)}, 31: 30}
