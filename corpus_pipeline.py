@@ -15,6 +15,7 @@ from lexmill.llm.language_id import fit, identify
 from lexmill.llm.mixing import TARGETS, label_domain, mix
 from lexmill.llm.near_dup import near_dup
 from lexmill.llm.pii import redact
+from lexmill.llm.scratch import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,10 +30,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each near-duplicate group (five words, 0.8)."""
-    kept = near_dup(docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    """Keeps one document of each near-duplicate group (five words, 0.8): the smallest id, null ids last.
+
+    Rows that repeat an id are told apart by their texts; of equal rows one stays. Documents without
+    words are linked with nothing and all stay.
+    """
+    marks = near_dup(docs, shingle=5, percent=80).select("doc_id", "tie", "group")
+    marks = scratch(marks, "marks")
+    best = marks.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("b")).select("b.doc_id", "b.tie")
+    kept = best.unionByName(marks.where("group is null").select("doc_id", "tie")).distinct().select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tie")), "left_semi")
+    repeated = marks.where("group is not null").groupBy("doc_id", "tie").count().where("count > 1")
+    if repeated.isEmpty():
+        return left  # no equal rows, so texts needn't be compared again
+    wordless = left.join(marks.where("group is null").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct(), left["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(left["text"]) == F.col("_tie")), "left_semi")
+    worded = left.join(best.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")), left["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(left["text"]) == F.col("_tie")), "left_semi")
+    return worded.dropDuplicates(["doc_id", "text"]).unionByName(wordless)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +70,6 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decont
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written to the shared folder and read again."""
-    from lexmill.llm.scratch import scratch
-
     docs = _table(spark, sf_dir, "documents")
     for k, (stage, apply) in enumerate(STAGES):
         docs = apply(spark, docs, sf_dir)
