@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 U = np.uint64
 _R, _M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _RINV = pow(_R, -1, 1 << 64)
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 #: Bytes that end a word: space and \t..\r; or, for letter-digit words, ASCII that is neither.
 SPACES = np.zeros(256, bool)
