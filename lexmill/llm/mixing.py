@@ -2,20 +2,23 @@
 
 A classifier fitted on a labelled table predicts each document's domain posteriors; then
 nonnegative document rates are fitted so that the expected tokens of each domain, the sum of
-rate x tokens x posterior, meet their targets: least squares by accelerated projected gradient,
-started at rate 1. In the metric of the documents' token shares the gradient of a document is its
-posterior times the residual, so a step of 1 is safe, and a document's rate depends only on its
-posterior and on the residuals so far. Those few numbers are all that goes to the driver; each
-iteration is one pass over (tokens, posterior), in which every task replays the steps.
+rate x tokens x posterior, meet their targets: of the rates of least squared error those nearest
+to 1 in the metric of the documents' token shares. There a rate is max(0, 1 + posterior x u), so
+the fit is a search for one number u per domain: Newton steps on the convex dual, each one pass
+over (tokens, posterior) that tries several step lengths at once. Only sums over the documents
+go to the driver. Where no rates meet the targets, u is bounded by a proximal term and the next
+search starts from the rates found (``proximal``); the fit ends only when the targets are met or
+the duality gap shows that no other rates come nearer. With ``iterations`` given, so many steps
+of accelerated projected gradient from rate 1 are taken instead (``replay``), converged or not.
 
 The classifier (softmax regression on hashed words and form) is fitted on the driver on at most
 ``sample_rows`` labelled documents, those of least id hash; posteriors cover all documents.
 
-Defined cases: null and empty texts have 0 tokens and get the rate of their posterior; labels
+Defined cases: null and empty texts have 0 tokens and get the rate of their posterior (1 if no text has tokens); labels
 with a null id or domain are ignored; a document labelled twice counts with its least domain;
 without labels the posterior is equal over the target's domains; targets that no nonnegative
-rates meet are met as nearly as the iterations allow; rows that repeat an id are judged by their
-own texts; an empty table gives an empty result; other columns are ignored.
+rates meet are met as nearly as any rates can; rows that repeat an id are judged by their own
+texts; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,7 +110,61 @@ def replay(p: np.ndarray, residuals: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return r, y
 
 
-def mix(docs: DataFrame, labels: DataFrame, domain, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000, iterations: int = 60, tolerance: float = 1e-6, size: float = 1.0) -> DataFrame:
+def proximal(p: np.ndarray, duals: list[np.ndarray]) -> np.ndarray:
+    """Rates after the proximal steps with these dual numbers."""
+    r = np.ones(len(p))
+    for u in duals:
+        r = np.maximum(0, r + p @ u)
+    return r
+
+
+#: Step lengths tried in one pass.
+_LENGTHS = np.array([1, 0.7, 0.5, 0.3, *(10.0 ** -np.arange(1, 13)), 0])
+
+
+def measured(n: np.ndarray, p: np.ndarray, center: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Per point: half the weighted sum of squared rates, domain sums, their derivatives; and the largest posterior x point."""
+    out = []
+    for u in points:
+        z = p @ u
+        r = np.maximum(0, center + z)
+        q = p * (n * (r > 0))[:, None]
+        out.append(np.concatenate([[0.5 * (n * r) @ r], (n * r) @ p, (q.T @ p).ravel(), [z[n > 0].max(initial=-np.inf)]]))
+    return np.array(out)
+
+
+def solve(measure, goal: np.ndarray, tolerance: float, weight: float = 1e-9, passes: int = 500) -> list[np.ndarray]:
+    """Dual numbers of the proximal steps that reach the targets or the least squared error.
+
+    ``measure(duals, points)`` is ``measured`` over all documents, in shares of all tokens.
+    """
+    k = len(goal)
+    duals: list[np.ndarray] = []
+    points, step, past = np.zeros((1, k)), None, 0.0
+    for _ in range(passes):
+        got = measure(duals, points)
+        slopes = got[:, 1 : k + 1] - goal + weight * points
+        if step is None:
+            at = int((got[:, 0] + 0.5 * weight * (points**2).sum(1) - points @ goal).argmin())
+        else:  # the longest step that doesn't lead past the least value along it
+            at = int((slopes @ step <= 0.1 * past).argmax())
+        u, residual, slope, hess, top = points[at], got[at, 1 : k + 1] - goal, slopes[at], got[at, k + 1 : -1].reshape(k, k), got[at, -1]
+        # posteriors sum to 1, so this is a feasible dual point: it bounds the least squared error from below
+        lift = max(0.0, weight * top) - weight * u
+        gap = 0.5 * residual @ residual + 0.5 * lift @ lift + lift @ goal
+        if np.abs(residual).max() < tolerance or 2 * gap <= tolerance**2:
+            return [*duals, u]
+        if np.abs(slope).max() < 0.01 * tolerance + 1e-15 * np.abs(u).max() or step is not None and at == len(points) - 1:
+            duals, weight, step = [*duals, u], max(0.1 * weight, 1e-16), None
+            points = np.array([np.zeros(k), u, 10 * u])
+        else:
+            step = -np.linalg.solve(hess + weight * np.eye(k), slope)
+            past = abs(slope @ step)
+            points = u + _LENGTHS[:, None] * step
+    raise RuntimeError(f"mixing rates not optimal after {passes} passes: residual {residual.tolist()}, gap {gap}")
+
+
+def mix(docs: DataFrame, labels: DataFrame, domain, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000, iterations: int | None = None, tolerance: float = 1e-6, size: float = 1.0) -> DataFrame:
     """One row per document: doc_id, n_tokens, p (posterior by sorted domain), rate.
 
     ``targets`` gives each domain's share of ``size`` times the corpus's tokens; domains known to
@@ -118,12 +175,34 @@ def mix(docs: DataFrame, labels: DataFrame, domain, targets: dict[str, float], i
     total_share = sum(targets.values()) or 1.0
     goal = np.array([targets.get(d, 0.0) * size / total_share for d in domains])
     table = scratch(posteriors(docs, model, domains, id_col, text_col), "posteriors")
-    total = table.agg(F.sum("n_tokens")).first()[0] or 1
+    tokens = table.agg(F.sum("n_tokens")).first()[0] or 0
+    total = tokens or 1
     steps: list[np.ndarray] = []
     schema = pa.schema([("s", pa.list_(pa.float64()))])
     arrays = lambda b, c: np.array(b.column(c).flatten().to_numpy(zero_copy_only=False)).reshape(b.num_rows, len(domains))
 
-    for _ in range(iterations):
+    def measure(duals, points):
+        k = len(domains)
+
+        def sums(batches):
+            s = np.zeros((len(points), k * k + k + 2))
+            s[:, -1] = -np.inf
+            for b in batches:
+                p = arrays(b, 1)
+                m = measured(b.column(0).to_numpy(zero_copy_only=False) / total, p, proximal(p, duals), points)
+                s = np.column_stack([s[:, :-1] + m[:, :-1], np.maximum(s[:, -1], m[:, -1])])
+            yield pa.RecordBatch.from_arrays([pa.array([s.ravel().tolist()], pa.list_(pa.float64()))], schema=schema)
+
+        parts = table.select("n_tokens", "p").mapInArrow(sums, "s array<double>").select(F.posexplode("s").alias("pos", "v"))
+        got = np.zeros((len(points), k * k + k + 2))
+        for r in parts.groupBy("pos").agg(F.sum("v").alias("sum"), F.max("v").alias("top")).collect():
+            i, j = divmod(r.pos, got.shape[1])
+            got[i, j] = r["top"] if j == got.shape[1] - 1 else r["sum"]
+        return got
+
+    if iterations is None:
+        duals = solve(measure, goal, tolerance) if tokens else []
+    for _ in range(iterations or 0):
         done = list(steps)
 
         def sums(batches, done=done):
@@ -142,7 +221,8 @@ def mix(docs: DataFrame, labels: DataFrame, domain, targets: dict[str, float], i
 
     def rates(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replay(arrays(b, 2), steps)[0])], names=["doc_id", "n_tokens", "p", "rate"])
+            p = arrays(b, 2)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(proximal(p, duals) if iterations is None else replay(p, steps)[0])], names=["doc_id", "n_tokens", "p", "rate"])
 
     return table.mapInArrow(rates, "doc_id long, n_tokens long, p array<double>, rate double")
 

@@ -19,7 +19,7 @@ from lexmill.llm.fingerprint import changed_branches, edited_fingerprints, finge
 from lexmill.llm.language_id import fit, held_out, identify  # noqa: E402
 from lexmill.llm.license_scan import license_scan  # noqa: E402
 from lexmill.llm.lm_score import lm_score  # noqa: E402
-from lexmill.llm.mixing import fit_classifier, label_domain, mix, replay  # noqa: E402
+from lexmill.llm.mixing import TARGETS, fit_classifier, label_domain, measured, mix, proximal, replay, solve  # noqa: E402
 from lexmill.llm.near_dup import near_dup  # noqa: E402
 from lexmill.llm.pii import find, luhn, redact, rendered  # noqa: E402
 from lexmill.llm.substring_dedup import substring_dedup  # noqa: E402
@@ -249,6 +249,43 @@ def test_mixing(spark, odd):
     assert fit_classifier(docs, labels.limit(0), label_domain(), "doc_id", "text", 10) is None
 
 
+def local_rates(n, p, goal):
+    """Rates of the solver and its dual numbers, on one machine."""
+    n = n / n.sum()
+    duals = solve(lambda d, points: measured(n, p, proximal(p, d), points), goal, 1e-6)
+    return proximal(p, duals), duals
+
+
+def test_mixing_targets(spark, odd):
+    """With the defaults of op9 the targets are met, and the rates are those nearest to 1."""
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    rows = mix(docs, labels, label_domain(), TARGETS).collect()
+    t, p, r = (np.array([x[c] for x in rows], float) for c in ("n_tokens", "p", "rate"))
+    goal = np.array([TARGETS[d] for d in sorted(TARGETS)])
+    assert len(rows) == docs.count() and (r >= 0).all() and np.abs((t * r) @ p / t.sum() - goal).max() < 2e-6
+    # rates nearest to 1 are max(0, 1 + posterior x u): so the positive ones are linear in the posterior
+    on = r > 1e-9
+    assert np.allclose(p[on] @ np.linalg.lstsq(p[on], r[on] - 1, rcond=None)[0], r[on] - 1, atol=1e-4)
+    assert np.allclose(r, local_rates(t, p, goal)[0], atol=1e-3)
+    assert len(everywhere(lambda d: mix(d, labels.limit(0), label_domain(), TARGETS), odd)) == odd.count()
+    assert {x.rate for x in mix(odd.where("doc_id < 3"), labels, label_domain(), TARGETS).collect()} == {1.0}
+
+
+def test_mixing_out_of_reach():
+    """Targets that no rates meet: the least squared error is reached (Karush-Kuhn-Tucker)."""
+    rng = np.random.default_rng(5)
+    for sharp in (1, 3):
+        e = np.exp(sharp * rng.normal(size=(300, 4)) + [2, 1, -1, -2])
+        p, n = e / e.sum(1, keepdims=True), rng.integers(1, 4000, 300) + 0.0
+        for goal in ([1, 0, 0, 0], [0, 0, 0, 1], [0, 0.5, 0, 0.5], [0.7, 0.05, 0.22, 0.03]):
+            r = local_rates(n, p, np.array(goal, float))[0]
+            residual = (n * r) @ p / n.sum() - goal
+            slope = p @ residual
+            assert (r >= 0).all() and slope.min() > -1e-6 and abs((n * r / n.sum()) @ slope) < 1e-6
+    one = np.array([[0.1, 0.2, 0.3, 0.4]])
+    assert local_rates(np.ones(1), one, np.array([0.7, 0.22, 0.05, 0.03]))[0][0] == pytest.approx(0.141 / 0.3, abs=1e-5)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
