@@ -1,6 +1,7 @@
 """The training-data operators: SQL on small tables, brute force, round trips, held-out accuracy, odd inputs."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -14,7 +15,7 @@ pytest.importorskip("lexmill.llm")
 
 from lexmill.llm import queries as Q  # noqa: E402
 from lexmill.llm.components import components  # noqa: E402
-from lexmill.llm.decontaminate import decontaminate  # noqa: E402
+from lexmill.llm.decontaminate import allowed, decontaminate, masks_for  # noqa: E402
 from lexmill.llm.fingerprint import changed_branches, edited_fingerprints, fingerprints  # noqa: E402
 from lexmill.llm.language_id import fit, held_out, identify  # noqa: E402
 from lexmill.llm.license_scan import license_scan  # noqa: E402
@@ -173,6 +174,31 @@ def test_decontaminate(spark, odd):
     assert {r.doc_id: r.contaminated for r in decontaminate(docs, items).collect()} == {1: True, 2: True, 3: False, 4: True}
 
 
+@pytest.mark.parametrize("share", [0.8, 0.6, 1.0])
+def test_masks_cover(share):
+    """Every pattern of allowed substitutions, in windows of all lengths, leaves a seed."""
+    for m in range(1, 14):
+        assert allowed(m, share) == max(e for e in range(m) if e / m <= 1 - share + 1e-9)
+        for gone in itertools.combinations(range(m), allowed(m, share)):
+            assert any(not any(c == "1" and i + j in gone for j, c in enumerate(mask)) for mask in masks_for(m, share) for i in range(m - len(mask) + 1)), (m, gone)
+
+
+def test_decontaminate_all_patterns(spark):
+    """Items of 1 to 15 words, every pattern of allowed substitutions in a window, and one too many: as by brute force."""
+    items, docs, want = [], [], {}
+    for m in (*range(1, 14), 15):
+        item, size = [f"i{m}w{k}" for k in range(m)], min(m, 13)
+        items.append((m, " ".join(item)))
+        for at in {0, m - size}:
+            for e in (allowed(size, 0.8), allowed(size, 0.8) + 1):
+                for gone in itertools.combinations(range(at, at + size), e):
+                    text = ["x" if k in gone or not at <= k < at + size else w for k, w in enumerate(item)]
+                    want[len(docs)] = e <= allowed(size, 0.8)
+                    docs.append((len(docs), " ".join(["before", *text, "after"])))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in decontaminate(docs, items).collect()} == want
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
