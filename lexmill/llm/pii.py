@@ -3,7 +3,7 @@
 Fixed patterns give e-mail addresses, IP addresses, card and phone numbers; these spans always
 stay. They are also the seeds of the method: every identifier-shaped token (six or more
 characters, two or more digits) makes an edge between its lexical pattern (the two tokens before
-it, digits masked) and itself. Spark scores this graph over the whole corpus iteratively: a
+it, digits masked; the start of the text counts as a token) and itself. Spark scores this graph over the whole corpus iteratively: a
 pattern is as reliable as the share of its distinct instances that are personal data, smoothed;
 an instance that is no seed is as reliable as its best pattern. Instances of patterns with
 ``support`` or more distinct instances and a reliability of ``reliable`` or more are new spans of
@@ -65,9 +65,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+#: Stands for a token before the start of a text; real tokens hold no line end.
+_START = "\n"
+
+
 def _pattern(text: str, start: int) -> str:
-    before = text[max(0, start - 48) : start].lower().split()
-    return re.sub("[0-9]", "0", " ".join(before[-2:]))[-40:] if len(before) > 1 else ""
+    """The last 40 characters of the two tokens before ``start``, however far back they lie."""
+    near = text[max(0, start - 48) : start].lower().split()
+    if len(near) > 2:
+        parts = near[-2:]
+    else:
+        parts, end, room = [], start, 40
+        while len(parts) < 2 and room >= 0:
+            while end > 0 and text[end - 1].isspace():
+                end -= 1
+            at = end
+            while at > 0 and end - at < room and not text[at - 1].isspace():
+                at -= 1
+            parts.insert(0, text[at:end].lower() if end else _START)
+            room, end = room - (end - at) - 1, at
+    return re.sub("[0-9]", "0", " ".join(parts))[-40:]
 
 
 def edges(text: str, base) -> list[tuple[str, str, int, int, bool]]:
@@ -130,7 +147,7 @@ def _reliable(graph: DataFrame, rounds: int, reliable: float, support: int) -> D
 def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, rounds: int = 3, reliable: float = 0.7, support: int = 5) -> DataFrame:
     """``d`` (columns ``keep`` of ``docs``, or all) with ``base`` and ``spans``: arrays of (kind number, start, end), sorted."""
     s = scratch(_searched(docs, text_col, docs.columns if keep is None else keep), "pii")
-    each = s.select("row", F.explode("edges").alias("e")).select("row", "e.*").where("pattern <> ''")
+    each = s.select("row", F.explode("edges").alias("e")).select("row", "e.*")
     good = _reliable(each, rounds, reliable, support)
     new = each.where("not seed").join(good, ["pattern", "instance"]).groupBy("row").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("new"))
     both = F.concat("base", F.coalesce("new", F.array().cast(_SPAN)))

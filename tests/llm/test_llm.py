@@ -22,7 +22,7 @@ from lexmill.llm.license_scan import license_scan  # noqa: E402
 from lexmill.llm.lm_score import lm_score  # noqa: E402
 from lexmill.llm.mixing import TARGETS, fit_classifier, label_domain, measured, mix, proximal, replay, solve  # noqa: E402
 from lexmill.llm.near_dup import near_dup  # noqa: E402
-from lexmill.llm.pii import find, luhn, redact, rendered  # noqa: E402
+from lexmill.llm.pii import edges, find, luhn, redact, rendered  # noqa: E402
 from lexmill.llm.substring_dedup import substring_dedup  # noqa: E402
 from lexmill.llm.token_counts import VOCABULARY, count_tokens, encoder, token_counts  # noqa: E402
 
@@ -230,6 +230,17 @@ def test_pii_contexts(spark):
     assert new == ["u77x88-q"]
 
 
+def test_pii_edge_of_text(spark):
+    """Identifiers after one label, after nothing, after a long token or a long gap have a pattern too."""
+    pattern = lambda t: edges(t, [])[-1][0]
+    assert pattern("SSN: 123-45-6789") == "\n ssn:" and pattern("123-45-6789") == "\n \n"
+    assert pattern("y" * 90 + " u77x88-q") == pattern("a b " + "y" * 90 + " u77x88-q") == "y" * 40
+    assert pattern("the customer" + " " * 99 + "id " + "u77x88-q") == "customer id"
+    rows = [(i, f"Customer: user{i}@mail{i}.org") for i in range(20)] + [(99, "Customer: u77x88-q")]
+    spans = {r["d"].doc_id: r.spans for r in find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [rows[-1][1][s.start : s.end] for s in spans[99] if s.kind == 4] == ["u77x88-q"]
+
+
 def test_language_id(spark, odd):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     model = fit(docs.where(~held_out()), "text", "lang", "doc_id")
