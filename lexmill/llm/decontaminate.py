@@ -14,7 +14,9 @@ always leave floor(m / (e + 1)) words in a row untouched. Items of up to four wo
 by default. Masks are laid over the documents only if the lengths of the items call for them.
 
 Benchmark seeds are broadcast only if they are counted at most ``broadcast_rows``; beyond that
-the join is left to the optimizer. Documents are shuffled once, to meet their alignments.
+the join is left to the optimizer. The alignments found are written down and counted: up to
+``broadcast_rows`` of them are broadcast to the documents, whose texts then never move; more are
+joined by document, which shuffles the words of all documents once.
 
 Defined cases: null and empty texts match nothing, nor do items without words; words are lower-cased letter-digit runs; rows that repeat an
 id are judged by their own texts; null ids stay null; repeated items count once each; empty
@@ -34,9 +36,8 @@ from .exchange import name
 from .native import words
 from .scratch import scratch
 
-#: The masks of the SQL. They miss windows of 13 words with words 6 and 7 or 7 and 8 (from 0) substituted, which the third finds.
-MASKS = ("11101011", "1100110101")
-ALL_MASKS = (*MASKS, "111111")
+#: Together these two meet every window of 13 words with up to two substitutions (``covers``); no single mask of six words does.
+MASKS = ("1111011", "110010111")
 
 
 def allowed(size: int, share: float) -> int:
@@ -53,23 +54,28 @@ def covers(masks: tuple[str, ...], size: int, changes: int) -> bool:
     return all(any(not x & sum(1 << k for k in gone) for x in laid) for gone in combinations(range(size), changes))
 
 
-def masks_for(size: int, share: float, masks=ALL_MASKS) -> tuple[str, ...]:
+def masks_for(size: int, share: float, masks=MASKS) -> tuple[str, ...]:
     """Masks that together meet every window of ``size`` words that agrees in ``share`` of them."""
     e = allowed(size, share)
     return tuple(masks) if covers(tuple(masks), size, e) else ("1" * (size // (e + 1)),)
 
 
-def _seeds(masks, h: str = "wh", sizes: dict | None = None, size=None):
-    """Array of (pos, seed hash) of the word hashes in column ``h``; the mask is hashed too. With ``sizes``, a mask is laid only where ``size`` is one of its sizes."""
-    w, n = F.col(h), F.size(h)
+def _seeds(rows: DataFrame, w: str, masks, sizes: dict | None = None, size=None) -> DataFrame:
+    """The other columns of ``rows`` with (pos, seed), a row per position of the words ``w`` and mask; the mask is hashed too.
+
+    With ``sizes``, a mask is laid only where ``size`` is one of its sizes. Positions are exploded
+    before anything is hashed, so the hashing is compiled with the rest of the stage.
+    """
+    n = F.size(w)
 
     def laid(number: int, mask: str):
-        ones = [j for j, c in enumerate(mask) if c == "1"]
-        seed = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(number), *(F.get(w, i + j) for j in ones)).alias("seed"))
-        here = (n >= len(mask)) & (size.isin(sizes[mask]) if sizes else F.lit(True))
-        return F.when(here, F.transform(F.sequence(F.lit(0), n - len(mask)), seed)).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>"))
+        seed = F.xxhash64(F.lit(number), *(F.get(w, F.col("pos") + j) for j, c in enumerate(mask) if c == "1"))
+        here = F.col("pos") + len(mask) <= n
+        return F.when(here & size.isin(sizes[mask]) if sizes else here, seed)
 
-    return F.concat(*(laid(number, mask) for number, mask in enumerate(masks)))
+    others = [c for c in rows.columns if c != w]
+    each = rows.where(n > 0).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"))
+    return each.select(*others, "pos", F.explode(F.array(*(laid(k, m) for k, m in enumerate(masks)))).alias("seed")).where("seed is not null")
 
 
 def alignments(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, share: float, masks, broadcast_rows: int) -> DataFrame:
@@ -82,13 +88,14 @@ def alignments(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, it
         for mask in masks_for(r["size"], share, masks):
             sizes.setdefault(mask, []).append(r["size"])
     laid = sorted(sizes) or ["1"]
-    seeds = scratch(b.withColumn("wh", F.transform("bw", lambda x: F.xxhash64(x))).select("item", F.explode(_seeds(laid, sizes=sizes, size=size)).alias("s")).select("item", F.col("s.pos").alias("ipos"), "s.seed").distinct(), "seeds")
+    seeds = scratch(_seeds(b.select("item", size.alias("size"), "bw"), "bw", laid, sizes, F.col("size")).select("item", F.col("pos").alias("ipos"), "seed").distinct(), "seeds")
     if seeds.count() <= broadcast_rows:
         seeds = F.broadcast(seeds)
-    d = docs.select(name(id_col).alias("doc_id"), F.xxhash64(name(text_col)).alias("tie"), words(name(text_col)).alias("w"))
-    hits = d.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x))).select("doc_id", "tie", F.explode(_seeds(laid)).alias("s")).select("doc_id", "tie", "s.pos", "s.seed").join(seeds, "seed")
-    hits = hits.groupBy("doc_id", "tie", "item", (F.col("pos") - F.col("ipos")).alias("start")).agg(F.count("*").alias("hits"))
-    met = hits.alias("h").join(d.alias("d"), F.col("h.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("h.tie") == F.col("d.tie"))).select("h.doc_id", "h.tie", "item", "start", "hits", F.col("w").alias("dw"))
+    d = docs.select(name(id_col).alias("doc_id"), F.xxhash64(name(text_col)).alias("tie"), name(text_col).cast("string").alias("text"))
+    hits = _seeds(d.select("doc_id", "tie", words(F.col("text")).alias("w")), "w", laid).join(seeds, "seed")
+    hits = scratch(hits.groupBy("doc_id", "tie", "item", (F.col("pos") - F.col("ipos")).alias("start")).agg(F.count("*").alias("hits")), "hits")
+    few = hits.count() <= broadcast_rows
+    met = d.alias("d").join((F.broadcast(hits) if few else hits).alias("h"), F.col("h.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("h.tie") == F.col("d.tie"))).select("h.doc_id", "h.tie", "item", "start", "hits", words(F.col("text")).alias("dw"))
     # only the words under the item are carried on
     lengths = b.select("item", F.size("bw").alias("m")).distinct()
     met = met.join(lengths, "item").select("doc_id", "tie", "item", "start", "hits", F.slice("dw", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("m") + F.least(F.col("start"), F.lit(0))).alias("part"), F.greatest(-F.col("start"), F.lit(0)).alias("lead"))
@@ -99,7 +106,7 @@ def alignments(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, it
     return met.withColumn("agree", best / F.col("size")).where(F.col("agree") >= share).select("doc_id", "tie", "item_id", "start", F.round("agree", 6).alias("agree"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: float = 0.8, masks=ALL_MASKS, broadcast_rows: int = 1_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: float = 0.8, masks=MASKS, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, tie (hash of its text), n_items, items (sorted ids), agree, contaminated."""
     found = alignments(docs, items, id_col, text_col, item_col, item_text_col, window, share, masks, broadcast_rows)
     found = found.groupBy(F.col("doc_id").alias("found_id"), F.col("tie").alias("found_tie")).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("agree").alias("agree"))
