@@ -7,13 +7,14 @@ classes of all contracts here are unions of ASCII bytes, hence safe on UTF-8.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
 _R, _M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-_RINV = pow(_R, -1, 1 << 64)
 SLICE_BYTES = 1 << 19
 
 #: Bytes that end a word: space and \t..\r; or, for letter-digit words, ASCII that is neither.
@@ -22,19 +23,6 @@ SPACES[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: list[np.ndarray] = [np.ones(0, U), np.ones(0, U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r**j and r**-j modulo 2**64 for j < n, kept per worker."""
-    if len(_powers[0]) < n:
-        for k, r in enumerate((_R, _RINV)):
-            p = np.full(n, U(r), U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> U(30))) * U(_M1)
@@ -56,8 +44,51 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), off
 
 
+def word_spans(data: np.ndarray, off: np.ndarray, delim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, words by document) of the words of documents ``data[off[d]:off[d + 1]]``."""
+    word = ~delim[data]
+    start, end = word.copy(), word.copy()
+    start[1:] &= ~word[:-1]
+    end[:-1] &= ~word[1:]
+    some = off[1:] > off[:-1]
+    first, last = off[:-1][some], off[1:][some] - 1
+    start[first] = word[first]
+    end[last] = word[last]
+    s = np.flatnonzero(start)
+    return s, np.flatnonzero(end) + 1, np.diff(np.searchsorted(s, off))
+
+
+#: Low bytes of a 64-bit load that belong to a word with so many bytes left.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Longer words are hashed one by one.
+_LONG = 64
+
+
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each ``data[s:e]``.
+
+    Words are read eight bytes at a time and every step is a bijection of the bytes read, mixed
+    with other constants in either hash, so words of up to eight bytes and one length never
+    collide; words of over 64 bytes take the halves of a 128-bit BLAKE2 digest.
+    """
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    n = e - s
+    x = eight[s] & _LOW[np.minimum(n, 8)]
+    size = n.astype(U)
+    a, b = mix(x ^ (size * U(_M2))), mix((x + U(_M1)) * U(_R) ^ (size * U(_M1)))
+    more, at = np.flatnonzero((n > 8) & (n <= _LONG)), 8
+    while len(more):
+        x = eight[s[more] + at] & _LOW[np.minimum(n[more] - at, 8)]
+        a[more], b[more] = mix((a[more] + U(_R)) ^ x), mix((b[more] ^ U(_M2)) * U(_R) + x)
+        at += 8
+        more = more[n[more] > at]
+    for k in np.flatnonzero(n > _LONG).tolist():
+        a[k], b[k] = np.frombuffer(blake2b(data[s[k] : e[k]].tobytes(), digest_size=16).digest(), U)
+    return a, b
+
+
 class Words:
-    """Words of a batch: 64-bit hashes in document order; ``woff[d]:woff[d+1]`` belong to document d."""
+    """Words of a batch: two 64-bit hashes each in document order; ``woff[d]:woff[d+1]`` belong to document d."""
 
     def __init__(self, column, delim: np.ndarray = SPACES, lower: bool = False):
         self.data, self.off = text_buffer(column)
@@ -65,42 +96,24 @@ class Words:
         n, d = len(off) - 1, 0
         while d < n:
             e = max(d + 1, int(np.searchsorted(off, off[d] + SLICE_BYTES, "right")) - 1)
-            h, c = self._slice(self.data[off[d] : off[e]], off[d : e + 1] - off[d], delim, lower)
-            hs.append(h)
+            part = self.data[off[d] : off[e]]
+            s, t, c = word_spans(part, off[d : e + 1] - off[d], delim) if len(part) else (np.zeros(0, np.int64),) * 2 + (np.zeros(e - d, np.int64),)
+            hs.append(span_hashes(LOWER[part] if lower else part, s, t))
             counts.append(c)
             d = e
-        self.hash = np.concatenate(hs) if hs else np.zeros(0, U)
+        self.hash, self.hash2 = (np.concatenate(x) for x in zip(*hs)) if hs else (np.zeros(0, U),) * 2
         self.n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         self.woff = np.concatenate([[0], np.cumsum(self.n)]).astype(np.int64)
 
-    @staticmethod
-    def _slice(data, off, delim, lower):
-        if not len(data):
-            return np.zeros(0, U), np.zeros(len(off) - 1, np.int64)
-        word = ~delim[data]
-        start, end = word.copy(), word.copy()
-        start[1:] &= ~word[:-1]
-        end[:-1] &= ~word[1:]
-        some = off[1:] > off[:-1]
-        first, last = off[:-1][some], off[1:][some] - 1
-        start[first] = word[first]
-        end[last] = word[last]
-        s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-        p, q = powers(len(data) + 1)
-        run = np.zeros(len(data) + 1, U)
-        np.cumsum(((LOWER[data] if lower else data).astype(U) + U(1)) * p[: len(data)], out=run[1:])
-        h = (run[e] - run[s]) * q[s]
-        return mix(h + (e - s).astype(U) * U(_M2)), np.diff(np.searchsorted(s, off))
-
     def doc(self) -> np.ndarray:
         """Document index of each word."""
         return np.repeat(np.arange(len(self.n)), self.n)
 
     def windows(self, k: int, seed: int = 1) -> np.ndarray:
-        """Hash of the k words from each position (of the whole batch; see ``valid``)."""
+        """Hash of the k words from each position (of the whole batch; see ``valid``); seeds 1 and 2 start from independent word hashes."""
         m = max(0, len(self.hash) - k + 1)
         acc, mult = np.zeros(m, U), U(_R * (2 * seed + 1) & (1 << 64) - 1 | 1)
-        w = self.hash if seed == 1 else mix(self.hash + U(seed * _M1 & (1 << 64) - 1))
+        w = self.hash if seed == 1 else self.hash2
         for j in range(k):
             acc *= mult
             acc += w[j : j + m]
@@ -112,6 +125,33 @@ class Words:
         return np.flatnonzero(doc[:m] == doc[k - 1 : k - 1 + m]) if m else np.zeros(0, np.int64)
 
 
+def exact_shingles(column, k: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of k words of each text, as numbers that are equal in the column exactly if the words are.
+
+    Words are compared byte by byte (A-Z lower-cased): no hash decides. A text with fewer words has its whole sequence as one shingle.
+    """
+    data, off = text_buffer(column)
+    data, off = LOWER[data[off[0] : off[-1]]], off - off[0]
+    if not len(data):
+        return [np.zeros(0, np.int64)] * (len(off) - 1)
+    s, e, n = word_spans(data, off, SPACES)
+    size = e - s
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    packed = data[~SPACES[data]]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+    ids = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    last = np.repeat(np.cumsum(n), n)  # one past each word's document
+    code, many, at = ids, int(ids.max(initial=0)) + 1, np.arange(len(ids))
+    for j in range(1, k):
+        following = np.where(at + j < last, ids[np.minimum(at + j, len(ids) - 1)], 0)
+        code = np.unique(code * many + following, return_inverse=True)[1]
+    ends, out = np.cumsum(n), []
+    for m, end in zip(n.tolist(), ends.tolist()):
+        a = end - m
+        out.append(np.unique(code[a : max(end - k, a) + 1]) if m else np.zeros(0, np.int64))
+    return out
+
+
 def planes(x: np.ndarray, delta: bool = False) -> bytes:
     """Integers as compressed byte planes; ``delta`` for ascending ones."""
     import zstandard

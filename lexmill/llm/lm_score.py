@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .exchange import back, chunked, exchange, partitions
+from .exchange import back, chunk_count, chunked, exchange
 from .kernels import SPACES, U, Words, block_ends, planes, unplanes
 from .substring_dedup import _rows
 
@@ -46,7 +46,7 @@ def _own(w: Words, at, i):
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, leave_one_out: bool = True, chunks: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, log_score (sum of natural logs), mean_log_score."""
-    n = chunks or partitions(docs)
+    n = chunks or chunk_count(docs, text_col)
     source = chunked(docs, id_col, text_col, n)
 
     def count(t: pa.Table) -> pa.Table:

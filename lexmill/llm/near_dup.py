@@ -3,9 +3,9 @@
 Method. A document's shingles are hashed once; the hash range is cut into ``bands * rows``
 bins and the least hash of each bin is the signature. Empty bins are filled by optimal
 densification: bin i asks the bins of a fixed random sequence for i until one is filled.
-Equal shingle sets form one class, found by a 128-bit digest before anything else, so copies
-cost one row each. The classes' bands form buckets; each bucket's least class is its centre
-and the other classes are compared to the centre only (a star), on their full sets.
+Equal shingle sets form one class, found by a 128-bit digest of 128-bit shingle hashes before
+anything else, so copies cost one row each. The classes' bands form buckets; each bucket's least class is its centre
+and the other classes are compared to the centre only (a star), on their full sets of words, which are compared byte by byte.
 
 Links that the stars don't show are found in further rounds. A bucket whose classes are all in
 one component is done. In any other, each pair from two components has an end outside the
@@ -23,6 +23,7 @@ ties go to the smallest id; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exchange import name
-from .kernels import SPACES, U, Words, mix
+from .kernels import SPACES, U, Words, exact_shingles, mix
 from .scratch import scratch
 
 
@@ -43,26 +44,32 @@ def _bins(k: int):
     return edges, asks.reshape(k, 2048).astype(np.int64)
 
 
-def shingle_sets(column, shingle: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text."""
+def shingle_sets(column, shingle: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles of each text: two independent 64-bit hashes, sorted by the first."""
     w = Words(column, SPACES, True)
-    full, out = w.windows(shingle), []
+    full, second, out = w.windows(shingle), w.windows(shingle, 2), []
     for d, n in enumerate(w.n.tolist()):
         a = w.woff[d]
         if n >= shingle:
-            out.append(np.unique(full[a : a + n - shingle + 1]))
+            h, at = np.unique(full[a : a + n - shingle + 1], return_index=True)
+            out.append((h, second[a + at]))
         elif n:
-            h = U(n)
-            for x in w.hash[a : a + n]:
-                h = mix(np.array([h], U) * U(31) + x)[0]
-            out.append(np.array([h], U))
+            out.append(tuple(_whole(x[a : a + n]) for x in (w.hash, w.hash2)))
         else:
-            out.append(np.zeros(0, U))
+            out.append((np.zeros(0, U), np.zeros(0, U)))
     return out
 
 
-def digest(s: np.ndarray) -> bytes:
-    return np.array([mix(s).sum(dtype=U), mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) + U(len(s))], U).byteswap().tobytes()
+def _whole(words: np.ndarray) -> np.ndarray:
+    h = U(len(words))
+    for x in words:
+        h = mix(np.array([h], U) * U(31) + x)[0]
+    return np.array([h], U)
+
+
+def digest(s: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """128 bits of a set of shingles with 128 bits each."""
+    return blake2b(s[0].tobytes() + s[1].tobytes(), digest_size=16).digest()
 
 
 def signature(s: np.ndarray, k: int) -> np.ndarray:
@@ -96,47 +103,55 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
         for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             sets, cls, out = shingle_sets(batch.column(1), shingle), [], []
             for s in sets:
-                if len(s):
+                if len(s[0]):
                     acc = salt.copy()
-                    for col in signature(s, bands * rows).reshape(bands, rows).T:
+                    for col in signature(s[0], bands * rows).reshape(bands, rows).T:
                         acc = mix(acc * U(31) + col)
                     cls.append(digest(s))
                     out.append(acc.view(np.int64))
                 else:
                     cls.append(None)
                     out.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(out, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s[0]) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(out, pa.list_(pa.int64()))], schema=schema)
 
     return docs.select(name(id_col).cast("long").alias("doc_id"), name(text_col).cast("string").alias("text"), F.xxhash64(name(text_col)).alias("tie")).mapInArrow(kernel, "doc_id long, tie long, n long, cls binary, bands array<long>")
 
 
+#: Pairs of one centre that meet its text in one task.
+PAIRS = 256
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(m, c, common, total) on full sets of the pairs' texts."""
-    text = docs.select(name(id_col).cast("long").alias("doc_id"), name(text_col).cast("string").alias("text"))
-    used = pairs.select(F.col("m").alias("cls")).union(pairs.select(F.col("c").alias("cls"))).distinct()
-    texts = used.join(classes.select("cls", "min_doc"), "cls").join(text, F.col("min_doc").eqNullSafe(F.col("doc_id"))).select("cls", "text").distinct()
-    wide = pairs.join(texts.select(F.col("cls").alias("m"), F.col("text").alias("text_m")), "m").join(texts.select(F.col("cls").alias("c"), F.col("text").alias("text_c")), "c")
+    """(m, c, common, total) on full sets of the pairs' words. The pairs of one centre are spread over copies of its text."""
+    t = name(text_col).cast("string")
+    text = docs.select(name(id_col).cast("long").alias("doc_id"), F.xxhash64(name(text_col)).alias("tie"), t.alias("text"))
+    copies = F.ceil(F.count("*") / PAIRS).cast("long").alias("copies")
+    centres = pairs.groupBy("c").agg(copies)
+    used = centres.select(F.col("c").alias("cls"), "copies").union(pairs.select("m", F.lit(0))).groupBy("cls").agg(F.max("copies").alias("copies"))
+    used = used.join(classes.select("cls", "min_doc", F.col("tie").alias("min_tie")), "cls")
+    texts = text.join(used, F.col("min_doc").eqNullSafe(F.col("doc_id")) & (F.col("tie") == F.col("min_tie"))).select("cls", "copies", "text").dropDuplicates(["cls"])
+    spread = pairs.join(centres, "c").select("m", "c", F.pmod(F.xxhash64("m"), "copies").alias("copy"))
+    of_c = texts.where("copies > 0").select(F.col("cls").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("text").alias("text_c"))
+    wide = spread.join(texts.select(F.col("cls").alias("m"), F.col("text").alias("text_m")), "m").join(of_c, ["c", "copy"])
     schema = pa.schema([("m", pa.binary()), ("c", pa.binary()), ("common", pa.int64()), ("total", pa.int64())])
 
     def kernel(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                b, out = batch.slice(at, 256), []
-                ms, cs = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for m, c, x, y in zip(ms, cs, shingle_sets(b.column(2), shingle), shingle_sets(b.column(3), shingle)):
-                    if digest(x) == m and digest(y) == c:  # else another text of a repeated id
-                        common = len(np.intersect1d(x, y, assume_unique=True))
-                        out.append((m, c, common, len(x) + len(y) - common))
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
+                b = batch.slice(at, 256)
+                sets = exact_shingles(pa.concat_arrays([b.column(2), b.column(3)]), shingle)
+                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets, sets[b.num_rows :])]
+                total = [len(x) + len(y) - k for x, y, k in zip(sets, sets[b.num_rows :], common)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], schema=schema)
 
-    return wide.select("m", "c", "text_m", "text_c").mapInArrow(kernel, "m binary, c binary, common long, total long").distinct()
+    return wide.select("m", "c", "text_m", "text_c").mapInArrow(kernel, "m binary, c binary, common long, total long")
 
 
 def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """One row per document: doc_id, tie (hash of its text), n_shingles, component_id, kept, n_links (links
     shown to other classes), group (one value per component, null without shingles)."""
     sig = scratch(signatures(docs, id_col, text_col, shingle, bands, rows), "sig")
-    classes = scratch(sig.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("bands").alias("bands")), "cls")
+    classes = scratch(sig.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("cls", "first.doc_id", "first.tie", "n", "bands").withColumnRenamed("doc_id", "min_doc"), "cls")
     rest = classes.select("cls", "n", F.explode("bands").alias("h"), F.col("cls").alias("root"))
     centre = rest.groupBy("h").agg(F.min(F.struct("cls", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("h", F.col("c.cls").alias("c"), F.col("c.n").alias("nc"), F.col("c.cls").alias("rc"))
     done, roots, centres = None, None, 16

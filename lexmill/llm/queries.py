@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .decontaminate import MASKS, decontaminate
+from .decontaminate import decontaminate
 from .fingerprint import edited_fingerprints
 from .language_id import fit, held_out, identify
 from .license_scan import K, license_scan, template_rows
@@ -107,14 +107,15 @@ SELECT doc_id, n::BIGINT AS n_chars, edited_sha256, rt || '/' || bt AS fingerpri
 
 
 def _decontamination_sql() -> str:
-    span = [len(m) for m in MASKS]
-    seed = lambda m: "||' '||".join(f"w[i + {j}]" for j, c in enumerate(m) if c == "1")
-    seeds = lambda src, key: " UNION ALL ".join(f"SELECT {key}, {n} AS mask, i AS pos, {seed(m)} AS seed FROM {src}, unnest(range(1, len(w) - {len(m)} + 2)) AS r(i)" for n, m in enumerate(MASKS))
+    """By runs instead of masks: e substitutions in m words leave floor(m / (e + 1)) words in a row untouched."""
+    run = lambda g: "||' '||".join(f"w[i + {j}]" for j in range(g))
+    runs = lambda src, key: " UNION ALL ".join(f"SELECT {key}, {g} AS g, i AS pos, {run(g)} AS run FROM {src}, unnest(range(1, len(w) - {g} + 2)) AS r(i) WHERE len(w) >= {g}{f' AND g = {g}' if src == 'b' else ''}" for g in (1, 2, 3, 4))
     return f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-ds AS ({seeds("d", "doc_id")}), bs AS ({seeds("b", "item_id")}),
-a AS (SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS start FROM ds JOIN bs USING (mask, seed)),
-s AS (SELECT doc_id, item_id, start, least(len(b.w), 13) AS size, list_transform(range(1, len(b.w) + 1), lambda i: CASE WHEN start + i >= 1 AND start + i <= len(d.w) AND d.w[greatest(start + i, 1)] = b.w[i] THEN 1 ELSE 0 END) AS same FROM a JOIN d USING (doc_id) JOIN b USING (item_id) WHERE len(b.w) >= {min(span)}),
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT *, CASE WHEN size < 5 THEN size WHEN size < 10 THEN size // 2 ELSE size // 3 END AS g FROM (SELECT item_id, w, least(len(w), 13) AS size FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0)),
+ds AS ({runs("d", "doc_id")}), bs AS ({runs("b", "item_id")}),
+a AS (SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS start FROM ds JOIN bs USING (g, run)),
+s AS (SELECT doc_id, item_id, start, size, list_transform(range(1, len(b.w) + 1), lambda i: CASE WHEN start + i >= 1 AND start + i <= len(d.w) AND d.w[greatest(start + i, 1)] = b.w[i] THEN 1 ELSE 0 END) AS same FROM a JOIN d USING (doc_id) JOIN b USING (item_id)),
 v AS (SELECT doc_id, item_id, round(list_max(list_transform(range(1, len(same) - size + 2), lambda i: list_sum(same[i:i + size - 1]))) / size, 6) AS agree FROM s),
 f AS (SELECT doc_id, count(DISTINCT item_id) AS n, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items, max(agree) AS agree FROM v WHERE agree >= 0.8 GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_items, coalesce(items, '') AS items, coalesce(agree, 0)::DOUBLE AS agree, n IS NOT NULL AS contaminated FROM d LEFT JOIN f USING (doc_id)"""

@@ -5,7 +5,9 @@ sparse one-row count-min sketch of its windows (cells of 32 bits in each of ``bl
 hash ranges, counts saturating at 2). The sketches are merged by block; a merged count
 never falls below the true one, so a window whose estimate is 1 is unique and needs no
 second look. Only windows estimated at 2 or more go through the second pass, which groups
-them by 128-bit fingerprints and finds the smallest document id of each.
+them by 128-bit fingerprints and finds the smallest document id of each. The halves of a
+fingerprint come from independent hashes of the words' bytes, so that two of 10**13 different
+windows (100 TB) share one with a chance of 10**-12.
 
 Defined cases: null text has no words; a document shorter than the window keeps all; a null
 id counts as larger than any id; rows that share an id never remove each other's windows;
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .exchange import ID_MAX, back, chunked, exchange, partitions
+from .exchange import ID_MAX, back, chunk_count, chunked, exchange
 from .kernels import U, Words, bits, block_ends, planes, unbits, unplanes
 
 _SENT = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
@@ -73,7 +75,7 @@ def _groups(w: Words, at, h, ids, likely, window):
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chunks: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
-    n = chunks or partitions(docs)
+    n = chunks or chunk_count(docs, text_col)
     source = chunked(docs, id_col, text_col, n)
 
     def sketch(t: pa.Table) -> pa.Table:
