@@ -12,7 +12,7 @@ from .functions.stem import stemmer_names
 from .functions.tokens import TokenSpec
 from .functions.words import CLASSES
 from .operators.counts import ngrams
-from .operators.text import sentences_of, types_of
+from .operators.text import source_sentences, types_of
 from .resources import stopword_names, stopwords
 from .sources import ndjson
 
@@ -73,12 +73,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=s
         t, n = ndjson.scan_schema(lines)
         print(f"{t.render()}\n{n} rows", file=out)
     elif a.command == "sentences":
-        found = sentences_of(ndjson.text_of(value, a.field.strip('"')), not a.strict)
-        emit(lines.select(found.alias("s")).select(F.to_json(F.transform("s", lambda s: s["sentence"]))))
+        field = a.field.strip('"')
+        emit(lines.select(source_sentences(ndjson.raw_text(value, field), not a.strict)))
     else:
         types = lines.select(types_of(ndjson.text_of(value, a.field.strip('"')), _spec(a)).alias("types"))
         if a.command == "tokens":
-            emit(types.select(F.to_json("types")))
+            emit(types.select(ndjson.text_array(F.col("types"))))
         else:
             print(f"Found {ngrams(types.where('types is not null'), a.length).count()} {a.length}-grams.", file=out)
     return 0

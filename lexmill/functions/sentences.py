@@ -53,7 +53,8 @@ class _Cursor:
 
     def lower_follows(self) -> bool:
         """After a full stop: is the next letter or stop a lower-case letter?"""
-        for c in self.cls[self.at + 1 :] if self.at < self.n else ():
+        for k in range(self.at + 1, self.n):
+            c = self.cls[k]
             if c == LOWER:
                 return True
             if c in (OLETTER, UPPER, SEP, STERM, ATERM) or c in (CR, LF) and not self.crlf:
@@ -158,7 +159,8 @@ class Suppressor:
 
     def _ahead(self, text: str, at: int, crlf: bool) -> bool:
         node = self.forward
-        for c in text[at:]:
+        for i in range(at, len(text)):
+            c = text[i]
             k = break_class(c)
             if k in (EXTEND, FORMAT):
                 continue

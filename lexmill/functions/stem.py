@@ -1,4 +1,4 @@
-"""Suffix stripping by the published English (Porter 2) and Porter algorithms.
+"""Suffix stripping by the published English (Porter 2) and Porter algorithms; other languages are in ``snowball``.
 
 ``stemmer(name)`` gives a callable; a user's own callable may return None for "no stem".
 """
@@ -9,6 +9,8 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 
+from . import snowball
+
 _V = "aeiouy"
 
 
@@ -144,8 +146,8 @@ def porter(word: str) -> str:
     return w.lower()
 
 
-ALGORITHMS: dict[str, Callable[[str], str | None]] = {"english": english, "porter": porter}
-ALIASES = {"en": "english", "eng": "english"}
+ALGORITHMS: dict[str, Callable[[str], str | None]] = {"english": english, "porter": porter, **snowball.ALGORITHMS}
+ALIASES = {"en": "english", "eng": "english", **snowball.ALIASES}
 
 
 def stemmer_names() -> list[str]:

@@ -6,8 +6,15 @@ its own tokens.
 
 from __future__ import annotations
 
+from functools import reduce
+from hashlib import blake2b
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.saved import saved
 
 
 def _weight(weight: str | Column | float) -> Column:
@@ -71,11 +78,49 @@ def ngram_sorted(counted: DataFrame) -> DataFrame:
     return counted.orderBy("length", F.reverse("ngram"))
 
 
+def _nodes(sequence: Column) -> Column:
+    """ARRAY<STRUCT<depth, parent, node, item>> of the prefixes; a node is a running 128-bit hash, so a long sequence costs one struct per item."""
+    of = T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("parent", T.BinaryType()), T.StructField("node", T.BinaryType()), T.StructField("item", T.StringType())])
+
+    @F.arrow_udf(T.ArrayType(of))
+    def kernel(sequences: pa.Array) -> pa.Array:
+        out = []
+        for items in sequences.to_pylist():
+            run, parent, nodes = blake2b(digest_size=16), None, []
+            for depth, x in enumerate(items or (), 1):
+                raw = x.encode()
+                run.update(len(raw).to_bytes(8, "little") + raw)
+                node = run.digest()
+                nodes.append({"depth": depth, "parent": parent, "node": node, "item": x})
+                parent = node
+            out.append(nodes)
+        return pa.array(out, pa.list_(pa.struct([("depth", pa.int32()), ("parent", pa.binary()), ("node", pa.binary()), ("item", pa.string())])))
+
+    return kernel.asNondeterministic()(sequence.cast("array<string>"))
+
+
 def prefix_tree(sequences: DataFrame, key: str) -> DataFrame:
-    """(path, depth): every distinct prefix of the arrays in ``key``; the nodes of their prefix tree."""
-    a = F.col(key)
-    prefixes = F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(1), F.size(a)), lambda i: F.slice(a, 1, i))).otherwise(F.array().cast("array<array<string>>"))
-    return sequences.select(F.explode(prefixes).alias("path")).distinct().select("path", F.size("path").alias("depth"))
+    """(node, parent, depth, item): every distinct prefix of the arrays in ``key``, by hash, with the prefix it lengthens and its last item; NULL parent at depth 1."""
+    return sequences.select(F.inline(_nodes(F.col(key)))).groupBy("node").agg(F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.first("item").alias("item"))
+
+
+def numbered_tree(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, parent, depth, item, id, parent_id): nodes numbered from 0 breadth first, by depth, then the parent's number, then the item.
+
+    One join and one ranking per level; levels are found by one aggregate.
+    """
+    last = nodes.agg(F.max("depth")).first()[0] or 0
+    last = min(last, max_depth) if max_depth else last
+    done, above, before = [], None, 0
+    for depth in range(1, last + 1):
+        level = nodes.where(F.col("depth") == depth)
+        level = level.withColumn("parent_id", F.lit(None).cast("long")) if above is None else level.join(above.select(F.col("node").alias("parent"), F.col("id").alias("parent_id")), "parent")
+        above = saved(_dense(level, ["parent_id", "item"], before).select("node", "parent", "depth", "item", "id", "parent_id"))
+        before += above.count()
+        done.append(above)
+    if not done:
+        return nodes.select("node", "parent", "depth", "item", F.lit(0).cast("long").alias("id"), F.lit(None).cast("long").alias("parent_id")).limit(0)
+    return reduce(DataFrame.unionByName, done)
 
 
 def vocabulary(tok: DataFrame, type_: str = "type", token: str = "token") -> DataFrame:
@@ -83,20 +128,30 @@ def vocabulary(tok: DataFrame, type_: str = "type", token: str = "token") -> Dat
     return tok.select(type_, token).distinct().groupBy(F.col(type_).alias("type")).agg(F.array_sort(F.collect_list(token)).alias("tokens"))
 
 
-def distinct_ids(df: DataFrame, item: str, order: list[str]) -> DataFrame:
-    """(item, id): distinct items with dense ids from 0 in order of first appearance.
+def _dense(rows: DataFrame, order: list[str], start: int = 0) -> DataFrame:
+    """``rows`` with ``id``: dense numbers in the given order, which must be without ties.
 
-    The items are range-partitioned by first appearance and ranked within partitions; only one
-    count per partition is summed up to give offsets, so no task ranks all items.
+    Rows are parted by ranges of the order and written down with their part, so that the parts
+    counted are the parts ranked; one count per part is summed up, and no task ranks all rows.
     """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranked = saved(saved(rows).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per part
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranked.withColumn("_nth", nth).join(F.broadcast(offsets), "_part").withColumn("id", (F.col("_nth") + F.col("_before") - 1 + start).cast("long")).drop("_part", "_nth", "_before")
+
+
+def distinct_ids(df: DataFrame, item: str, order: list[str]) -> DataFrame:
+    """(item, id): distinct items (also arrays: sequences) with dense ids from 0 in order of first appearance."""
     first = df.where(F.col(item).isNotNull()).groupBy(F.col(item).alias("item")).agg(F.min(F.struct(*order)).alias("first"))
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranked = first.repartitionByRange(parts, "first", "item").withColumn("part", F.spark_partition_id())
-    ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("first", "item")))
-    sizes = ranked.groupBy("part").agg(F.max("nth").alias("n"))  # one row per partition
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return ranked.join(F.broadcast(offsets), "part").select("item", (F.col("nth") + F.col("before") - 1).cast("long").alias("id"))
+    return _dense(first, ["first", "item"]).select("item", "id")
+
+
+def sorted_ids(ids: DataFrame) -> DataFrame:
+    """(item, id, rank): a set with ids in ascending order of its items, the ids carried along; rank from 0."""
+    return _dense(ids.withColumnRenamed("id", "old"), ["item"]).select("item", F.col("old").alias("id"), F.col("id").alias("rank"))
 
 
 def having(df: DataFrame, items: DataFrame, on: list[str], present: bool = True) -> DataFrame:

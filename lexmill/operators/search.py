@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +36,55 @@ def occurrences(items: Column, lengths: list[int]) -> Column:
     return F.flatten(F.filter(F.array(*map(runs, lengths)), lambda x: x.isNotNull()))
 
 
+_MATCH = "array<struct<term_id:int,start:int,size:int,end_pos:int,length:int>>"
+
+
+def matches(text: Column, terms: list[tuple[int, list[str]]], spec: TokenSpec = TokenSpec()) -> Column:
+    """Array of matches in order of their last token, longest first; a trie is followed from tokens that start a term only."""
+    item = pa.struct([(c, pa.int32()) for c in ("term_id", "start", "size", "end_pos", "length")])
+
+    @F.arrow_udf(_MATCH)
+    def kernel(texts: pa.Array) -> pa.Array:
+        trie: dict = {}
+        for term, types in terms:
+            node = trie
+            for x in types:
+                node = node.setdefault(x, {})
+            node[None] = term
+        f, out = filter_of(spec), []
+        for t in texts.to_pylist():
+            if t is None:
+                out.append(None)
+                continue
+            kept = [(a, b, x) for a, b, x, _ in f.tokens(t) if x is not None] if t else []
+            found = []
+            for i, (start, _, x) in enumerate(kept):
+                node, k = trie.get(x), i
+                while node is not None:
+                    if None in node:
+                        found.append((k, i - k - 1, node[None], start, kept[k][1]))
+                    k += 1
+                    node = node.get(kept[k][2]) if k < len(kept) else None
+            out.append([{"term_id": term, "start": start, "size": end - start, "end_pos": end, "length": -n} for _, n, term, start, end in sorted(found)])
+        return pa.array(out, pa.list_(item))
+
+    return kernel.asNondeterministic()(text)
+
+
 def search(df: DataFrame, terms: DataFrame, text: str = "text", spec: TokenSpec = TokenSpec()) -> DataFrame:
     """The other columns of ``df`` with term_id, term, start, size, end_pos, length.
 
     A match spans from its first token to its last, with ignored text between; matches go by last
-    token, longest first. One hash join on the token sequence; only lengths that terms have are tried.
+    token, longest first. Up to ``BROADCAST_TERMS`` terms are matched within the token kernel; more
+    are joined to the runs of tokens of their lengths by one hash join.
     """
-    lengths = sorted(r[0] for r in terms.select(F.size("types")).distinct().collect())
-    if not lengths:
-        lengths = [1]
-    others = [c for c in df.columns if c != text]
-    known = terms.select("term_id", "term", "types")
+    others, known = [c for c in df.columns if c != text], terms.select("term_id", "term", "types")
     if terms.count() <= BROADCAST_TERMS:
-        known = F.broadcast(known)
+        few = [(r.term_id, list(r.types)) for r in known.collect()]
+        each = df.select(*others, F.inline(matches(F.col(text), few, spec)))
+        return each.join(F.broadcast(known.select("term_id", "term")), "term_id").select(*others, "term_id", "term", "start", "size", "end_pos", "length")
+    lengths = sorted(r[0] for r in terms.select(F.size("types")).distinct().collect())
     items = df.select(*others, tokens_of(F.col(text), spec).alias("_items"))
-    each = items.select(*others, F.explode(occurrences(F.col("_items"), lengths)).alias("_o")).select(*others, "_o.*")
-    found = each.join(known, "types")
+    found = items.select(*others, F.explode(occurrences(F.col("_items"), lengths)).alias("_o")).select(*others, "_o.*").join(known, "types")
     end = F.col("last.start") + F.col("last.size")
     return found.select(*others, "term_id", "term", F.col("first.start").alias("start"), (end - F.col("first.start")).alias("size"), end.alias("end_pos"), F.size("types").alias("length"))

@@ -7,6 +7,8 @@ decoded text. NULL text gives a NULL array, hence no rows.
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.sentences import KINDS, Suppressor, sentences as _sentences
 from ..functions.tokens import TokenSpec, filter_of
 from ..resources import suppressions
+from ..sources.jsontype import unescape
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -87,3 +90,27 @@ def sentences(df: DataFrame, text: str = "text", crlf_as_space: bool = True, sup
     """The other columns of ``df`` with pos, start, size, kind, sentence: a row per sentence."""
     others = [c for c in df.columns if c != text]
     return df.select(*others, F.posexplode(sentences_of(F.col(text), crlf_as_space, suppress)).alias("pos", "s")).select(*others, "pos", "s.*")
+
+
+_ESCAPE = re.compile(r"\\u[dD][89abAB]..\\u....|\\u....|\\.|.", re.DOTALL)
+
+
+def source_sentences(raw: Column, crlf_as_space: bool = True) -> Column:
+    """JSON line of the sentences of a JSON string given by its source: its escapes stay as they are written; ``null`` for NULL."""
+
+    @F.arrow_udf("string")
+    def kernel(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            if t is None:
+                out.append("null")
+                continue
+            if "\\" not in t:
+                cuts = [t[a:b] for a, b, _ in _sentences(t, crlf_as_space)]
+            else:  # one piece of source per character
+                pieces = _ESCAPE.findall(t)
+                cuts = ["".join(pieces[a:b]) for a, b, _ in _sentences("".join(map(unescape, pieces)), crlf_as_space)]
+            out.append("[" + ", ".join(f'"{x}"' for x in cuts) + "]")
+        return pa.array(out, pa.string())
+
+    return kernel.asNondeterministic()(raw)

@@ -8,8 +8,9 @@ from ..functions.tokens import TokenSpec
 from ..operators import counts as C
 from ..operators.search import BROADCAST_TERMS, occurrences, search, terms_frame
 from ..operators.text import sentences, spread, tokens, types_of
-from ..resources import stopwords
+from ..resources import stopwords, suppressions
 from ..sources import ndjson
+from . import json_queries, sentence_sql, stem_sql, text_queries
 
 _TEXTS = {"documents": ["doc_id", "text"], "benchmark": ["item_id", "text"], "conversations": ["conv_id", "turn", "text"]}
 
@@ -144,7 +145,7 @@ def tokens_stemmed(spark, d):
     return C.census(_types(spark, d, TokenSpec(drop_classes=("punct", "symbol"), stem="english").without(ENGLISH))).select("item", F.col("weight").cast("long").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (term_census, term_topk, doc_token_counts, drop_classes, stopword_drop, drop_exception, combine_terms, benchmark_ngrams, document_bigram_count, vocabulary, vocab_ids, int_ids, text_search, event_census, event_bigrams, event_search, term_membership, json_get_k, json_scan_types, json_decode, json_fields, prefix_tree, document_sentences, sentences_suppressed, tokens_stemmed)}
+QUERIES = {f.__name__: f for f in (term_census, term_topk, doc_token_counts, drop_classes, stopword_drop, drop_exception, combine_terms, benchmark_ngrams, document_bigram_count, vocabulary, vocab_ids, int_ids, text_search, event_census, event_bigrams, event_search, term_membership, json_get_k, json_scan_types, json_decode, json_fields, prefix_tree, document_sentences, sentences_suppressed, tokens_stemmed)} | json_queries.QUERIES | text_queries.QUERIES
 
 _WORD = r"(?:_*(?:\p{L}+(?:[.:''·‘’]\p{L}+)*|\p{N}+(?:[.,;'']\p{N}+)*)_*)+"
 _PAT = rf"[#@][\p{{L}}\p{{N}}_]+|{_WORD}|[^\s]"
@@ -192,6 +193,14 @@ SELECT doc_id, term, length::INT AS length, count(*) AS n FROM m GROUP BY ALL"""
     "json_get_k": "SELECT event_id, json_extract(props, '$.k')::VARCHAR AS k FROM events",
     "json_scan_types": """SELECT '{ "k": ' || CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'real' WHEN 'VARCHAR' THEN 'text' ELSE 'any' END || ' }' AS type, count(*) AS n FROM events GROUP BY 1""",
     "json_decode": "SELECT event_id, json_extract_string(props, '$.k')::INT AS as_int, json_extract_string(props, '$.k')::DOUBLE AS as_double FROM events",
-    "json_fields": "SELECT event_id, 0::BIGINT AS at, 'k' AS name, json_extract(props, '$.k')::VARCHAR AS value FROM events",
+    "json_fields": "SELECT event_id, (i - 1)::BIGINT AS at, json_keys(props)[i] AS name, json_extract(props, '$.' || json_keys(props)[i])::VARCHAR AS value FROM events, unnest(range(1, len(json_keys(props)) + 1)) AS r(i)",
     "prefix_tree": f"WITH {_tok('benchmark', 'item_id')}, p AS (SELECT DISTINCT pos + 1 AS depth, string_agg(type, ' ') OVER (PARTITION BY item_id ORDER BY pos) AS path FROM tok) SELECT depth::INT AS depth, count(*) AS n_nodes FROM p GROUP BY depth",
 }
+_SENTENCE = "pos::INT AS pos, start::INT AS start, size::INT AS size, kind FROM sentence"
+SQL |= {
+    "document_sentences": f"WITH {sentence_sql.sentences()} SELECT doc_id, {_SENTENCE}",
+    "sentences_suppressed": f"WITH {sentence_sql.sentences('conversations', 'conv_id, turn', suppressions('english'))} SELECT conv_id, turn, {_SENTENCE}",
+    "tokens_stemmed": f"WITH stops(w) AS (VALUES {_STOPS}), {_tok()}, words AS (SELECT type AS word FROM tok WHERE {_LETTER} AND type NOT IN (SELECT w FROM stops)), {stem_sql.english('words')}, kept AS (SELECT CASE WHEN {_LETTER} THEN stem ELSE type END AS item FROM tok LEFT JOIN stemmed ON word = type WHERE ({_LETTER} OR {_NUMBER}) AND type NOT IN (SELECT w FROM stops)) SELECT item, count(*) AS n FROM kept WHERE item NOT IN (SELECT w FROM stops) GROUP BY item",
+    **json_queries.sql(_tok),
+    **text_queries.sql(_tok, _WORD),
+}

@@ -81,6 +81,22 @@ def unescape(raw: str) -> str:
     return _ESCAPE.sub(one, raw) if "\\" in raw else raw
 
 
+class _Open:
+    """A record or array that isn't closed yet."""
+
+    def __init__(self, named: bool):
+        self.named, self.close = named, "}" if named else "]"
+        self.fields: dict[str, JsonType] = {}
+        self.item, self.n, self.name, self.start = NULL, 0, None, 0
+
+    def add(self, t: JsonType) -> None:
+        if self.named:
+            self.fields[self.name] = t
+        else:
+            self.item = self.item | t
+            self.n += 1
+
+
 class _Scanner:
     def __init__(self, text: str):
         self.s, self.at = text, 0
@@ -105,16 +121,10 @@ class _Scanner:
         self.at = m.end()
         return m[1]
 
-    def value(self, spans: dict | None = None) -> JsonType:
-        self.blank()
-        c = self.s[self.at : self.at + 1]
-        if c == '"':
+    def scalar(self) -> JsonType:
+        if self.s.startswith('"', self.at):
             self.string()
             return TEXT
-        if c == "[":
-            return self.items()
-        if c == "{":
-            return self.members(spans)
         for word, t in (("null", NULL), ("true", BOOLEAN), ("false", BOOLEAN)):
             if self.s.startswith(word, self.at):
                 self.at += len(word)
@@ -125,43 +135,54 @@ class _Scanner:
         self.at = m.end()
         return REAL if m["real"] else INTEGER
 
-    def items(self) -> JsonType:
-        self.expect("[")
+    def key(self, frame: _Open) -> None:
+        """Read a field's name up to its value."""
+        key = unicodedata.normalize("NFC", unescape(self.string()))
+        if key in frame.fields:
+            self.fail()
+        self.expect(":")
         self.blank()
-        item, n = NULL, 0
-        if self.s.startswith("]", self.at):
-            self.at += 1
-            return array(NULL, 0)
-        while True:
-            item, n = item | self.value(), n + 1
-            self.blank()
-            if self.s.startswith("]", self.at):
-                self.at += 1
-                return array(item, n)
-            self.expect(",")
+        frame.name, frame.start = key, self.at
 
-    def members(self, spans: dict | None) -> JsonType:
-        self.expect("{")
-        self.blank()
-        fields: dict[str, JsonType] = {}
-        if self.s.startswith("}", self.at):
-            self.at += 1
-            return record({})
+    def value(self, spans: dict | None = None) -> JsonType:
+        """Read a value with an explicit stack, so that depth is bounded by memory alone; ``spans`` takes those of its own items or fields."""
+        stack: list[_Open] = []
         while True:
-            key = unicodedata.normalize("NFC", unescape(self.string()))
-            if key in fields:
-                self.fail()
-            self.expect(":")
-            self.blank()
-            start = self.at
-            fields[key] = self.value()
-            if spans is not None:
-                spans[key] = (start, self.at)
             self.blank()
-            if self.s.startswith("}", self.at):
+            c = self.s[self.at : self.at + 1]
+            if c in ("[", "{") and c:
+                frame, self.at = _Open(c == "{"), self.at + 1
+                self.blank()
+                if not self.s.startswith(frame.close, self.at):
+                    stack.append(frame)
+                    if frame.named:
+                        self.key(frame)
+                    else:
+                        frame.start = self.at
+                    continue
+                self.at += 1
+                t = record({}) if frame.named else array(NULL, 0)
+            else:
+                t = self.scalar()
+            while stack:  # the value ends here; close what ends with it
+                frame = stack[-1]
+                if spans is not None and len(stack) == 1:
+                    spans[frame.name if frame.named else frame.n] = (frame.start, self.at)
+                frame.add(t)
+                self.blank()
+                if not self.s.startswith(frame.close, self.at):
+                    self.expect(",")
+                    self.blank()
+                    if frame.named:
+                        self.key(frame)
+                    else:
+                        frame.start = self.at
+                    break
                 self.at += 1
-                return record(fields)
-            self.expect(",")
+                stack.pop()
+                t = record(frame.fields) if frame.named else array(frame.item, frame.n)
+            else:
+                return t
 
     def end(self):
         self.blank()
@@ -169,8 +190,8 @@ class _Scanner:
             self.fail()
 
 
-def scan(line: str) -> tuple[JsonType, dict[str, tuple[int, int]]]:
-    """Type of a whole line and the spans of its top-level fields in source order; ValueError if invalid."""
+def scan(line: str) -> tuple[JsonType, dict[str | int, tuple[int, int]]]:
+    """Type of a whole line and the spans of its top-level fields (by name) or items (by number) in source order; ValueError if invalid."""
     s, spans = _Scanner(line), {}
     s.blank()
     t = NULL if s.at == len(line) else s.value(spans)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,9 @@ def _kernel(f, schema: str, mode: str):
     def one(line):
         try:
             return None if line is None else f(line)
-        except ValueError:
+        except (ValueError, RecursionError) as e:  # types nested too deeply to be merged count as invalid
             if mode == "FAILFAST":
-                raise
+                raise ValueError(str(e)) from None
             return None
 
     @F.pandas_udf(schema)
@@ -58,7 +60,8 @@ def get_field(line: Column, field: str, mode: str = "FAILFAST") -> Column:
     """The field's raw JSON exactly as it stands in the line, NULL if absent."""
 
     def cut(s):
-        span = J.scan(s)[1].get(field)
+        t, spans = J.scan(s)
+        span = spans.get(field) if t.kind == "record" else None
         return s[span[0] : span[1]] if span else None
 
     return _kernel(cut, "string", mode)(line)
@@ -71,7 +74,7 @@ def text_of(line: Column, field: str = "text", mode: str = "FAILFAST") -> Column
         t, spans = J.scan(s)
         if t == J.TEXT:
             return J.decode_text(s)
-        if field in spans:
+        if t.kind == "record" and field in spans:
             raw = s[slice(*spans[field])]
             return J.decode_text(raw) if raw.startswith('"') else None
         return None
@@ -93,6 +96,33 @@ def n_fields(line: Column, mode: str = "FAILFAST") -> Column:
     return F.size(fields_of(line, mode))
 
 
+def items_of(line: Column, mode: str = "FAILFAST") -> Column:
+    """ARRAY<STRING> of the raw items of a JSON array in order; NULL for other types."""
+
+    def walk(s):
+        t, spans = J.scan(s)
+        return [s[a:b] for a, b in spans.values()] if t.kind == "array" else None
+
+    return _kernel(walk, "array<string>", mode)(line)
+
+
+def n_items(line: Column, mode: str = "FAILFAST") -> Column:
+    """Length of a JSON array; NULL for other types."""
+    items = items_of(line, mode)
+    return F.when(items.isNotNull(), F.size(items))
+
+
+def as_bool(raw: Column) -> Column:
+    """true and false; NULL for all else."""
+    bare = F.regexp_replace(raw, r"^\s+|\s+$", "")
+    return F.when(bare == "true", True).when(bare == "false", False)
+
+
+def as_text(raw: Column, mode: str = "FAILFAST") -> Column:
+    """Decoded text of a JSON string; NULL for other types."""
+    return _kernel(J.decode_text, "string", mode)(raw)
+
+
 def as_double(raw: Column) -> Column:
     return raw.try_cast("double")
 
@@ -103,6 +133,32 @@ def as_int(raw: Column) -> Column:
     return F.when(raw.rlike(r"^\s*[+-]?\d+\s*$"), F.greatest(F.least(d, F.lit(J.INT_MAX)), F.lit(J.INT_MIN)).cast("int"))
 
 
+def text_array(items: Column, raw: bool = False) -> Column:
+    """JSON line of an array of texts, ``null`` for NULL, with a space after each comma.
+
+    Control and non-ASCII characters are escaped. With ``raw`` the texts are pieces of a JSON
+    string's source, whose escapes pass through untouched.
+    """
+
+    @F.pandas_udf("string")
+    def kernel(rows: pd.Series) -> pd.Series:
+        one = (lambda t: f'"{t}"') if raw else json.dumps
+        return rows.map(lambda r: "null" if r is None else "[" + ", ".join(map(one, r)) + "]")
+
+    return kernel(items)
+
+
+def raw_text(line: Column, field: str = "text", mode: str = "FAILFAST") -> Column:
+    """Source of the text that ``text_of`` decodes, without its quotes."""
+
+    def pick(s):
+        t, spans = J.scan(s)
+        raw = s.strip() if t == J.TEXT else s[slice(*spans[field])] if t.kind == "record" and field in spans else ""
+        return raw[1:-1] if raw.startswith('"') else None
+
+    return _kernel(pick, "string", mode)(line)
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     """One JSON value per line of a single string column; NULL as ``null``."""
     c = df.columns[0]

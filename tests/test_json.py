@@ -70,6 +70,36 @@ def test_commands(spark, tmp_path):
 
     assert said("get", path, "text") == ['"A rose is a rose."', '"Mr. Red! No?"', "null"]
     assert said("scan", path) == ["any", "3 rows"]
-    assert said("sentences", path)[1:] == ['["Mr. ","Red! ","No?"]', "null"]
-    assert said("tokens", path, "-d", "punct", "-t", "english")[0] == '["rose","rose"]'
+    assert said("sentences", path)[1:] == ['["Mr. ", "Red! ", "No?"]', "null"]
+    assert said("tokens", path, "-d", "punct", "-t", "english")[0] == '["rose", "rose"]'
     assert said("ngrams", path, "-n", "2", "-d", "punct") == ["Found 11 2-grams."]
+
+
+def test_output_escapes(spark, tmp_path):
+    path = tmp_path / "c.json"
+    path.write_text('{"text": "Caf\\u00e9 \\"x\\". Oui\\n\\ud83d\\ude00!"}\n"Z\u00fcge"\n', "utf-8")
+    out = io.StringIO()
+    main(["sentences", str(path)], spark, out)
+    assert out.getvalue().splitlines() == ['["Caf\\u00e9 \\"x\\". ", "Oui\\n\\ud83d\\ude00!"]', '["Z\u00fcge"]']
+    out = io.StringIO()
+    main(["tokens", str(path), "-d", "punct"], spark, out)
+    assert out.getvalue().splitlines() == ['["caf\\u00e9", "x", "oui", "\\ud83d\\ude00"]', '["z\\u00fcge"]']
+
+
+def test_arrays(spark):
+    lines = ['[1, "a, ]", [2, [3]], {"k": [4]}, null]', " [ ] ", '{"a": [1]}', "3", "", "[1,2"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    c = F.col("value")
+    got = [(r[0], r[1]) for r in df.select(ndjson.items_of(c, "PERMISSIVE"), ndjson.n_items(c, "PERMISSIVE")).collect()]
+    assert got == [(["1", '"a, ]"', "[2, [3]]", '{"k": [4]}', "null"], 5), ([], 0), (None, None), (None, None), (None, None), (None, None)]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in ("true", " false ", "null", "1", '"true"')], "value string").select(ndjson.as_bool(c)).collect()] == [True, False, None, None, None]
+
+
+def test_deep_nesting(spark):
+    """Depth is no error in itself; types too deep to be merged count as invalid lines."""
+    assert J.scan("[" * 600 + "]" * 600)[0].render().startswith("[[[")
+    assert len(J.scan('{"a":' * 400 + "1" + "}" * 400)[1]) == 1
+    with pytest.raises(ValueError):
+        J.scan("[" * 600)
+    df = spark.createDataFrame([("[" * 20_000 + "]" * 20_000,), ("1",)], "value string")
+    assert ("integer", 1) in [(r.type, r.n) for r in ndjson.scan_types(df, mode="PERMISSIVE").collect()]

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from lexmill.functions.tokens import TokenSpec
 from lexmill.operators import counts as C
 from lexmill.operators.search import search, terms_frame
 from lexmill.operators.text import sentences, tokens, types_of
+from lexmill.plans import queries as queries_module
 from lexmill.streaming.counts import stream_census
 
 
@@ -77,7 +79,41 @@ def test_stream(spark, tmp_path):
     assert {r["item"]: r.weight for r in spark.table("counted").collect()} == {"a": 2, "b": 2, "c": 1}
 
 
+def test_search_both_ways(spark, monkeypatch):
+    """Beyond the broadcast bound the join finds what the trie does."""
+    df = spark.createDataFrame([(1, "a b a b c. b a"), (2, ""), (3, None)], "id int, text string")
+    terms = terms_frame(spark, ["a", "a b", "b a b", "b c", "c b"])
+    few = sorted(tuple(r) for r in search(df, terms).collect())
+    monkeypatch.setattr("lexmill.operators.search.BROADCAST_TERMS", 1)
+    assert few == sorted(tuple(r) for r in search(df, terms).collect()) and len(few) == 7
+
+
+def test_trees(spark):
+    docs = spark.createDataFrame([(["b", "a"],), (["b", "a", "c"],), (["a", "z"],), (["b", "b"],), ([],), (None,)], "types array<string>")
+    rows = C.numbered_tree(C.prefix_tree(docs, "types")).orderBy("id").collect()
+    assert [(r.id, r.parent_id, r.depth, r["item"]) for r in rows] == [(0, None, 1, "a"), (1, None, 1, "b"), (2, 0, 2, "z"), (3, 1, 2, "a"), (4, 1, 2, "b"), (5, 3, 3, "c")]
+    assert C.numbered_tree(C.prefix_tree(docs.limit(0), "types")).count() == 0
+    ids = spark.createDataFrame([(30, 0), (10, 1), (20, 2)], "item int, id long")
+    assert [tuple(r) for r in C.sorted_ids(ids).orderBy("rank").collect()] == [(10, 1, 0), (20, 2, 1), (30, 0, 2)]
+
+
+CORE = sorted(queries_module.SQL)
+
+
+@pytest.mark.parametrize("name", CORE)
+def test_sql(spark, name):
+    """Each of the engine's own queries against its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for p in Path(sf).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    got, want = queries_module.QUERIES[name](spark, sf), con.sql(queries_module.SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    key = lambda rows, cols: sorted(tuple(str(r[cols.index(c)]) for c in sorted(cols)) for r in rows)
+    assert key([tuple(r) for r in got.collect()], got.columns) == key(want.fetchall(), want.columns)
+
+
 def test_registry(spark):
     names, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert set(sql) <= set(names) and {"term_census", "event_search", "json_get_k"} <= set(names)
+    assert set(sql) <= set(names) and set(queries_module.SQL) == set(queries_module.QUERIES) and {"term_census", "event_search", "json_get_k"} <= set(names)
     assert __spark_entry__.entry(spark).columns == ["item", "n"]
