@@ -1,13 +1,17 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contexts.
 
 Fixed patterns give e-mail addresses, IP addresses, card and phone numbers; these spans always
-stay. They are also the seeds of the method: every identifier-shaped token (six or more
-characters, two or more digits) makes an edge between its lexical pattern (the two tokens before
-it, digits masked; the start of the text counts as a token) and itself. Spark scores this graph over the whole corpus iteratively: a
-pattern is as reliable as the share of its distinct instances that are personal data, smoothed;
-an instance that is no seed is as reliable as its best pattern. Instances of patterns with
-``support`` or more distinct instances and a reliability of ``reliable`` or more are new spans of
-kind ``context``.
+stay. The method's seed entities are those spans and secret-shaped runs (32 or more characters of
+a key with digits and letters). Each seed induces the lexical patterns it stands in: the two
+tokens before it, the one before if it is a label (it ends in a mark such as a colon), the tokens
+on either side, a label glued to it; tokens are whole and parted by white space, digits masked,
+and the text's ends count as tokens. Patterns with ``support`` or more distinct seeds are looked
+up in all texts, and every token that stands in one, of whatever shape, is an instance of it.
+Spark scores this pattern-instance graph iteratively: a pattern is as reliable as the share of
+its distinct instances that are personal data, smoothed; an instance that is no seed is as
+reliable as its best pattern. What stands in a pattern of at least ``support`` distinct instances
+and a reliability of ``reliable`` is a new span of kind ``context``, unless it meets a base span; a
+secret-shaped run by itself is none.
 
 Each regular expression runs in time linear in the text: a failed start can't be retried further
 on in the same run. Defined cases: null text is empty; rows that repeat an id are searched each;
@@ -17,9 +21,11 @@ an empty table gives an empty result; other columns are ignored by ``find`` and
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import name
@@ -31,8 +37,6 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_DIGIT = re.compile(r"[0-9][A-Za-z0-9._%+@-]*")
-_SHAPE = _LOCAL | {"@"}
 
 
 def luhn(digits: str) -> bool:
@@ -65,93 +69,248 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-#: Stands for a token before the start of a text; real tokens hold no line end.
-_START = "\n"
+#: Stands for a token before the start or after the end of a text; real tokens hold no line end.
+_EDGE = b"\n"
+#: A-Z lower-cased and digits masked, byte for byte, so that offsets stay.
+_MASK = bytes(48 if 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_WRAP = b"\"'`()[]{}<>,;.!?*"
+_LABEL = tuple(b":=#>|(")
+_KEY = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+")
+_TOKEN = re.compile(rb"[^\x20\t\n\r\x0b\x0c]+")
+_GLUED = re.compile(rb"[^\x20\t\n\r\x0b\x0c]*[=:]")
+
+
+def key_spans(raw: bytes) -> list[tuple[int, int]]:
+    """Byte spans of secret-shaped runs: 32 or more characters of keys, at least 8 digits and 8 letters."""
+    out = []
+    for m in _KEY.finditer(raw):
+        digits = sum(48 <= c <= 57 for c in m[0])
+        if digits >= 8 and sum(c > 64 and c != 95 for c in m[0]) >= 8:
+            out.append(m.span())
+    return out
 
 
-def _pattern(text: str, start: int) -> str:
-    """The last 40 characters of the two tokens before ``start``, however far back they lie."""
-    near = text[max(0, start - 48) : start].lower().split()
-    if len(near) > 2:
-        parts = near[-2:]
+def _whole(token: bytes) -> bytes:
+    """A token of a pattern; a long one is stood for by its hash."""
+    return token if len(token) <= 64 else b"\x01" + blake2b(token, digest_size=16).hexdigest().encode()
+
+
+def _instance(raw: bytes) -> bytes:
+    return blake2b(raw.lower(), digest_size=16).digest()
+
+
+def _around(raw: bytes, start: int, end: int) -> tuple[bytes, bytes, bytes, bytes | None]:
+    """Masked tokens two before, before and after a span, and what is glued to its front (None: nothing)."""
+    at, found = start, []
+    while len(found) < 3:
+        while at and raw[at - 1] in b" \t\n\r\x0b\x0c":
+            at -= 1
+        stop = at
+        while at and raw[at - 1] not in b" \t\n\r\x0b\x0c":
+            at -= 1
+        found.append((at, stop))
+    glued = None
+    if found[0][1] == start and found[0][0] < start:  # part of the span's own token
+        (a, b), found = found[0], found[1:]
+        glued = raw[a:b].translate(_MASK)
+    m = _TOKEN.search(raw, end)
+    if m and m.start() == end:  # the rest of the span's own token
+        m = _TOKEN.search(raw, m.end())
+    near = [_whole(raw[a:b].translate(_MASK)) if a < b else _EDGE for a, b in found[:2]]
+    return near[1], near[0], _whole(m[0].translate(_MASK)) if m else _EDGE, glued
+
+
+def patterns_of(raw: bytes, start: int, end: int) -> list[bytes]:
+    """The lexical patterns a span stands in: two tokens before it; one, if it is a label; one on either side; a label glued to it."""
+    two, one, after, glued = _around(raw, start, end)
+    if glued is not None and (rest := glued.lstrip(_WRAP)) and rest.strip(_WRAP):
+        return [b"p " + _whole(rest)] if rest[-1:] in (b"=", b":") else []
+    out = [b"2 " + two + b" " + one, b"m " + one + b" " + after]
+    return [*out, b"1 " + one] if one[-1] in _LABEL else out
+
+
+class _Known:
+    """Patterns by kind, for look-ups."""
+
+    def __init__(self, patterns):
+        self.two, self.mid, self.one, self.glued = set(), set(), set(), set()
+        for p in patterns:
+            kind, rest = p[:1], p[2:]
+            if kind in b"2m":
+                # the edge mark holds no space, so the first space parts the tokens
+                {b"2": self.two, b"m": self.mid}[kind].add(tuple(rest.split(b" ", 1)))
+            else:
+                {b"1": self.one, b"p": self.glued}[kind].add(rest)
+        self.hashed = any(b"\x01" in p for p in patterns)
+
+
+def instances(raw: bytes, known: _Known | None) -> list[tuple[bytes, int, int]]:
+    """(pattern, start, end) in bytes of every token of the text that stands in a known pattern (in any, without ``known``), unwrapped."""
+    tokens = raw.translate(_MASK).split()
+    if known is None or known.hashed:
+        tokens = list(map(_whole, tokens))
+    t = [_EDGE, _EDGE, *tokens, _EDGE]
+    if known is None:
+        hits = [(b"2 " + t[i] + b" " + t[i + 1], i) for i in range(len(tokens))]
+        hits += [(b"m " + t[i + 1] + b" " + t[i + 3], i) for i in range(len(tokens))]
+        hits += [(b"1 " + t[i + 1], i) for i in range(len(tokens)) if t[i + 1][-1] in _LABEL]
     else:
-        parts, end, room = [], start, 40
-        while len(parts) < 2 and room >= 0:
-            while end > 0 and text[end - 1].isspace():
-                end -= 1
-            at = end
-            while at > 0 and end - at < room and not text[at - 1].isspace():
-                at -= 1
-            parts.insert(0, text[at:end].lower() if end else _START)
-            room, end = room - (end - at) - 1, at
-    return re.sub("[0-9]", "0", " ".join(parts))[-40:]
-
-
-def edges(text: str, base) -> list[tuple[str, str, int, int, bool]]:
-    """(pattern, instance, start, end, seed) of the identifier-shaped tokens and of the base spans."""
-    out, last = [(_pattern(text, s), text[s:e].lower()[:64], s, e, True) for _, s, e in base], 0
-    taken = sorted((s, e) for _, s, e in base)
-    k = 0
-    for m in _DIGIT.finditer(text):
-        s, e = m.span()
-        if s < last:
-            continue
-        while s > last and s > 0 and text[s - 1] in _SHAPE:
-            s -= 1
-        last = e
-        while k < len(taken) and taken[k][1] <= s:
-            k += 1
-        if e - s < 6 or sum(map(str.isdigit, text[s:e])) < 2 or any(a < e and s < b for a, b in taken[k : k + 8]):
-            continue
-        out.append((_pattern(text, s), text[s:e].lower()[:64], s, e, False))
+        two, mid, one = known.two, known.mid, known.one
+        n = len(tokens)
+        hits = [(b"2 %b %b" % p, i) for i, p in enumerate(zip(t, t[1:])) if p in two and i < n]
+        hits += [(b"m %b %b" % p, i) for i, p in enumerate(zip(t[1:], t[3:])) if p in mid]
+        hits += [(b"1 " + x, i) for i, x in enumerate(t[1:]) if x in one and i < n]
+    glued = (known is None or known.glued) and (b"=" in raw or b":" in raw)
+    if not hits and not glued:
+        return []
+    spans, out = [m.span() for m in _TOKEN.finditer(raw)], []
+    for pattern, i in hits:
+        a, b = spans[i]
+        a, b = b - len(raw[a:b].lstrip(_WRAP)), a + len(raw[a:b].rstrip(_WRAP))
+        if a < b:
+            out.append((pattern, a, b))
+    for a, b in spans if glued else ():
+        if m := _GLUED.match(raw, a, b):
+            label = m[0].translate(_MASK).lstrip(_WRAP)
+            end = m.end() + len(raw[m.end() : b].rstrip(_WRAP))
+            start = end - len(raw[m.end() : end].lstrip(_WRAP))
+            if label.strip(_WRAP) and start < end and (known is None or _whole(label) in known.glued):
+                out.append((b"p " + _whole(label), start, end))
+    return out
+
+
+def seeds_of(text: str, raw: bytes, base) -> list[tuple[int, int]]:
+    """Byte spans of the seed entities: the base spans, then secret-shaped runs apart from them."""
+    chars = sorted({x for _, s, e in base for x in (s, e)})
+    at = dict(zip(chars, _bytes_at(text, chars)))
+    spans = [(at[s], at[e]) for _, s, e in base]
+    return spans + [(s, e) for s, e in key_spans(raw) if not any(a < e and s < b for a, b in spans)]
+
+
+def _bytes_at(text: str, chars: list[int]) -> list[int]:
+    """Byte offsets of ascending character offsets."""
+    if text.isascii():
+        return chars
+    out, last, n = [], 0, 0
+    for c in chars:
+        n += len(text[last:c].encode())
+        last = c
+        out.append(n)
     return out
 
 
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
-_EDGE = "array<struct<pattern:string,instance:string,start:int,end:int,seed:boolean>>"
+#: Patterns and span-bearing texts are looked up in every task up to these many; beyond, by a join.
+BROADCAST_PATTERNS, BROADCAST_TEXTS = 200_000, 1_000_000
+
+
+def _keys(text: Column) -> list[Column]:
+    """Two hashes that stand for a text: equal texts have equal spans."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
 
 
 def _searched(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` as struct d, with row number, base spans and graph edges."""
+    """Columns ``keep`` of ``docs`` as struct d, with the text's keys, base spans and the seeds' pattern edges."""
     kept = docs.select(*map(name, keep)).schema.simpleString()
-    wide = docs.select(F.struct(*map(name, keep)).alias("d"), name(text_col).cast("string").alias("t"), F.monotonically_increasing_id().alias("row"))
+    t = name(text_col).cast("string")
+    wide = docs.select(F.struct(*map(name, keep)).alias("d"), t.alias("t"), *_keys(t))
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    edge = pa.list_(pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_())]))
+    edge = pa.list_(pa.struct([("pattern", pa.binary()), ("instance", pa.binary())]))
 
     def kernel(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
-                b, spans, graph = whole.slice(at, 1024), [], []
+                b, spans, edges = whole.slice(at, 1024), [], []
                 for t in b.column(1).to_pylist():
-                    base = base_spans(t or "")
+                    base, raw = base_spans(t or ""), (t or "").encode()
                     spans.append([dict(zip(("kind", "start", "end"), x)) for x in base])
-                    graph.append([dict(zip(("pattern", "instance", "start", "end", "seed"), x)) for x in edges(t or "", base)])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(spans, span), pa.array(graph, edge)], names=["d", "row", "base", "edges"])
+                    edges.append([{"pattern": p, "instance": _instance(raw[s:e])} for s, e in seeds_of(t or "", raw, base) for p in patterns_of(raw, s, e)])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(spans, span), pa.array(edges, edge)], names=["d", "k1", "k2", "base", "edges"])
+
+    return wide.mapInArrow(kernel, f"d {kept}, k1 long, k2 long, base {_SPAN}, edges array<struct<pattern:binary,instance:binary>>")
 
-    return wide.mapInArrow(kernel, f"d {kept}, row long, base {_SPAN}, edges {_EDGE}")
+
+def _places(docs: DataFrame, text_col: str, patterns: DataFrame, few: bool) -> DataFrame:
+    """(k1, k2, pattern, instance, seed, start, end) wherever a pattern stands, in characters."""
+    t = name(text_col).cast("string")
+    spark = docs.sparkSession
+    shipped = spark.sparkContext.broadcast([bytes(r[0]) for r in patterns.select("pattern").collect()]) if few else None
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("pattern", pa.binary()), ("instance", pa.binary()), ("seed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())])
+
+    def kernel(batches):
+        known = _Known(shipped.value) if shipped else None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b, rows = whole.slice(at, 1024), []
+                for k1, k2, t in zip(*(b.column(k).to_pylist() for k in range(3))):
+                    raw = (t or "").encode()
+                    found = instances(raw, known)
+                    if not found:
+                        continue
+                    base = base_spans(t)
+                    seeds, base = seeds_of(t, raw, base), len(base)
+                    places = sorted({x for _, s, e in found for x in (s, e)})
+                    chars = dict(zip(places, places if t.isascii() else _chars_at(raw, places)))
+                    starts = sorted((s, e, k) for k, (s, e) in enumerate(seeds))
+                    for p, s, e in found:
+                        over = _overlapping(starts, s, e)
+                        if not any(k < base for _, _, k in over):  # base spans are seeds already
+                            rows.append((k1, k2, p, _instance(raw[s:e]), bool(over), chars[s], chars[e]))
+                    rows += [(k1, k2, p, _instance(raw[s:e]), True, None, None) for k, (s, e) in enumerate(seeds) for p in patterns_of(raw, s, e) if k < base]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+    found = docs.select(*_keys(t), t.alias("t")).mapInArrow(kernel, "k1 long, k2 long, pattern binary, instance binary, seed boolean, start int, end int")
+    return found if not few else found.join(F.broadcast(patterns.select("pattern")), "pattern", "left_semi")
+
+
+def _chars_at(raw: bytes, places: list[int]) -> list[int]:
+    out, last, n = [], 0, 0
+    for p in places:
+        n += len(raw[last:p].decode())
+        last = p
+        out.append(n)
+    return out
+
+
+def _overlapping(spans: list[tuple[int, int, int]], start: int, end: int) -> list[tuple[int, int, int]]:
+    """Those of the sorted, mostly disjoint spans that meet [start, end)."""
+    at, out = bisect_left(spans, (end,)), []
+    while at and len(out) < 8:
+        at -= 1
+        if spans[at][1] > start:
+            out.append(spans[at])
+        elif start - spans[at][0] > 64 + end - start:
+            break
+    return out
 
 
-def _reliable(graph: DataFrame, rounds: int, reliable: float, support: int) -> DataFrame:
-    """(pattern, instance) of the new identifiers."""
-    e = scratch(graph.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    seeds = e.groupBy("instance").agg(F.max("seed").alias("seed"))
-    e = scratch(e.drop("seed").join(seeds, "instance").withColumn("conf", F.when(F.col("seed"), 1.0).otherwise(0.0)), "edges")
-    for _ in range(rounds):
-        patterns = e.groupBy("pattern").agg((F.sum("conf") / (F.count("*") + 1)).alias("p"), F.count("*").alias("k"))
-        scored = e.select("pattern", "instance", "seed").join(patterns, "pattern")
-        best = scored.groupBy("instance").agg(F.max(F.when(F.col("k") >= support, F.col("p")).otherwise(0.0)).alias("best"))
-        e = scratch(scored.join(best, "instance").select("pattern", "instance", "seed", "p", "k", F.when(F.col("seed"), 1.0).otherwise(F.col("best")).alias("conf")), "edges")
-    return e.where(f"not seed and k >= {support} and p >= {reliable}").select("pattern", "instance")
+def _reliable(places: DataFrame, rounds: int, reliable: float, support: int) -> DataFrame:
+    """(pattern, p, k): the patterns that may name new identifiers."""
+    e = scratch(places.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
+    seeds = e.where("seed").select("instance").distinct().withColumn("known", F.lit(True))
+    e = scratch(e.drop("seed").join(seeds, "instance", "left").select("pattern", "instance", F.col("known").isNotNull().alias("seed"), F.when(F.col("known"), 1.0).otherwise(0.0).alias("conf")), "edges")
+    score = lambda x: x.groupBy("pattern").agg((F.sum("conf") / (F.count("*") + 1)).alias("p"), F.count("*").alias("k"))
+    for _ in range(rounds - 1):
+        best = e.where("not seed").join(score(e), "pattern").groupBy("instance").agg(F.max(F.when(F.col("k") >= support, F.col("p")).otherwise(0.0)).alias("best"))
+        e = scratch(e.select("pattern", "instance", "seed").join(best, "instance", "left").select("pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("best")).alias("conf")), "edges")
+    return scratch(score(e).where(f"k >= {support} and p >= {reliable}"), "reliable")
 
 
 def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, rounds: int = 3, reliable: float = 0.7, support: int = 5) -> DataFrame:
     """``d`` (columns ``keep`` of ``docs``, or all) with ``base`` and ``spans``: arrays of (kind number, start, end), sorted."""
     s = scratch(_searched(docs, text_col, docs.columns if keep is None else keep), "pii")
-    each = s.select("row", F.explode("edges").alias("e")).select("row", "e.*")
-    good = _reliable(each, rounds, reliable, support)
-    new = each.where("not seed").join(good, ["pattern", "instance"]).groupBy("row").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("new"))
+    induced = s.select(F.explode("edges").alias("e")).select("e.*").distinct().groupBy("pattern").agg(F.count("*").alias("seeds"))
+    induced = scratch(induced.where(F.col("seeds") >= support), "patterns")
+    few = induced.count() <= BROADCAST_PATTERNS
+    places = _places(docs, text_col, induced, few)
+    places = scratch(places if few else places.join(induced.select("pattern"), "pattern", "left_semi"), "places")
+    good = _reliable(places, rounds, reliable, support).select("pattern")
+    good = F.broadcast(good) if good.count() <= BROADCAST_PATTERNS else good
+    new = places.where("start is not null").join(good, "pattern", "left_semi").select("k1", "k2", "start", "end").distinct()
+    new = scratch(new.groupBy("k1", "k2").agg(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("new")), "new")
+    new = F.broadcast(new) if new.count() <= BROADCAST_TEXTS else new
     both = F.concat("base", F.coalesce("new", F.array().cast(_SPAN)))
-    return s.select("d", "row", "base").join(new, "row", "left").select("d", F.array_sort("base").alias("base"), F.array_sort(both).alias("spans"))
+    return s.join(new, ["k1", "k2"], "left").select("d", F.array_sort("base").alias("base"), F.array_sort(both).alias("spans"))
 
 
 def rendered(spans):
