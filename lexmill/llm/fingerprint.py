@@ -1,16 +1,19 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs, in DataFrame operations only.
 
-Sections are parted by an empty line, paragraphs by a line break, and a paragraph's leaves are
-its pieces of ``piece`` code points; joining them gives the text again, so equal roots mean equal
-texts. A node's hash is the MD5 of its children's, the root SHA-256. The fingerprint holds the
-root and the shortened leaves in the tree's shape: ``root/leaf leaf,paragraph;section``. Roots
-test equality; where roots differ, only branches that differ need a look (``changed_branches``).
-Likeness is 1 for equal roots, else the Dice share of distinct leaves, 0 where neither has any.
+Sections are parted by an empty line, paragraphs by a line break. A paragraph's leaves are cut by
+their content: each ends after the next mark (or y) that a space follows, so that an insertion
+shifts none of the leaves after it; where no such place comes for ``piece`` code points, as in
+writing without spaces, a leaf ends there. Joining them gives the text again, so equal roots mean
+equal texts. A node's hash is the MD5 of its children's, the root SHA-256. The fingerprint holds
+the root and the shortened hashes of all nodes in the tree's shape. Roots test equality; where
+roots differ, ``changed_branches`` descends to the sections and paragraphs that were changed,
+moved, inserted or deleted. Likeness is 1 for equal roots, else the Dice share of distinct leaves,
+0 where neither has any.
 
 The next document is the one with the next smaller id (after the smallest: the largest). Ids
 are cut into runs of 64 consecutive values; a run is one window, and the last of each run takes
 its text from the run that follows, found on run numbers alone in three levels of at most 2**20
-values each. So no window holds more than 64 ids, and texts are shuffled once by run and once
+values each. So no window holds more than 64 ids (rows that repeat one id share a window), and texts are shuffled once by run and once
 more for one in 64.
 
 Defined cases: null text is empty; null ids come after all others, ordered and parted by the
@@ -26,24 +29,30 @@ from pyspark.sql import functions as F
 from .exchange import name
 
 
-def tree(text: Column, piece: int = 64) -> Column:
-    """Leaf hashes by section and paragraph."""
-    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)), lambda x: F.md5(x))
-    return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), leaves))
+#: A leaf ends after the first mark (or y) that a space follows, wherever it began, or after ``piece`` code points.
+CUT = "[.,;:!?y] "
 
 
-def root(t: Column) -> Column:
-    return F.sha2(F.concat_ws("", F.transform(t, lambda s: F.md5(F.concat_ws("", F.transform(s, lambda p: F.md5(F.concat_ws("", p))))))), 256)
+def tree(text: Column, piece: int = 192) -> Column:
+    """Leaf hashes by section and paragraph."""
+    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(rf"(?s).{{1,{piece}}}?(?:{CUT}|\z)|.{{1,{piece}}}"), F.lit(0)), lambda x: F.md5(x))
+    return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), leaves))
 
 
 def rendered(t: Column) -> Column:
+    """root/section:paragraph.leaves,paragraph.leaves;section:... with the inner nodes' hashes cut to 16 digits, the leaves' to 8."""
+    node = lambda hashes: F.md5(F.concat_ws("", hashes))
     short = lambda p: F.concat_ws("", F.transform(p, lambda x: F.substring(x, 1, 8)))
-    return F.concat_ws("/", root(t), F.concat_ws(";", F.transform(t, lambda s: F.concat_ws(",", F.transform(s, short)))))
+    paragraph = lambda p: F.struct(node(p).alias("h"), F.concat(F.substring(node(p), 1, 16), F.lit("."), short(p)).alias("r"))
+    section = lambda s: F.struct(node(F.transform(s, lambda p: p["h"])).alias("h"), F.concat_ws(",", F.transform(s, lambda p: p["r"])).alias("r"))
+    nodes = F.transform(F.transform(t, lambda s: F.transform(s, paragraph)), section)
+    root = F.sha2(F.concat_ws("", F.transform(nodes, lambda s: s["h"])), 256)
+    return F.concat_ws("/", root, F.concat_ws(";", F.transform(nodes, lambda s: F.concat(F.substring(s["h"], 1, 16), F.lit(":"), s["r"]))))
 
 
 def leaves(fingerprint: Column) -> Column:
     """Distinct shortened leaves of a fingerprint."""
-    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.substring_index(fingerprint, "/", -1), "[,;]", ""), F.lit(".{8}"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.substring_index(fingerprint, "/", -1), "[0-9a-f]{16}[:.]|[,;]", ""), F.lit(".{8}"), F.lit(0)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -52,14 +61,75 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).when(n == 0, 0.0).otherwise(F.round(2 * F.size(F.array_intersect(x, y)) / n, 6))
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _sections(fingerprint: Column) -> Column:
+    return F.split(F.substring_index(fingerprint, "/", -1), ";")
+
+
+def _paragraphs(section: Column) -> Column:
+    return F.split(F.substring_index(section, ":", -1), ",")
+
+
+def _alike(x: Column, y: Column) -> Column:
+    """How many of the first children of two nodes are equal."""
+    n = F.least(F.size(x), F.size(y))
+    return _let(F.array_position(F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda a, b: a == b), F.lit(False)), lambda at: F.when(at == 0, n).otherwise((at - 1).cast("int")))
+
+
+def _between(x: Column, y: Column) -> Column:
+    """Struct (skipped, x, y): the children without the equal ones at the start and at the end."""
+    cut = lambda v, p: F.struct(p.alias("skipped"), F.slice(v["x"], p + 1, F.size(v["x"]) - p).alias("x"), F.slice(v["y"], p + 1, F.size(v["y"]) - p).alias("y"))
+    end = lambda v, n: F.struct(v["skipped"].alias("skipped"), F.slice(v["x"], F.lit(1), F.size(v["x"]) - n).alias("x"), F.slice(v["y"], F.lit(1), F.size(v["y"]) - n).alias("y"))
+    both = F.struct(x.alias("x"), y.alias("y"))
+    return _let(_let(both, lambda v: _let(_alike(v["x"], v["y"]), lambda p: cut(v, p))), lambda v: _let(_alike(F.reverse(v["x"]), F.reverse(v["y"])), lambda n: end(v, n)))
+
+
+_BRANCH = "array<struct<side:string,change:string,section:int,paragraph:int>>"
+
+
 def changed_branches(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the sections of fingerprint ``a`` that ``b`` lacks: where an edit lies."""
-    x, y = (F.split(F.substring_index(c, "/", -1), ";") for c in (a, b))
-    at = F.transform(x, lambda s, i: F.when(~F.array_contains(y, s), i))
-    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.array().cast("array<int>")).otherwise(F.filter(at, lambda i: i.isNotNull()))
+    """Where two fingerprints differ, found by descent from the roots: an array of (side, change, section, paragraph), numbers from 0.
+
+    Equal roots give none. Sections between the equal ones at both ends are compared: one that the
+    other side has there too is ``moved``; the others are paired in order. Within a pair the
+    paragraphs between the equal ones at both ends are ``changed``, each on its own side; a section
+    without partner is ``deleted`` (side a) or ``inserted`` (side b), as a whole (paragraph null).
+    """
+    row = lambda side, change, section, paragraph: F.struct(F.lit(side).alias("side"), F.lit(change).alias("change"), section.cast("int").alias("section"), paragraph.cast("int").alias("paragraph"))
+    none = F.lit(None)
+    numbered = lambda v, side: F.transform(v[side], lambda s, i: F.struct((i + v["skipped"]).alias("i"), s.alias("s")))
+
+    def inner(x: Column, y: Column) -> Column:
+        here = lambda v, side, at, number: F.transform(v[side], lambda p, i: row(at, "changed", number, i + v["skipped"]))
+        return _let(_between(_paragraphs(x["s"]), _paragraphs(y["s"])), lambda v: F.concat(here(v, "x", "a", x["i"]), here(v, "y", "b", y["i"])))
+
+    def outer(v: Column) -> Column:
+        moved = lambda mine, other, at: F.transform(F.filter(numbered(v, mine), lambda s: F.array_contains(v[other], s["s"])), lambda s: row(at, "moved", s["i"], none))
+        alone = lambda mine, other: F.filter(numbered(v, mine), lambda s: ~F.array_contains(v[other], s["s"]))
+
+        def paired(u: Column) -> Column:
+            n = F.least(F.size(u["x"]), F.size(u["y"]))
+            rest = lambda c, at, change: F.transform(F.slice(c, n + 1, F.size(c)), lambda s: row(at, change, s["i"], none))
+            within = F.flatten(F.zip_with(F.slice(u["x"], F.lit(1), n), F.slice(u["y"], F.lit(1), n), inner))
+            return F.concat(within, rest(u["x"], "a", "deleted"), rest(u["y"], "b", "inserted"))
+
+        return F.concat(moved("x", "y", "a"), moved("y", "x", "b"), _let(F.struct(alone("x", "y").alias("x"), alone("y", "x").alias("y")), paired))
+
+    found = _let(_between(_sections(a), _sections(b)), outer)
+    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.array().cast(_BRANCH)).otherwise(found.cast(_BRANCH))
+
+
+def first_difference(a: Column, b: Column) -> Column:
+    """Struct (section, paragraph) of the first branch where two fingerprints differ; null for equal roots."""
+    found = _let(F.struct(_sections(a).alias("x"), _sections(b).alias("y")), lambda v: _let(_alike(v["x"], v["y"]), lambda p: F.struct(p.cast("long").alias("section"), _alike(_paragraphs(F.coalesce(F.get(v["x"], p), F.lit(""))), _paragraphs(F.coalesce(F.get(v["y"], p), F.lit("")))).cast("long").alias("paragraph"))))
+    return F.when(F.substring(a, 1, 64) != F.substring(b, 1, 64), found)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = 192) -> DataFrame:
     """One row per document: doc_id, fingerprint."""
     return docs.select(name(id_col).alias("doc_id"), tree(F.coalesce(name(text_col), F.lit("")), piece).alias("t")).select("doc_id", rendered(F.col("t")).alias("fingerprint"))
 
@@ -76,8 +146,8 @@ def _following(runs: DataFrame) -> DataFrame:
     return runs.withColumn("next", F.lead("run").over(Window.partitionBy("g").orderBy(F.desc("run")))).join(tops, "g").select("run", F.coalesce("next", "next_g").alias("next_run"))
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = 64) -> DataFrame:
-    """One row per document: doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next."""
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = 192) -> DataFrame:
+    """One row per document: doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next, first_edit."""
     i, t = name(id_col).cast("long"), F.coalesce(name(text_col).cast("string"), F.lit(""))
     tie = F.xxhash64(t)
     run = F.coalesce(F.shiftright(i, 6), F.lit(-(1 << 57) - 1) - F.shiftrightunsigned(tie, 48)).alias("run")
@@ -92,4 +162,4 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     d = pairs.select("doc_id", "text", "next", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next"), F.lit(1), k)).alias("edited"))
     d = d.select("doc_id", "n_chars", "edited", *(tree(F.col(c), piece).alias(f"t_{c}") for c in ("text", "edited", "next")))
     d = d.select("doc_id", "n_chars", "edited", rendered(F.col("t_text")).alias("fingerprint"), rendered(F.col("t_edited")).alias("edited_fingerprint"), rendered(F.col("t_next")).alias("next_fingerprint"))
-    return d.select("doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    return d.select("doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), first_difference(F.col("fingerprint"), F.col("edited_fingerprint")).alias("first_edit"))
