@@ -5,7 +5,9 @@ bins and the least hash of each bin is the signature. Empty bins are filled by o
 densification: bin i asks the bins of a fixed random sequence for i until one is filled.
 Equal shingle sets form one class, found by a 128-bit digest of 128-bit shingle hashes before
 anything else, so copies cost one row each. The classes' bands form buckets; each bucket's least class is its centre
-and the other classes are compared to the centre only (a star), on their full sets of words, which are compared byte by byte.
+and the other classes are compared to the centre only (a star): 16 bits of each shingle's hash bound the common shingles from above, which
+rules out most pairs that are no links; the rest are confirmed on their full sets of words, which
+are compared byte by byte.
 
 Links that the stars don't show are found in further rounds. A bucket whose classes are all in
 one component is done. In any other, each pair from two components has an end outside the
@@ -95,13 +97,13 @@ def signature(s: np.ndarray, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, tie, n, cls, bands): hash of the text, set size, set digest (null for no shingles), band hashes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, tie, n, cls, bands, short): hash of the text, set size, set digest (null for no shingles), band hashes, 16 bits of each shingle hash."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("short", pa.binary())])
     salt = mix(np.arange(bands, dtype=U) + U(5))
 
     def kernel(batches):
         for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
-            sets, cls, out = shingle_sets(batch.column(1), shingle), [], []
+            sets, cls, out, short = shingle_sets(batch.column(1), shingle), [], [], []
             for s in sets:
                 if len(s[0]):
                     acc = salt.copy()
@@ -109,31 +111,54 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
                         acc = mix(acc * U(31) + col)
                     cls.append(digest(s))
                     out.append(acc.view(np.int64))
+                    short.append((s[0] >> U(48)).astype("<u2").tobytes())
                 else:
                     cls.append(None)
                     out.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s[0]) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(out, pa.list_(pa.int64()))], schema=schema)
+                    short.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s[0]) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(out, pa.list_(pa.int64())), pa.array(short, pa.binary())], schema=schema)
 
-    return docs.select(name(id_col).cast("long").alias("doc_id"), name(text_col).cast("string").alias("text"), F.xxhash64(name(text_col)).alias("tie")).mapInArrow(kernel, "doc_id long, tie long, n long, cls binary, bands array<long>")
+    return docs.select(name(id_col).cast("long").alias("doc_id"), name(text_col).cast("string").alias("text"), F.xxhash64(name(text_col)).alias("tie")).mapInArrow(kernel, "doc_id long, tie long, n long, cls binary, bands array<long>, short binary")
 
 
-#: Pairs of one centre that meet its text in one task.
-PAIRS = 256
+#: Pairs of one centre that meet its value in one task; classes whose texts are looked up by broadcast.
+PAIRS, BROADCAST_CLASSES = 256, 1_000_000
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(m, c, common, total) on full sets of the pairs' words. The pairs of one centre are spread over copies of its text."""
-    t = name(text_col).cast("string")
-    text = docs.select(name(id_col).cast("long").alias("doc_id"), F.xxhash64(name(text_col)).alias("tie"), t.alias("text"))
-    copies = F.ceil(F.count("*") / PAIRS).cast("long").alias("copies")
-    centres = pairs.groupBy("c").agg(copies)
-    used = centres.select(F.col("c").alias("cls"), "copies").union(pairs.select("m", F.lit(0))).groupBy("cls").agg(F.max("copies").alias("copies"))
-    used = used.join(classes.select("cls", "min_doc", F.col("tie").alias("min_tie")), "cls")
-    texts = text.join(used, F.col("min_doc").eqNullSafe(F.col("doc_id")) & (F.col("tie") == F.col("min_tie"))).select("cls", "copies", "text").dropDuplicates(["cls"])
+def _met(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(m, c, v_m, v_c): the values (cls, v) of both ends. The pairs of one centre are spread over copies of its value."""
+    centres = pairs.groupBy("c").agg(F.ceil(F.count("*") / PAIRS).cast("long").alias("copies"))
     spread = pairs.join(centres, "c").select("m", "c", F.pmod(F.xxhash64("m"), "copies").alias("copy"))
-    of_c = texts.where("copies > 0").select(F.col("cls").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("text").alias("text_c"))
-    wide = spread.join(texts.select(F.col("cls").alias("m"), F.col("text").alias("text_m")), "m").join(of_c, ["c", "copy"])
-    schema = pa.schema([("m", pa.binary()), ("c", pa.binary()), ("common", pa.int64()), ("total", pa.int64())])
+    of_c = values.withColumnRenamed("cls", "c").join(centres, "c").select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("v").alias("v_c"))
+    return spread.join(values.select(F.col("cls").alias("m"), F.col("v").alias("v_m")), "m").join(of_c, ["c", "copy"]).select("m", "c", "v_m", "v_c")
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(m, c) of the pairs that may be links: equal short hashes bound the common shingles from above, so no link is lost."""
+    schema = pa.schema([("m", pa.binary()), ("c", pa.binary())])
+
+    def most(x: bytes, y: bytes) -> int:
+        (a, i), (b, j) = (np.unique(np.frombuffer(v, "<u2"), return_counts=True) for v in (x, y))
+        _, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        return int(np.minimum(i[at], j[to]).sum())
+
+    def kernel(batches):
+        for b in batches:
+            keep = [most(x, y) * (100 + percent) >= percent * (len(x) + len(y)) // 2 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
+
+    return _met(pairs, classes.select("cls", F.col("short").alias("v"))).mapInArrow(kernel, "m binary, c binary")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """(m, c) of the pairs that are links, on full sets of the words of their texts."""
+    text = docs.select(name(id_col).cast("long").alias("doc_id"), F.xxhash64(name(text_col)).alias("tie"), name(text_col).cast("string").alias("v"))
+    used = pairs.select(F.col("m").alias("cls")).union(pairs.select(F.col("c").alias("cls"))).distinct().join(classes.select("cls", "min_doc", F.col("tie").alias("min_tie")), "cls")
+    used = scratch(used, "used")
+    if used.count() <= BROADCAST_CLASSES:
+        used = F.broadcast(used)
+    texts = text.join(used, F.col("min_doc").eqNullSafe(F.col("doc_id")) & (F.col("tie") == F.col("min_tie"))).select("cls", "v")
+    schema = pa.schema([("m", pa.binary()), ("c", pa.binary())])
 
     def kernel(batches):
         for batch in batches:
@@ -141,29 +166,32 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
                 b = batch.slice(at, 256)
                 sets = exact_shingles(pa.concat_arrays([b.column(2), b.column(3)]), shingle)
                 common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets, sets[b.num_rows :])]
-                total = [len(x) + len(y) - k for x, y, k in zip(sets, sets[b.num_rows :], common)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], schema=schema)
+                keep = [k * 100 >= (len(x) + len(y) - k) * percent for k, x, y in zip(common, sets, sets[b.num_rows :])]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    return wide.select("m", "c", "text_m", "text_c").mapInArrow(kernel, "m binary, c binary, common long, total long")
+    # equal rows of one class give equal texts; one is enough
+    return _met(pairs, texts.dropDuplicates(["cls"])).mapInArrow(kernel, "m binary, c binary")
 
 
 def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """One row per document: doc_id, tie (hash of its text), n_shingles, component_id, kept, n_links (links
     shown to other classes), group (one value per component, null without shingles)."""
     sig = scratch(signatures(docs, id_col, text_col, shingle, bands, rows), "sig")
-    classes = scratch(sig.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("cls", "first.doc_id", "first.tie", "n", "bands").withColumnRenamed("doc_id", "min_doc"), "cls")
+    classes = scratch(sig.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short")).select("cls", "first.doc_id", "first.tie", "n", "bands", "short").withColumnRenamed("doc_id", "min_doc"), "cls")
     rest = classes.select("cls", "n", F.explode("bands").alias("h"), F.col("cls").alias("root"))
     centre = rest.groupBy("h").agg(F.min(F.struct("cls", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("h", F.col("c.cls").alias("c"), F.col("c.n").alias("nc"), F.col("c.cls").alias("rc"))
-    done, roots, centres = None, None, 16
+    done, roots, links, centres = None, None, None, 16
     while True:
         pairs = rest.join(centre, "h").where(f"cls <> c and root <> rc and least(n, nc) * 100 >= greatest(n, nc) * {percent}")
         pairs = pairs.select(F.greatest("cls", "c").alias("m"), F.least("cls", "c").alias("c")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["m", "c"], "left_anti")
-        new = scratch(_verified(scratch(pairs, "pairs"), classes, docs, id_col, text_col, shingle), "ver")
-        links = new.where(F.col("common") * 100 >= F.col("total") * percent).select(F.col("m").alias("a"), F.col("c").alias("b"))
-        roots = components(links if roots is None else links.union(roots.select("node", "root")))
-        gone, done = centre.select("h", F.col("c").alias("cls")), new if done is None else done.unionByName(new)
+        pairs = scratch(pairs, "pairs")
+        possible = scratch(_possible(pairs, classes, percent), "possible")
+        new = scratch(_verified(possible, classes, docs, id_col, text_col, shingle, percent), "links").select(F.col("m").alias("a"), F.col("c").alias("b"))
+        roots = components(new if roots is None else new.union(roots.select("node", "root")))
+        links = new if links is None else links.union(new)
+        gone, done = centre.select("h", F.col("c").alias("cls")), pairs if done is None else done.unionByName(pairs)
         part = rest.drop("root").join(gone.select("h").distinct(), "h", "left_semi").join(gone, ["h", "cls"], "left_anti")
         part = part.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         by_root = part.groupBy("h", "root").agg(F.count("*").alias("k"))
@@ -174,8 +202,7 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         nth = F.row_number().over(Window.partitionBy("h").orderBy("cls"))
         centre = rest.where("root <> most").withColumn("nth", nth).where(F.col("nth") <= centres).select("h", F.col("cls").alias("c"), F.col("n").alias("nc"), F.col("root").alias("rc"))
         rest, centres = rest.drop("most"), centres * 16
-    links = done.where(F.col("common") * 100 >= F.col("total") * percent)
-    ends = links.select(F.col("m").alias("cls")).union(links.select(F.col("c").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
+    ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
     known = classes.select("cls", "min_doc").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = known.groupBy("root").agg(F.min("min_doc").alias("component_id"))
     label = known.join(least, "root").join(ends, "cls", "left").select("cls", F.col("root").alias("group"), "component_id", "n_links")
