@@ -30,13 +30,13 @@ from .features import DIM, mean_weights, shares, squared_hinge, trigram_bins
 FAMILIES = {c: f for f, cs in {"germanic": "en de nl sv da no nb nn is af fy lb yi", "romance": "fr es it pt ro ca gl oc la", "slavic": "ru uk pl cs sk bg sr hr sl mk be bs", "uralic": "fi hu et", "turkic": "tr az kk uz tk ky", "indic": "hi ur bn pa gu mr ne si", "semitic": "ar he mt am", "celtic": "cy ga gd br"}.items() for c in cs.split()}
 
 
-def sample(labelled: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
-    """At most ``per_label`` rows of each label, those of least key hash; labels are counted first, so no label's rows gather in one task."""
+def sample(labelled: DataFrame, label: str, key: str, per_label: int, tie: tuple = ()) -> DataFrame:
+    """At most ``per_label`` rows of each label, those of least key hash, rows of one key in the order of ``tie``; labels are counted first, so no label's rows gather in one task."""
     counts = labelled.groupBy(label).count().where("count > 0")
     share = F.least(F.lit(1.0), F.lit(1.5 * per_label + 20) / F.col("count"))
     hashed = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_003))
     some = labelled.join(F.broadcast(counts.select(F.col(label).alias("_label"), share.alias("_share"))), F.col(label) == F.col("_label")).where(hashed <= F.col("_share") * 1_000_003)
-    nth = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(17)), F.col(key)))
+    nth = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(17)), F.col(key), *tie))
     return some.withColumn("_nth", nth).where(F.col("_nth") <= per_label).drop("_label", "_share", "_nth")
 
 
@@ -93,7 +93,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, per_lan
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shares(b.column(1)), pa.binary())], schema=schema)
 
-    got = sample(rows, "l", "k", per_language).select("l", "t").mapInArrow(kernel, "l string, x binary").collect()
+    got = sample(rows, "l", "k", per_language, (F.xxhash64("t"), F.col("t"))).select("l", "t").mapInArrow(kernel, "l string, x binary").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r.l, r.x))
@@ -105,7 +105,13 @@ SCALE = 60.0
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every column of ``docs`` with lang_pred and score."""
+    """Every column of ``docs`` with lang_pred and score (columns of these names are replaced)."""
+    found = identified(docs, model, text_col)
+    return found.select(*(F.col("d").getField(c).alias(c) for c in docs.columns if c not in ("lang_pred", "score")), "lang_pred", "score")
+
+
+def identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """(d, lang_pred, score): each row as a struct, with its prediction."""
     text = name(text_col).cast("string")
     wide = docs.select(F.struct(*(name(c) for c in docs.columns)).alias("d"), text.alias("t"))
     fields = docs.schema
@@ -127,7 +133,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 langs = [x if x and ok else "und" for x, ok in zip(langs, lettered)]
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(langs, pa.string()), pa.array(np.where([x != "und" for x in langs], score, 0.0) if langs else score, pa.float64())], names=["d", "lang_pred", "score"])
 
-    return wide.mapInArrow(kernel, schema).select("d.*", "lang_pred", F.round("score", 6).alias("score"))
+    return wide.mapInArrow(kernel, schema).select("d", "lang_pred", F.round("score", 6).alias("score"))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -15,7 +15,8 @@ The classifier (softmax regression on hashed words and form) is fitted on the dr
 ``sample_rows`` labelled documents, those of least id hash; posteriors cover all documents.
 
 Defined cases: null and empty texts have 0 tokens and get the rate of their posterior (1 if no text has tokens); labels
-with a null id or domain are ignored; a document labelled twice counts with its least domain;
+with a null id or domain are ignored; a document labelled twice counts with its least domain, a labelled
+id of several rows with the text of least hash;
 without labels the posterior is equal over the target's domains; targets that no nonnegative
 rates meet are met as nearly as any rates can; rows that repeat an id are judged by their own
 texts; an empty table gives an empty result; other columns are ignored.
@@ -69,7 +70,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain, id_col: str, text
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shares(b.column(1), word_bins), pa.binary()), pa.array(form(b.column(1)).tolist(), pa.list_(pa.float64()))], schema=schema)
 
-    got = text.join(F.broadcast(some), "k").dropDuplicates(["k"]).select("domain", "t").mapInArrow(kernel, "l string, x binary, f array<double>").collect()
+    got = text.join(F.broadcast(some), "k").groupBy("k", "domain").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("x")).select("domain", "x.t").mapInArrow(kernel, "l string, x binary, f array<double>").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r.l, r.x))
@@ -167,7 +168,7 @@ def solve(measure, goal: np.ndarray, tolerance: float, weight: float = 1e-9, pas
 def mix(docs: DataFrame, labels: DataFrame, domain, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000, iterations: int | None = None, tolerance: float = 1e-6, size: float = 1.0) -> DataFrame:
     """One row per document: doc_id, n_tokens, p (posterior by sorted domain), rate.
 
-    ``targets`` gives each domain's share of ``size`` times the corpus's tokens; domains known to
+    ``targets`` gives each domain's share of ``size`` times all tokens; domains known to
     the classifier but not named get 0.
     """
     model = fit_classifier(docs, labels, domain, id_col, text_col, sample_rows)

@@ -30,7 +30,7 @@ def op2_license_scan(spark, sf_dir):
 
 
 def op3_fingerprints(spark, sf_dir):
-    return edited_fingerprints(_t(spark, sf_dir, "documents")).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return edited_fingerprints(_t(spark, sf_dir, "documents")).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.col("first_edit.section").alias("edit_section"), F.col("first_edit.paragraph").alias("edit_paragraph"))
 
 
 def op4_near_dup(spark, sf_dir):
@@ -79,12 +79,12 @@ def _license_sql() -> str:
 WITH known(tid, label, base, grams, t, gram) AS (VALUES {known}),
 d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 g AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + {K - 1}], ' ') AS gram FROM d, unnest(range(1, len(w) - {K - 2})) AS r(i)),
-votes AS (SELECT doc_id, tid, label, base, grams, pos - t AS diagonal, list(t) AS ts, min(pos) AS start FROM g JOIN known USING (gram) GROUP BY ALL),
+votes AS (SELECT doc_id, tid, label, base, grams, pos - t AS diagonal, list({{'t': t, 'pos': pos}}) AS ts FROM g JOIN known USING (gram) GROUP BY ALL),
 steps AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) > 3, true) THEN 1 ELSE 0 END AS new FROM votes),
 numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) AS span FROM steps),
-spanned AS (SELECT doc_id, tid, label, base, grams, span, flatten(list(ts)) AS ts, min(start) AS start FROM numbered GROUP BY ALL),
-spans AS (SELECT *, len(list_distinct(ts)) / grams AS share FROM spanned),
-good AS (SELECT * FROM spans WHERE CASE WHEN base THEN share = 1 ELSE share >= 0.6 END),
+spanned AS (SELECT doc_id, tid, label, base, grams, span, list_reduce(list_sort(flatten(list(ts))), lambda s, x: CASE WHEN s.t >= 0 AND (x.t <= s.t OR x.pos <= s.pos) THEN s ELSE {{'t': x.t, 'pos': x.pos, 'first': coalesce(s.first, x.pos), 'n': s.n + 1}} END, {{'t': -1, 'pos': -1, 'first': NULL, 'n': 0}}) AS run FROM (SELECT doc_id, tid, label, base, grams, span, list_transform(ts, lambda x: {{'t': x.t, 'pos': x.pos, 'first': NULL::BIGINT, 'n': 0}}) AS ts FROM numbered) GROUP BY ALL),
+spans AS (SELECT *, run.n / grams AS share, run.first AS start, run.pos + {K} AS stop FROM spanned),
+good AS (SELECT * FROM spans WHERE CASE WHEN base THEN share = 1 ELSE share >= 0.6 AND stop - start <= 1.5 * (grams + {K} - 1) END),
 found AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
   coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ','), '') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, round(max(share), 6) AS score FROM good GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
@@ -96,14 +96,21 @@ def _fingerprint_sql() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER o, first_value(coalesce(text, '')) OVER o) AS nxt FROM documents WINDOW o AS (ORDER BY doc_id DESC)),
 e AS (SELECT doc_id, length(text) AS n, text, nxt, left(text, length(text) - length(text) // 3) || left(nxt, length(text) // 3) AS edited FROM d),
 x AS (SELECT doc_id, n, sha256(edited) AS edited_sha256, unnest([struct_pack(k := 't', v := text), struct_pack(k := 'e', v := edited), struct_pack(k := 'n', v := nxt)]) AS s FROM e),
-y AS (SELECT doc_id, n, edited_sha256, s.k AS k, list_transform(string_split(s.v, E'\n\n'), lambda a: list_transform(string_split(a, E'\n'), lambda p: list_transform(regexp_extract_all(p, '(?s).{1,64}'), lambda q: md5(q)))) AS t FROM x),
-z AS (SELECT doc_id, n, edited_sha256, k, sha256(array_to_string(list_transform(t, lambda a: md5(array_to_string(list_transform(a, lambda p: md5(coalesce(array_to_string(p, ''), ''))), ''))), '')) AS root,
-  array_to_string(list_transform(t, lambda a: array_to_string(list_transform(a, lambda p: coalesce(array_to_string(list_transform(p, lambda q: left(q, 8)), ''), '')), ',')), ';') AS body, list_distinct(list_transform(flatten(flatten(t)), lambda q: left(q, 8))) AS leaves FROM y),
+y AS (SELECT doc_id, n, edited_sha256, s.k AS k, list_transform(string_split(s.v, E'\n\n'), lambda a: list_transform(string_split(a, E'\n'), lambda p: list_transform(regexp_extract_all(p, '(?s).{1,192}?(?:[.,;:!?y] |\z)|.{1,192}'), lambda q: md5(q)))) AS t FROM x),
+y1 AS (SELECT *, list_transform(t, lambda a: list_transform(a, lambda p: struct_pack(h := md5(coalesce(array_to_string(p, ''), '')), r := coalesce(array_to_string(list_transform(p, lambda q: left(q, 8)), ''), '')))) AS ps FROM y),
+y2 AS (SELECT *, list_transform(ps, lambda a: md5(array_to_string(list_transform(a, lambda p: p.h), ''))) AS sh FROM y1),
+z AS (SELECT doc_id, n, edited_sha256, k, sha256(array_to_string(sh, '')) AS root, list_transform(ps, lambda a: list_transform(a, lambda p: p.h)) AS ph, sh,
+  array_to_string(list_transform(ps, lambda a, i: left(sh[i], 16) || ':' || array_to_string(list_transform(a, lambda p: left(p.h, 16) || '.' || p.r), ',')), ';') AS body, list_distinct(list_transform(flatten(flatten(t)), lambda q: left(q, 8))) AS leaves FROM y2),
 p AS (SELECT doc_id, any_value(n) AS n, any_value(edited_sha256) AS edited_sha256, any_value(root) FILTER (k = 't') AS rt, any_value(root) FILTER (k = 'e') AS re, any_value(root) FILTER (k = 'n') AS rn,
-  any_value(body) FILTER (k = 't') AS bt, any_value(body) FILTER (k = 'e') AS be, any_value(leaves) FILTER (k = 't') AS lt, any_value(leaves) FILTER (k = 'e') AS le, any_value(leaves) FILTER (k = 'n') AS ln FROM z GROUP BY doc_id)
+  any_value(body) FILTER (k = 't') AS bt, any_value(body) FILTER (k = 'e') AS be, any_value(leaves) FILTER (k = 't') AS lt, any_value(leaves) FILTER (k = 'e') AS le, any_value(leaves) FILTER (k = 'n') AS ln,
+  any_value(sh) FILTER (k = 't') AS st, any_value(sh) FILTER (k = 'e') AS se, any_value(ph) FILTER (k = 't') AS pt, any_value(ph) FILTER (k = 'e') AS pe FROM z GROUP BY doc_id),
+f AS (SELECT *, coalesce(list_filter(range(1, least(len(st), len(se)) + 1), lambda i: st[i] <> se[i])[1], least(len(st), len(se)) + 1) AS s FROM p),
+g AS (SELECT *, coalesce(pt[s], ['']) AS x, coalesce(pe[s], ['']) AS y FROM f)
 SELECT doc_id, n::BIGINT AS n_chars, edited_sha256, rt || '/' || bt AS fingerprint, re || '/' || be AS edited_fingerprint,
   (CASE WHEN rt = re THEN 1 WHEN len(lt) + len(le) = 0 THEN 0 ELSE round(2 * len(list_intersect(lt, le)) / (len(lt) + len(le)), 6) END)::DOUBLE AS near_edited,
-  (CASE WHEN rt = rn THEN 1 WHEN len(lt) + len(ln) = 0 THEN 0 ELSE round(2 * len(list_intersect(lt, ln)) / (len(lt) + len(ln)), 6) END)::DOUBLE AS near_next FROM p"""
+  (CASE WHEN rt = rn THEN 1 WHEN len(lt) + len(ln) = 0 THEN 0 ELSE round(2 * len(list_intersect(lt, ln)) / (len(lt) + len(ln)), 6) END)::DOUBLE AS near_next,
+  CASE WHEN rt <> re THEN (s - 1)::BIGINT END AS edit_section,
+  CASE WHEN rt <> re THEN (coalesce(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[i] <> y[i])[1], least(len(x), len(y)) + 1) - 1)::BIGINT END AS edit_paragraph FROM g"""
 
 
 def _decontamination_sql() -> str:

@@ -2,23 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..sources.saved import saved as scratch
+from ..sources.saved import shared_folder
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def scratch(df: DataFrame, tag: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["scratch", "shared_folder"]

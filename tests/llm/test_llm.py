@@ -1,6 +1,5 @@
 """The training-data operators: SQL on small tables, brute force, round trips, held-out accuracy, odd inputs."""
 
-import hashlib
 import itertools
 import random
 import re
@@ -16,13 +15,13 @@ pytest.importorskip("lexmill.llm")
 from lexmill.llm import queries as Q  # noqa: E402
 from lexmill.llm.components import components  # noqa: E402
 from lexmill.llm.decontaminate import allowed, decontaminate, masks_for  # noqa: E402
-from lexmill.llm.fingerprint import changed_branches, edited_fingerprints, fingerprints  # noqa: E402
+from lexmill.llm.fingerprint import edited_fingerprints, fingerprints  # noqa: E402
 from lexmill.llm.language_id import fit, held_out, identify  # noqa: E402
 from lexmill.llm.license_scan import license_scan  # noqa: E402
 from lexmill.llm.lm_score import lm_score  # noqa: E402
 from lexmill.llm.mixing import TARGETS, fit_classifier, label_domain, measured, mix, proximal, replay, solve  # noqa: E402
 from lexmill.llm.near_dup import near_dup  # noqa: E402
-from lexmill.llm.pii import edges, find, luhn, redact, rendered  # noqa: E402
+from lexmill.llm.pii import find, luhn, patterns_of, redact, rendered  # noqa: E402
 from lexmill.llm.substring_dedup import substring_dedup  # noqa: E402
 from lexmill.llm.token_counts import VOCABULARY, count_tokens, encoder, token_counts  # noqa: E402
 
@@ -156,9 +155,6 @@ def test_fingerprints(spark, odd):
     for r in everywhere(fingerprints, odd):
         prints.setdefault(r.doc_id, set()).add(r.fingerprint)
     assert prints[5] & prints[6] and prints[1] != prints[2] and prints[0] == prints[1]
-    a, b = "p1\np2\n\nq1\n\nr1", "p1\np2\n\nq2\n\nr1"
-    x, y = (r.fingerprint for r in fingerprints(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).orderBy("doc_id").collect())
-    assert spark.range(1).select(changed_branches(F.lit(x), F.lit(y))).first()[0] == [1]
     wide = spark.createDataFrame([(i * 10**15 - 5 * 10**15, f"text {i}") for i in range(9)], "doc_id long, text string")
     got = {r.doc_id: r.edited for r in edited_fingerprints(wide).collect()}
     assert got == {i * 10**15 - 5 * 10**15: f"text {i}"[:4] + "te" for i in range(9)}
@@ -231,14 +227,19 @@ def test_pii_contexts(spark):
 
 
 def test_pii_edge_of_text(spark):
-    """Identifiers after one label, after nothing, after a long token or a long gap have a pattern too."""
-    pattern = lambda t: edges(t, [])[-1][0]
-    assert pattern("SSN: 123-45-6789") == "\n ssn:" and pattern("123-45-6789") == "\n \n"
-    assert pattern("y" * 90 + " u77x88-q") == pattern("a b " + "y" * 90 + " u77x88-q") == "y" * 40
-    assert pattern("the customer" + " " * 99 + "id " + "u77x88-q") == "customer id"
-    rows = [(i, f"Customer: user{i}@mail{i}.org") for i in range(20)] + [(99, "Customer: u77x88-q")]
+    """Identifiers after one label, after nothing, after a long token or a long gap have patterns too, and no token is cut."""
+
+    def patterns(t, x="u77x88-q"):
+        at = t.encode().index(x.encode())
+        return patterns_of(t.encode(), at, at + len(x))
+
+    assert patterns("SSN: u77x88-q") == [b"2 \n ssn:", b"m ssn: \n", b"1 ssn:"] and patterns("u77x88-q is") == [b"2 \n \n", b"m \n is"]
+    assert patterns("y" * 90 + " u77x88-q") != patterns("y" * 91 + " u77x88-q")
+    assert patterns("the Customer" + " " * 99 + "id3 (u77x88-q) ok")[0] == b"2 customer id0"
+    assert patterns("a user=u77x88-q b") == [b"p user="]
+    rows = [(i, f"Customer: user{i}@mail{i}.org") for i in range(20)] + [(99, "Customer: u77x88-q"), (98, "Customer: Smith")]
     spans = {r["d"].doc_id: r.spans for r in find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [rows[-1][1][s.start : s.end] for s in spans[99] if s.kind == 4] == ["u77x88-q"]
+    assert [[t[s.start : s.end] for s in spans[i] if s.kind == 4] for i, t in rows[-2:]] == [["u77x88-q"], ["Smith"]]
 
 
 def test_language_id(spark, odd):
@@ -337,4 +338,4 @@ def test_pipeline(spark):
         kept.append(left.count())
     assert kept[0] == docs.count() and kept[1] == near and kept[2] < kept[1] and kept[3] == kept[2]
     assert left.select(F.max(F.col("text").rlike("[A-Za-z0-9]@[a-z]+[0-9]*[.]example").cast("int"))).first()[0] == 0
-    assert hashlib.sha256(str(P.run(spark, SF).count()).encode()).hexdigest() == hashlib.sha256(str(kept[3]).encode()).hexdigest()
+    assert P.run(spark, SF).count() == kept[3]
