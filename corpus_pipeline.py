@@ -1,7 +1,11 @@
-"""Corpus pipeline: language, near duplicates, benchmark passages, personal data, mixing rates.
+"""Pipeline over a collection: language, near duplicates, benchmark passages, personal data, mixing rates.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept;
 ``run`` applies them to the documents table. All stages but the last return its columns.
+
+Defined for every stage: other columns, of whatever names, are carried along by all but the last;
+rows that repeat an id are told apart by their texts and are each judged by their own; null ids stay
+null; an empty table gives an empty result. What becomes of null and empty texts is said at each stage.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.decontaminate import decontaminate
 from lexmill.llm.exchange import name
-from lexmill.llm.language_id import fit, identify
+from lexmill.llm.language_id import fit, identified
 from lexmill.llm.mixing import TARGETS, label_domain, mix
 from lexmill.llm.near_dup import near_dup
 from lexmill.llm.pii import redact
@@ -22,46 +26,59 @@ def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _wide(docs: DataFrame) -> DataFrame:
+    """(d, i, t): the row as a struct, so that its columns can't clash with a stage's own; its id and the hash of its text."""
+    return docs.select(F.struct(*map(name, docs.columns)).alias("d"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"))
+
+
+def _marked(rows: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """The rows that are (left_semi) or aren't (left_anti) among ``marks`` (doc_id, tie)."""
+    m = marks.select(F.col("doc_id").alias("marked_id"), F.col("tie").alias("marked_tie")).distinct()
+    return rows.join(m, F.col("i").eqNullSafe(F.col("marked_id")) & (F.col("t") == F.col("marked_tie")), how)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognised language (null or letterless texts); lang becomes the prediction."""
+    """Drops documents without a recognised language (null, empty and letterless texts); lang becomes the prediction.
+
+    Texts with letters all stay and get the nearest learned language, however low its score; null languages are predicted too.
+    """
     model = fit(docs, "text", "lang", "doc_id")
-    known = identify(docs, model).where("lang_pred <> 'und'")
-    return known.select(*(F.col("lang_pred").alias(c) if c == "lang" else name(c) for c in docs.columns))
+    known = identified(docs, model).where("lang_pred <> 'und'")
+    return known.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col("d").getField(c).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group (five words, 0.8): the smallest id, null ids last.
 
-    Rows that repeat an id are told apart by their texts; of equal rows one stays. Documents without
-    words are linked with nothing and all stay.
+    Of rows equal in id and text one stays. Documents without words (null, empty and all-space texts) are
+    linked with nothing and all stay.
     """
-    marks = near_dup(docs, shingle=5, percent=80).select("doc_id", "tie", "group")
-    marks = scratch(marks, "marks")
-    best = marks.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("b")).select("b.doc_id", "b.tie")
-    kept = best.unionByName(marks.where("group is null").select("doc_id", "tie")).distinct().select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tie")), "left_semi")
-    repeated = marks.where("group is not null").groupBy("doc_id", "tie").count().where("count > 1")
-    if repeated.isEmpty():
-        return left  # no equal rows, so texts needn't be compared again
-    wordless = left.join(marks.where("group is null").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct(), left["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(left["text"]) == F.col("_tie")), "left_semi")
-    worded = left.join(best.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")), left["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(left["text"]) == F.col("_tie")), "left_semi")
-    return worded.dropDuplicates(["doc_id", "text"]).unionByName(wordless)
+    marks = scratch(near_dup(docs, shingle=5, percent=80).select("doc_id", "tie", "group"), "marks")
+    grouped, wordless = marks.where("group is not null"), marks.where("group is null")
+    best = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("b")).select("b.doc_id", "b.tie")
+    left = _marked(_wide(docs), best.unionByName(wordless.select("doc_id", "tie")), "left_semi")
+    if not grouped.groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
+        # equal rows: one of each that has words stays (the same rows as without this step if there are none)
+        left = _marked(left, best, "left_semi").dropDuplicates(["i", "t"]).unionByName(_marked(left, wordless, "left_semi"))
+    return left.select("d.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark passage."""
-    marks = decontaminate(docs, _table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
-    return docs.join(marks, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie")), "left_anti")
+    """Drops documents that hold a benchmark passage; null and empty texts hold none and stay."""
+    marks = decontaminate(docs, _table(spark, sf_dir, "benchmark")).where("contaminated")
+    return _marked(_wide(docs), marks, "left_anti").select("d.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind; n_chars follows."""
+    """Replaces personal data by its kind; n_chars follows. Null texts stay null, with n_chars null."""
     clean = redact(docs)
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.select(*(F.char_length("text").cast("long").alias(c) if c == "n_chars" else name(c) for c in docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, posteriors and the rate at which to draw each document."""
+    """doc_id, n_tokens, posteriors and the rate at which to draw each document; null and empty texts have 0 tokens and the rate of their posterior."""
     return mix(docs, _table(spark, sf_dir, "labels"), label_domain(), TARGETS)
 
 
