@@ -1,8 +1,8 @@
-"""Word segmentation by the Unicode word rules, with a class for each word.
+"""Word segmentation by the Unicode word rules over the word-break table, with a class for each word.
 
 Classes: NONE (white space and control), LETTER, NUMBER, PUNCT, SYMBOL. Web addresses, hashtags
-and mentions are single words; ideographs and kana without a rule of their own stand alone; a
-hyphen parts words. Concatenated words give the text back.
+and mentions are single words; letters without a rule of their own (ideographs, Hiragana, Thai)
+stand alone; a hyphen parts words. Concatenated words give the text back.
 """
 
 from __future__ import annotations
@@ -11,27 +11,38 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-try:
-    import regex as _regex
-except ImportError:  # without the module: the same shape on the standard one's classes
-    _regex = None
+from ..resources import word_break_runs
 
 NONE, LETTER, NUMBER, PUNCT, SYMBOL = "none", "letter", "number", "punct", "symbol"
 CLASSES = (LETTER, NUMBER, PUNCT, SYMBOL)
-
-_MARK = r"[\p{M}‍­⁠]" if _regex else r"[̀-ͯ‍­]"
-_IDEO = r"[\p{Han}\p{Hiragana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]" if _regex else r"[぀-ヿ一-鿿]"
-_KATA = r"\p{Katakana}" if _regex else r"゠-ヿ"
-_LET = rf"(?:(?!{_IDEO})\p{{L}})" if _regex else rf"(?:(?!{_IDEO})[^\W\d_])"
-_NUM = r"\p{N}" if _regex else r"\d"
-_A = rf"(?:{_LET}{_MARK}*)"
-_N = rf"(?:{_NUM}{_MARK}*)"
-_X = rf"(?:[_‿⁀⁔]{_MARK}*)"
-_WORD = rf"(?:{_X}*(?:{_A}|{_N})(?:{_A}|{_N}|{_X}|(?<={_LET}{'' if _regex else ''})[.:'·‘’](?={_LET})|(?<={_NUM})[.,;'](?={_NUM}))*)"
+#: Word-break properties by their numbers in the table.
+PROPERTIES = "other aletter cr double_quote e_base e_base_gaz e_modifier extend extendnumlet format glue_after_zwj hebrew_letter hyphen katakana lf letter midletter midnum midnumlet newline number numeric unassigned punctuation regional_indicator single_quote symbol white_space zwj".split()
+
+
+def _ranges(*properties: str) -> str:
+    """The table's characters of these properties, as the inside of a character class."""
+    wanted, (starts, classes) = {PROPERTIES.index(p) for p in properties}, word_break_runs()
+    ends = [*starts[1:], 0x110000]
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b, c in zip(starts, ends, classes) if c in wanted)
+
+
+_MARK = f"[{_ranges('extend', 'format', 'zwj')}]"
+_A = f"(?:[{_ranges('aletter', 'hebrew_letter')}]{_MARK}*)"
+_N = f"(?:[{_ranges('numeric')}]{_MARK}*)"
+_K = f"(?:[{_ranges('katakana')}]{_MARK}*)"
+_X = f"(?:[{_ranges('extendnumlet')}]{_MARK}*)"
+_LETTERS = f"(?:{_A}+(?:[{_ranges('midletter', 'midnumlet', 'single_quote')}]{_MARK}*{_A}+)*)"
+_DIGITS = f"(?:{_N}+(?:[{_ranges('midnum', 'midnumlet', 'single_quote')}]{_MARK}*{_N}+)*)"
+_BLOCK = f"(?:(?:{_LETTERS}|{_DIGITS})++|{_K}++)"
+_WORD = f"(?:{_X}*{_BLOCK}(?:{_X}+{_BLOCK})*+{_X}*|{_X}+)"
+_IDEO = f"(?:[{_ranges('letter')}]{_MARK}*)"
+_EMOJI = f"(?:[{_ranges('regional_indicator')}]{_MARK}*){{2}}|[{_ranges('e_base', 'e_base_gaz', 'glue_after_zwj')}]{_MARK}*(?:[{_ranges('e_modifier')}]{_MARK}*|(?<=\u200d)[{_ranges('e_base_gaz', 'glue_after_zwj')}]{_MARK}*)*"
+_LET = f"[{_ranges('aletter', 'hebrew_letter', 'katakana', 'letter')}]"
+_TAG = f"[#@](?:[_{_LET[1:-1]}{_ranges('numeric', 'number')}]{_MARK}*)+"
 _URL = r"(?:https?|ftp)://[^\s<>\"'«»‘-‟(){}\[\]]*[^\s<>\"'«»‘-‟(){}\[\].,;:!?]"
-_TAG = rf"[#@](?:{_LET}|[_]|{_NUM})(?:{_LET}|{_NUM}|_|{_MARK})*"
-_PATTERN = rf"(?P<url>{_URL})|(?P<tag>(?<![\w]){_TAG})|(?P<word>{_WORD})|(?P<ideo>{_IDEO}{_MARK}*)|(?P<none>\r\n|\s+|[\x00-\x1f\x7f-\x9f​﻿]+)|(?P<other>.{_MARK}*)"
-WORDS = (_regex or re).compile(_PATTERN, re.DOTALL if not _regex else _regex.DOTALL)
+_BLANK = "\u200b\ufeff"
+_PATTERN = rf"(?P<url>{_URL})|(?P<tag>(?<![\w]){_TAG})|(?P<word>{_WORD})|(?P<ideo>{_IDEO})|(?P<none>\r\n|\s+|[\x00-\x1f\x7f-\x9f{_BLANK}]+)|(?P<other>{_EMOJI}|.{_MARK}*)"
+WORDS = re.compile(_PATTERN, re.DOTALL)
 
 
 def kind_of(char: str) -> str:
@@ -64,9 +75,9 @@ def scan(text: str) -> Iterator[tuple[int, int, str]]:
 
 #: The same words without white space and without classes, for counting: a plain findall. ASCII
 #: texts take the standard module, which is faster and needs no marks or ideographs.
-_ASCII_WORD = r"(?:_*(?:[A-Za-z]+(?:[.:'][A-Za-z]+)*|[0-9]+(?:[.,;'][0-9]+)*))+_*"
+_ASCII_WORD = r"(?:_*(?:[A-Za-z]+(?:[.:'][A-Za-z]+)*|[0-9]+(?:[.,;'][0-9]+)*))+_*|_+"
 _ASCII = re.compile(rf"(?:https?|ftp)://[^\s<>\"'(){{}}\[\]]*[^\s<>\"'(){{}}\[\].,;:!?]|(?<!\w)[#@]\w+|{_ASCII_WORD}|[^\s\x00-\x1f\x7f]", re.ASCII)
-_FLAT = (_regex or re).compile(rf"{_URL}|(?<![\w]){_TAG}|{_WORD}|{_IDEO}{_MARK}*|(?![\s\x00-\x1f\x7f-\x9f​﻿]).{_MARK}*", re.DOTALL if not _regex else _regex.DOTALL)
+_FLAT = re.compile(rf"{_URL}|(?<![\w]){_TAG}|{_WORD}|{_IDEO}|(?![\s\x00-\x1f\x7f-\x9f{_BLANK}])(?:{_EMOJI}|.{_MARK}*)", re.DOTALL)
 
 
 def flat(text: str) -> list[str]:

@@ -8,6 +8,7 @@ decoded text. NULL text gives a NULL array, hence no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sentences import KINDS, Suppressor, sentences as _sentences
 from ..functions.tokens import TokenSpec, filter_of
-from ..resources import suppressions
+from ..functions.words import PROPERTIES
+from ..resources import suppressions, word_break
 from ..sources.jsontype import unescape
 
 
@@ -114,3 +116,20 @@ def source_sentences(raw: Column, crlf_as_space: bool = True) -> Column:
         return pa.array(out, pa.string())
 
     return kernel.asNondeterministic()(raw)
+
+
+def break_classes_of(text: Column) -> Column:
+    """ARRAY<STRUCT<property, n>>: how many characters of a text have each word-break property."""
+    item = pa.struct([("property", pa.string()), ("n", pa.int64())])
+
+    @F.arrow_udf("array<struct<property:string,n:long>>")
+    def kernel(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            counts: Counter = Counter()
+            for char, n in Counter(t or "").items():
+                counts[PROPERTIES[word_break(char)]] += n
+            out.append(None if t is None else [{"property": k, "n": n} for k, n in sorted(counts.items())])
+        return pa.array(out, pa.list_(item))
+
+    return kernel.asNondeterministic()(text)

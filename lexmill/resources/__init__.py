@@ -1,8 +1,9 @@
-"""Language data: stop word lists, abbreviations that don't end a sentence, sentence-break classes (Unicode 10)."""
+"""Language data: stop word lists, abbreviations that don't end a sentence, sentence- and word-break classes (Unicode 10)."""
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from functools import lru_cache
 from pathlib import Path
 
@@ -31,13 +32,28 @@ def suppressions(language: str) -> list[str]:
     return _lists("suppressions").get(language, [])
 
 
-@lru_cache(None)
-def sentence_break_runs() -> tuple[list[int], list[int]]:
-    """First code points and classes of the runs of equal sentence-break class."""
+def _runs(table: str) -> tuple[list[int], list[int]]:
+    """First code points and classes of the runs of equal class."""
     starts, classes, at = [], [], 0
-    for item in (_HERE / "sentence_break.txt").read_text().split():
+    for item in (_HERE / f"{table}.txt").read_text().split():
         step, cls = item.split(".")
         at += int(step, 16)
         starts.append(at)
         classes.append(int(cls))
     return starts, classes
+
+
+@lru_cache(None)
+def sentence_break_runs() -> tuple[list[int], list[int]]:
+    return _runs("sentence_break")
+
+
+@lru_cache(None)
+def word_break_runs() -> tuple[list[int], list[int]]:
+    return _runs("word_break")
+
+
+def word_break(char: str) -> int:
+    """Number of a character's word-break property."""
+    starts, classes = word_break_runs()
+    return classes[bisect_right(starts, ord(char)) - 1]
