@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .exchange import name
 from .kernels import SPACES, U, Words, exact_shingles, mix
-from .scratch import scratch
+from .scratch import discard, scratch
 
 
 @lru_cache(4)
@@ -48,7 +48,7 @@ def _bins(k: int):
 
 def shingle_sets(column, shingle: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct shingles of each text: two independent 64-bit hashes, sorted by the first."""
-    w = Words(column, SPACES, True)
+    w = Words(column, SPACES, True, two=True)
     full, second, out = w.windows(shingle), w.windows(shingle, 2), []
     for d, n in enumerate(w.n.tolist()):
         a = w.woff[d]
@@ -121,10 +121,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
     return docs.select(name(id_col).cast("long").alias("doc_id"), name(text_col).cast("string").alias("text"), F.xxhash64(name(text_col)).alias("tie")).mapInArrow(kernel, "doc_id long, tie long, n long, cls binary, bands array<long>, short binary")
 
 
-#: Pairs of one centre that meet its value in one task; classes whose texts are looked up by broadcast.
+#: Pairs of one centre that meet its value in one task; classes whose values are looked up by broadcast.
 PAIRS, BROADCAST_CLASSES = 256, 1_000_000
 
 
+def _values(pairs: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
+    """(cls, v) of the pairs' ends: the value of each class's first row in ``source`` (doc_id, tie, v)."""
+    used = pairs.select(F.col("m").alias("cls")).union(pairs.select(F.col("c").alias("cls"))).distinct()
+    used = scratch(used.join(classes.select("cls", "min_doc", F.col("tie").alias("min_tie")), "cls"), "used")
+    if used.count() <= BROADCAST_CLASSES:
+        used = F.broadcast(used)
+    # equal rows of one class give equal values; one is enough
+    return source.join(used, F.col("min_doc").eqNullSafe(F.col("doc_id")) & (F.col("tie") == F.col("min_tie"))).select("cls", "v").dropDuplicates(["cls"])
+
+
 def _met(pairs: DataFrame, values: DataFrame) -> DataFrame:
     """(m, c, v_m, v_c): the values (cls, v) of both ends. The pairs of one centre are spread over copies of its value."""
     centres = pairs.groupBy("c").agg(F.ceil(F.count("*") / PAIRS).cast("long").alias("copies"))
@@ -133,9 +143,11 @@ def _met(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return spread.join(values.select(F.col("cls").alias("m"), F.col("v").alias("v_m")), "m").join(of_c, ["c", "copy"]).select("m", "c", "v_m", "v_c")
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+_PAIR = pa.schema([("m", pa.int64()), ("c", pa.int64())])
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     """(m, c) of the pairs that may be links: equal short hashes bound the common shingles from above, so no link is lost."""
-    schema = pa.schema([("m", pa.binary()), ("c", pa.binary())])
 
     def most(x: bytes, y: bytes) -> int:
         (a, i), (b, j) = (np.unique(np.frombuffer(v, "<u2"), return_counts=True) for v in (x, y))
@@ -145,20 +157,14 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def kernel(batches):
         for b in batches:
             keep = [most(x, y) * (100 + percent) >= percent * (len(x) + len(y)) // 2 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=_PAIR).filter(pa.array(keep, pa.bool_()))
 
-    return _met(pairs, classes.select("cls", F.col("short").alias("v"))).mapInArrow(kernel, "m binary, c binary")
+    return _met(pairs, _values(pairs, classes, sig.select("doc_id", "tie", F.col("short").alias("v")))).mapInArrow(kernel, "m long, c long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """(m, c) of the pairs that are links, on full sets of the words of their texts."""
     text = docs.select(name(id_col).cast("long").alias("doc_id"), F.xxhash64(name(text_col)).alias("tie"), name(text_col).cast("string").alias("v"))
-    used = pairs.select(F.col("m").alias("cls")).union(pairs.select(F.col("c").alias("cls"))).distinct().join(classes.select("cls", "min_doc", F.col("tie").alias("min_tie")), "cls")
-    used = scratch(used, "used")
-    if used.count() <= BROADCAST_CLASSES:
-        used = F.broadcast(used)
-    texts = text.join(used, F.col("min_doc").eqNullSafe(F.col("doc_id")) & (F.col("tie") == F.col("min_tie"))).select("cls", "v")
-    schema = pa.schema([("m", pa.binary()), ("c", pa.binary())])
 
     def kernel(batches):
         for batch in batches:
@@ -167,45 +173,63 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
                 sets = exact_shingles(pa.concat_arrays([b.column(2), b.column(3)]), shingle)
                 common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets, sets[b.num_rows :])]
                 keep = [k * 100 >= (len(x) + len(y) - k) * percent for k, x, y in zip(common, sets, sets[b.num_rows :])]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=_PAIR).filter(pa.array(keep, pa.bool_()))
+
+    return _met(pairs, _values(pairs, classes, text)).mapInArrow(kernel, "m long, c long")
 
-    # equal rows of one class give equal texts; one is enough
-    return _met(pairs, texts.dropDuplicates(["cls"])).mapInArrow(kernel, "m binary, c binary")
+
+def _rooted(rows: DataFrame, roots: DataFrame, column: str, root: str) -> DataFrame:
+    """``rows`` with the root of the class in ``column``; a class without links is its own."""
+    r = roots.select(F.col("node").alias(column), F.col("root").alias(root))
+    return rows.join(r, column, "left").withColumn(root, F.coalesce(root, column))
 
 
 def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """One row per document: doc_id, tie (hash of its text), n_shingles, component_id, kept, n_links (links
     shown to other classes), group (one value per component, null without shingles)."""
     sig = scratch(signatures(docs, id_col, text_col, shingle, bands, rows), "sig")
-    classes = scratch(sig.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short")).select("cls", "first.doc_id", "first.tie", "n", "bands", "short").withColumnRenamed("doc_id", "min_doc"), "cls")
-    rest = classes.select("cls", "n", F.explode("bands").alias("h"), F.col("cls").alias("root"))
-    centre = rest.groupBy("h").agg(F.min(F.struct("cls", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("h", F.col("c.cls").alias("c"), F.col("c.n").alias("nc"), F.col("c.cls").alias("rc"))
-    done, roots, links, centres = None, None, None, 16
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first")
+    classes = sig.where("cls is not null").groupBy("cls").agg(first, F.first("n").cast("int").alias("n"), F.first("bands").alias("bands"))
+    # numbers are unique, and fixed once they are written down
+    classes = scratch(classes.select(F.col("cls").alias("digest"), F.monotonically_increasing_id().alias("cls"), F.col("first.doc_id").alias("min_doc"), "first.tie", "n", "bands"), "cls")
+    every = classes.select("cls", "n", F.explode("bands").alias("h"))
+    centre = every.groupBy("h").agg(F.min("cls").alias("c"), F.count("*").alias("k")).where("k > 1").select("h", "c")
+    # each member of a bucket beside its centre
+    starred = scratch(every.join(centre, "h").where("cls <> c").select("h", "cls", "n", "c"), "star")
+    done, roots, links, rest, centres = None, None, None, None, 16
+    met = starred.select(F.col("cls").alias("m"), "n", "c").distinct()
+    met = scratch(met.join(classes.select(F.col("cls").alias("c"), F.col("n").alias("nc")), "c"), "met")
     while True:
-        pairs = rest.join(centre, "h").where(f"cls <> c and root <> rc and least(n, nc) * 100 >= greatest(n, nc) * {percent}")
-        pairs = pairs.select(F.greatest("cls", "c").alias("m"), F.least("cls", "c").alias("c")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["m", "c"], "left_anti")
-        pairs = scratch(pairs, "pairs")
-        possible = scratch(_possible(pairs, classes, percent), "possible")
+        pairs = met.where(f"least(n, nc) * 100L >= greatest(n, nc) * {percent}L").select(F.greatest("m", "c").alias("m"), F.least("m", "c").alias("c")).distinct()
+        pairs = scratch(pairs if done is None else pairs.join(done, ["m", "c"], "left_anti"), "pairs")
+        possible = scratch(_possible(pairs, classes, sig, percent), "possible")
         new = scratch(_verified(possible, classes, docs, id_col, text_col, shingle, percent), "links").select(F.col("m").alias("a"), F.col("c").alias("b"))
+        discard(possible)
         roots = components(new if roots is None else new.union(roots.select("node", "root")))
-        links = new if links is None else links.union(new)
-        gone, done = centre.select("h", F.col("c").alias("cls")), pairs if done is None else done.unionByName(pairs)
-        part = rest.drop("root").join(gone.select("h").distinct(), "h", "left_semi").join(gone, ["h", "cls"], "left_anti")
-        part = part.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        links, done = new if links is None else links.union(new), pairs if done is None else done.unionByName(pairs)
+        if rest is None:
+            # only buckets with a member that isn't yet in its centre's component go on, without the centre
+            apart = _rooted(_rooted(met.select(F.col("m").alias("cls"), "c"), roots, "cls", "root"), roots, "c", "rc").where("root <> rc").select("cls", "c")
+            open_ = starred.join(apart, ["cls", "c"], "left_semi").select("h").distinct()
+            part = starred.join(open_, "h", "left_semi").select("h", "cls", "n")
+        else:
+            gone = centre.select("h", F.col("c").alias("cls"))
+            part = rest.join(gone.select("h").distinct(), "h", "left_semi").join(gone, ["h", "cls"], "left_anti").select("h", "cls", "n")
+        part = _rooted(part, roots, "cls", "root")
         by_root = part.groupBy("h", "root").agg(F.count("*").alias("k"))
         most = by_root.groupBy("h").agg(F.max(F.struct("k", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("h", F.col("x.root").alias("most"))
-        rest = scratch(part.join(most, "h"), "rest")
+        old, rest = rest, scratch(part.join(most, "h"), "rest")
+        discard(old if old is not None else starred)
         if rest.isEmpty():
             break
         nth = F.row_number().over(Window.partitionBy("h").orderBy("cls"))
         centre = rest.where("root <> most").withColumn("nth", nth).where(F.col("nth") <= centres).select("h", F.col("cls").alias("c"), F.col("n").alias("nc"), F.col("root").alias("rc"))
-        rest, centres = rest.drop("most"), centres * 16
+        met = rest.join(centre, "h").where("cls <> c and root <> rc").select(F.col("cls").alias("m"), "c", "n", "nc")
+        centres *= 16
     ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
-    known = classes.select("cls", "min_doc").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    known = _rooted(classes.select("digest", "cls", "min_doc"), roots, "cls", "root")
     least = known.groupBy("root").agg(F.min("min_doc").alias("component_id"))
-    label = known.join(least, "root").join(ends, "cls", "left").select("cls", F.col("root").alias("group"), "component_id", "n_links")
+    label = known.join(least, "root").join(ends, "cls", "left").select(F.col("digest").alias("cls"), F.col("root").alias("group"), "component_id", "n_links")
     out = sig.select("doc_id", "tie", F.col("n").alias("n_shingles"), "cls").join(label, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "tie", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "group")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
+from ..sources.saved import discard, discarded, shared_folder
 from ..sources.saved import saved as scratch
-from ..sources.saved import shared_folder
 
-__all__ = ["scratch", "shared_folder"]
+__all__ = ["discard", "discarded", "scratch", "shared_folder"]
