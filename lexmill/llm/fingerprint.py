@@ -1,9 +1,9 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs, in DataFrame operations only.
 
 Sections are parted by an empty line, paragraphs by a line break. A paragraph's leaves are cut by
-their content: each ends after the next mark (or y) that a space follows, so that an insertion
-shifts none of the leaves after it; where no such place comes for ``piece`` code points, as in
-writing without spaces, a leaf ends there. Joining them gives the text again, so equal roots mean
+their content: each ends after the next mark that a space follows, so that an insertion shifts
+none of the leaves after it; between two such places a longer run is cut every ``piece`` code
+points. Joining them gives the text again, so equal roots mean
 equal texts. A node's hash is the MD5 of its children's, the root SHA-256. The fingerprint holds
 the root and the shortened hashes of all nodes in the tree's shape. Roots test equality; where
 roots differ, ``changed_branches`` descends to the sections and paragraphs that were changed,
@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from .exchange import name
 
 
-#: A leaf ends after the first mark (or y) that a space follows, wherever it began, or after ``piece`` code points.
-CUT = "[.,;:!?y] "
+#: A leaf ends after a mark and a space, wherever it began, or after ``piece`` code points.
+CUT = "[.;:!?] "
 
 
 def tree(text: Column, piece: int = 192) -> Column:
     """Leaf hashes by section and paragraph."""
-    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(rf"(?s).{{1,{piece}}}?(?:{CUT}|\z)|.{{1,{piece}}}"), F.lit(0)), lambda x: F.md5(x))
+    whole = lambda x: F.when(F.char_length(x) <= piece, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)))
+    leaves = lambda p: F.transform(F.flatten(F.transform(F.array_remove(F.split(p, f"(?<={CUT})"), ""), whole)), lambda x: F.md5(x))
     return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), leaves))
 
 
