@@ -5,8 +5,9 @@ stay. The method's seed entities are those spans and secret-shaped runs (32 or m
 a key with digits and letters). Each seed induces the lexical patterns it stands in: the two
 tokens before it, the one before if it is a label (it ends in a mark such as a colon), the tokens
 on either side, a label glued to it; tokens are whole and parted by white space, digits masked,
-and the text's ends count as tokens. Patterns with ``support`` or more distinct seeds are looked
-up in all texts, and every token that stands in one, of whatever shape, is an instance of it.
+and the text's ends count as tokens. Patterns with ``support`` or more distinct seeds are counted
+in all texts; where seeds are at least the share ``promise`` of what stands in a pattern (so not for pairs of
+common words), it is looked up, and every token that stands in it, of whatever shape, is an instance.
 Spark scores this pattern-instance graph iteratively: a pattern is as reliable as the share of
 its distinct instances that are personal data, smoothed; an instance that is no seed is as
 reliable as its best pattern. What stands in a pattern of at least ``support`` distinct instances
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import name
-from .scratch import scratch
+from .scratch import discard, scratch
 
 KINDS = ("email", "ip", "card", "phone", "context")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -77,7 +79,7 @@ _WRAP = b"\"'`()[]{}<>,;.!?*"
 _LABEL = tuple(b":=#>|(")
 _KEY = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+")
 _TOKEN = re.compile(rb"[^\x20\t\n\r\x0b\x0c]+")
-_GLUED = re.compile(rb"[^\x20\t\n\r\x0b\x0c]*[=:]")
+_GLUED = re.compile(rb"(?<![^\x20\t\n\r\x0b\x0c])([^\x20\t\n\r\x0b\x0c]*[=:])([^\x20\t\n\r\x0b\x0c]*)")
 
 
 def key_spans(raw: bytes) -> list[tuple[int, int]]:
@@ -144,38 +146,42 @@ class _Known:
         self.hashed = any(b"\x01" in p for p in patterns)
 
 
-def instances(raw: bytes, known: _Known | None) -> list[tuple[bytes, int, int]]:
-    """(pattern, start, end) in bytes of every token of the text that stands in a known pattern (in any, without ``known``), unwrapped."""
+def _hits(raw: bytes, known: _Known | None) -> list[tuple[bytes, int]]:
+    """(pattern, token number) of every token that stands in a known pattern of the tokens around it (in any, without ``known``)."""
     tokens = raw.translate(_MASK).split()
     if known is None or known.hashed:
         tokens = list(map(_whole, tokens))
-    t = [_EDGE, _EDGE, *tokens, _EDGE]
+    t, n = [_EDGE, _EDGE, *tokens, _EDGE], len(tokens)
     if known is None:
-        hits = [(b"2 " + t[i] + b" " + t[i + 1], i) for i in range(len(tokens))]
-        hits += [(b"m " + t[i + 1] + b" " + t[i + 3], i) for i in range(len(tokens))]
-        hits += [(b"1 " + t[i + 1], i) for i in range(len(tokens)) if t[i + 1][-1] in _LABEL]
-    else:
-        two, mid, one = known.two, known.mid, known.one
-        n = len(tokens)
-        hits = [(b"2 %b %b" % p, i) for i, p in enumerate(zip(t, t[1:])) if p in two and i < n]
-        hits += [(b"m %b %b" % p, i) for i, p in enumerate(zip(t[1:], t[3:])) if p in mid]
-        hits += [(b"1 " + x, i) for i, x in enumerate(t[1:]) if x in one and i < n]
-    glued = (known is None or known.glued) and (b"=" in raw or b":" in raw)
-    if not hits and not glued:
-        return []
-    spans, out = [m.span() for m in _TOKEN.finditer(raw)], []
+        return [(b"2 " + t[i] + b" " + t[i + 1], i) for i in range(n)] + [(b"m " + t[i + 1] + b" " + t[i + 3], i) for i in range(n)] + [(b"1 " + t[i + 1], i) for i in range(n) if t[i + 1][-1] in _LABEL]
+    two, mid, one = known.two, known.mid, known.one
+    hits = [(b"2 %b %b" % p, i) for i, p in enumerate(zip(t, t[1:])) if p in two and i < n]
+    hits += [(b"m %b %b" % p, i) for i, p in enumerate(zip(t[1:], t[3:])) if p in mid]
+    return hits + [(b"1 " + x, i) for i, x in enumerate(t[1:]) if x in one and i < n] if one else hits
+
+
+def _labelled(raw: bytes, known: _Known | None) -> list[tuple[bytes, int, int]]:
+    """(pattern, start, end) of what is glued to a known label."""
+    out = []
+    if (known is None or known.glued) and (b"=" in raw or b":" in raw):
+        for m in _GLUED.finditer(raw):
+            label = m[1].translate(_MASK).lstrip(_WRAP)
+            end = m.end(1) + len(m[2].rstrip(_WRAP))
+            start = end - len(raw[m.end(1) : end].lstrip(_WRAP))
+            if label.strip(_WRAP) and start < end and (known is None or _whole(label) in known.glued):
+                out.append((b"p " + _whole(label), start, end))
+    return out
+
+
+def instances(raw: bytes, known: _Known | None) -> list[tuple[bytes, int, int]]:
+    """(pattern, start, end) in bytes of every token, unwrapped, that stands in a known pattern (in any, without ``known``)."""
+    out, hits = _labelled(raw, known), _hits(raw, known)
+    spans = [m.span() for m in _TOKEN.finditer(raw)] if hits else []
     for pattern, i in hits:
         a, b = spans[i]
         a, b = b - len(raw[a:b].lstrip(_WRAP)), a + len(raw[a:b].rstrip(_WRAP))
         if a < b:
             out.append((pattern, a, b))
-    for a, b in spans if glued else ():
-        if m := _GLUED.match(raw, a, b):
-            label = m[0].translate(_MASK).lstrip(_WRAP)
-            end = m.end() + len(raw[m.end() : b].rstrip(_WRAP))
-            start = end - len(raw[m.end() : end].lstrip(_WRAP))
-            if label.strip(_WRAP) and start < end and (known is None or _whole(label) in known.glued):
-                out.append((b"p " + _whole(label), start, end))
     return out
 
 
@@ -230,6 +236,26 @@ def _searched(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return wide.mapInArrow(kernel, f"d {kept}, k1 long, k2 long, base {_SPAN}, edges array<struct<pattern:binary,instance:binary>>")
 
 
+def _frequencies(docs: DataFrame, text_col: str, patterns: DataFrame, few: bool) -> DataFrame:
+    """(pattern, n): how many tokens stand in each pattern."""
+    t = name(text_col).cast("string")
+    shipped = docs.sparkSession.sparkContext.broadcast([bytes(r[0]) for r in patterns.select("pattern").collect()]) if few else None
+    schema = pa.schema([("pattern", pa.binary()), ("n", pa.int64())])
+
+    def kernel(batches):
+        known = _Known(shipped.value) if shipped else None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                counts: Counter = Counter()
+                for t in whole.slice(at, 4096).column(0).to_pylist():
+                    raw = (t or "").encode()
+                    counts.update(p for p, _ in _hits(raw, known))
+                    counts.update(p for p, _, _ in _labelled(raw, known))
+                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], schema=schema)
+
+    return docs.select(t.alias("t")).mapInArrow(kernel, "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+
+
 def _places(docs: DataFrame, text_col: str, patterns: DataFrame, few: bool) -> DataFrame:
     """(k1, k2, pattern, instance, seed, start, end) wherever a pattern stands, in characters."""
     t = name(text_col).cast("string")
@@ -296,11 +322,13 @@ def _reliable(places: DataFrame, rounds: int, reliable: float, support: int) ->
     return scratch(score(e).where(f"k >= {support} and p >= {reliable}"), "reliable")
 
 
-def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, rounds: int = 3, reliable: float = 0.7, support: int = 5) -> DataFrame:
+def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, rounds: int = 3, reliable: float = 0.7, support: int = 5, promise: float = 0.1) -> DataFrame:
     """``d`` (columns ``keep`` of ``docs``, or all) with ``base`` and ``spans``: arrays of (kind number, start, end), sorted."""
     s = scratch(_searched(docs, text_col, docs.columns if keep is None else keep), "pii")
-    induced = s.select(F.explode("edges").alias("e")).select("e.*").distinct().groupBy("pattern").agg(F.count("*").alias("seeds"))
-    induced = scratch(induced.where(F.col("seeds") >= support), "patterns")
+    stands = s.select(F.explode("edges").alias("e")).groupBy("e.pattern", "e.instance").agg(F.count("*").alias("n"))
+    induced = scratch(stands.groupBy("pattern").agg(F.count("*").alias("seeds"), F.sum("n").alias("stands")).where(F.col("seeds") >= support), "patterns")
+    of_all = _frequencies(docs, text_col, induced, induced.count() <= BROADCAST_PATTERNS)
+    every, induced = induced, scratch(induced.join(of_all, "pattern", "left").where(F.col("stands") >= promise * F.coalesce("n", F.lit(0))).select("pattern"), "patterns")
     few = induced.count() <= BROADCAST_PATTERNS
     places = _places(docs, text_col, induced, few)
     places = scratch(places if few else places.join(induced.select("pattern"), "pattern", "left_semi"), "places")
@@ -308,6 +336,7 @@ def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     good = F.broadcast(good) if good.count() <= BROADCAST_PATTERNS else good
     new = places.where("start is not null").join(good, "pattern", "left_semi").select("k1", "k2", "start", "end").distinct()
     new = scratch(new.groupBy("k1", "k2").agg(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("new")), "new")
+    discard(every, induced, places)
     new = F.broadcast(new) if new.count() <= BROADCAST_TEXTS else new
     both = F.concat("base", F.coalesce("new", F.array().cast(_SPAN)))
     return s.join(new, ["k1", "k2"], "left").select("d", F.array_sort("base").alias("base"), F.array_sort(both).alias("spans"))
