@@ -1,7 +1,6 @@
-"""Hashed text features and linear scores shared by the two classifiers.
+"""Hashed text features and linear scores of the language classifier.
 
-A text's feature vector is the share of each of ``DIM`` hash bins among its items (byte
-trigrams or words). A linear score is then the mean over the items of the bin's weight, so it
+A text's feature vector is the share of each of ``DIM`` hash bins among its byte trigrams. A linear score is then the mean over the items of the bin's weight, so it
 is summed over whole texts without a vector per document.
 """
 
@@ -11,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .kernels import SLICE_BYTES, U, Words, text_buffer
+from .kernels import SLICE_BYTES, text_buffer
 
 DIM = 4096
 _LETTERS = np.array([c if chr(c).isascii() and chr(c).isalpha() or c > 127 else 32 for c in range(256)], np.uint32)
@@ -36,11 +35,6 @@ def trigram_bins(column):
         d = e
 
 
-def word_bins(column):
-    w = Words(column, lower=True)
-    yield 0, w.n, (w.hash >> U(52)).astype(np.uint32)
-
-
 def shares(column, bins=trigram_bins) -> list[bytes]:
     """Feature vectors as bytes of float16 (of the square root, to keep rare bins)."""
     out = []

@@ -11,8 +11,9 @@ search starts from the rates found (``proximal``); the fit ends only when the ta
 the duality gap shows that no other rates come nearer. With ``iterations`` given, so many steps
 of accelerated projected gradient from rate 1 are taken instead (``replay``), converged or not.
 
-The classifier (softmax regression on hashed words and form) is fitted on the driver on at most
-``sample_rows`` labelled documents, those of least id hash; posteriors cover all documents.
+The classifier (softmax regression on form and on the presence of the words that tell the domains
+apart best) is fitted on the driver on at most ``sample_rows`` labelled documents, those of least
+id hash; posteriors cover all documents.
 
 Defined cases: null and empty texts have 0 tokens and get the rate of their posterior (1 if no text has tokens); labels
 with a null id or domain are ignored; a document labelled twice counts with its least domain, a labelled
@@ -30,8 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import name
-from .features import DIM, mean_weights, shares, word_bins
-from .kernels import text_buffer
+from .kernels import U, Words, text_buffer
 from .scratch import scratch
 
 _FORM = 6
@@ -59,43 +59,93 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, domain, id_col: str, text_col: str, sample_rows: int, steps: int = 250):
-    """(domains, word weights [DIM, k], form weights [_FORM, k]) or None without labels."""
+#: Words are told apart by 20 bits of their hashes; the classifier looks at ``features`` of these bins.
+BINS = 1 << 20
+
+
+def word_sets(column, index: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words by document, document, bin) of the distinct bins of each document; with ``index`` only of bins with a number, which is given instead."""
+    w = Words(column, lower=True)
+    bins, doc = (w.hash >> U(44)).astype(np.int64), w.doc()
+    if index is not None:
+        bins = index[bins]
+        doc, bins = doc[bins >= 0], bins[bins >= 0]
+    key = np.unique(doc << 20 | bins)
+    return w.n, key >> 20, key & (BINS - 1)
+
+
+class Classifier:
+    """Softmax regression on the presence of telling words and on form."""
+
+    def __init__(self, sets: list[np.ndarray], forms: np.ndarray, labels: list[str], features: int = 2000, ridge: float = 3e-3, steps: int = 300):
+        self.domains = sorted(set(labels))
+        y = np.eye(len(self.domains))[[self.domains.index(x) for x in labels]]
+        seen = np.array([np.bincount(np.concatenate([s for s, has in zip(sets, y[:, k]) if has]), minlength=BINS) for k in range(y.shape[1])]).T
+        total = seen.sum(1)
+        expected = total[:, None] * y.mean(0)
+        tells = np.where(total >= 3, ((seen - expected) ** 2 / np.maximum(expected, 1e-9)).sum(1), -1)
+        chosen = np.argsort(-tells, kind="stable")[:features]
+        chosen = np.sort(chosen[tells[chosen] > 0])
+        self.index = np.full(BINS, -1, np.int16)
+        self.index[chosen] = np.arange(len(chosen))
+        x = np.zeros((len(sets), len(chosen) + _FORM))
+        for row, s in zip(x, sets):
+            at = self.index[s]
+            row[at[at >= 0]] = 1
+        x[:, len(chosen) :] = forms
+        scale = 1 / (np.sqrt((x**2).mean(0)) + 0.02)
+        z = x * scale
+        step = 1 / (0.5 * np.linalg.norm(z, 2) ** 2 / len(z) + ridge)
+        w = v = np.zeros((z.shape[1], y.shape[1]))
+        t = 1.0
+        for _ in range(steps):  # accelerated gradient descent
+            new = v - step * (z.T @ ((softmax(z @ v) - y) / len(z)) + ridge * v)
+            nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
+            v, w, t = new + (t - 1) / nt * (new - w), new, nt
+        w = w * scale[:, None]
+        self.words, self.form = w[: len(chosen)], w[len(chosen) :]
+
+    def posterior(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """(words by document, posterior by document and domain)."""
+        n, doc, at = word_sets(column, self.index)
+        z = form(column) @ self.form
+        for k in range(z.shape[1]):
+            z[:, k] += np.bincount(doc, self.words[at, k], minlength=len(n))
+        return n, softmax(z)
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, domain, id_col: str, text_col: str, sample_rows: int) -> Classifier | None:
+    """A classifier fitted on the driver on the labelled sample; None without labels."""
     some = labels.select(name("doc_id").cast("long").alias("k"), domain.alias("domain")).where("k is not null and domain is not null").groupBy("k").agg(F.min("domain").alias("domain"))
     some = some.orderBy(F.xxhash64("k"), "k").limit(sample_rows)  # bounded, so it may be broadcast
     text = docs.select(name(id_col).cast("long").alias("k"), name(text_col).cast("string").alias("t")).where("t is not null")
     schema = pa.schema([("l", pa.string()), ("x", pa.binary()), ("f", pa.list_(pa.float64()))])
 
     def kernel(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shares(b.column(1), word_bins), pa.binary()), pa.array(form(b.column(1)).tolist(), pa.list_(pa.float64()))], schema=schema)
+        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+            n, doc, bins = word_sets(b.column(1))
+            parts = np.split(bins.astype(np.int32), np.searchsorted(doc, np.arange(1, len(n))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(form(b.column(1)).tolist(), pa.list_(pa.float64()))], schema=schema)
 
     got = text.join(F.broadcast(some), "k").groupBy("k", "domain").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("x")).select("domain", "x.t").mapInArrow(kernel, "l string, x binary, f array<double>").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r.l, r.x))
-    names = sorted({r.l for r in got})
-    x = np.array([np.frombuffer(r.x, np.float16) for r in got], np.float32) ** 2 * 8
-    f, y = np.array([r.f for r in got]), np.eye(len(names))[[names.index(r.l) for r in got]]
-    w, v = np.zeros((DIM, len(names)), np.float32), np.zeros((_FORM, len(names)))
-    for _ in range(steps):
-        g = (softmax(x @ w + f @ v) - y) / len(got)
-        w -= 1.0 * (x.T @ g.astype(np.float32) + 1e-4 * w)
-        v -= 0.5 * (f.T @ g + 1e-4 * v)
-    return names, w * 8, v
-
-
-def posteriors(docs: DataFrame, model, domains: list[str], id_col: str, text_col: str) -> DataFrame:
+    return Classifier([np.frombuffer(r.x, np.int32) for r in got], np.array([r.f for r in got]), [r.l for r in got])
+
+
+def posteriors(docs: DataFrame, model: Classifier | None, domains: list[str], id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_tokens, p): whitespace tokens and posterior in the order of ``domains``."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("p", pa.list_(pa.float64()))])
 
     def kernel(batches):
         for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
-            n, means = mean_weights(b.column(1), model[1] if model else np.zeros((DIM, 1), np.float32), word_bins)
-            p = np.full((len(n), len(domains)), 1 / len(domains))
             if model:
-                q = softmax(means + form(b.column(1)) @ model[2])
-                p = np.array([q[:, model[0].index(d)] if d in model[0] else np.zeros(len(n)) for d in domains]).T.reshape(len(n), len(domains))
+                n, q = model.posterior(b.column(1))
+                p = np.array([q[:, model.domains.index(d)] if d in model.domains else np.zeros(len(n)) for d in domains]).T.reshape(len(n), len(domains))
+            else:
+                n = word_sets(b.column(1))[0]
+                p = np.full((len(n), len(domains)), 1 / len(domains))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64()))], schema=schema)
 
     return docs.select(name(id_col).cast("long").alias("doc_id"), name(text_col).cast("string").alias("text")).mapInArrow(kernel, "doc_id long, n_tokens long, p array<double>")
@@ -172,7 +222,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain, targets: dict[str, float], i
     the classifier but not named get 0.
     """
     model = fit_classifier(docs, labels, domain, id_col, text_col, sample_rows)
-    domains = sorted({*targets, *(model[0] if model else ())})
+    domains = sorted({*targets, *(model.domains if model else ())})
     total_share = sum(targets.values()) or 1.0
     goal = np.array([targets.get(d, 0.0) * size / total_share for d in domains])
     table = scratch(posteriors(docs, model, domains, id_col, text_col), "posteriors")
