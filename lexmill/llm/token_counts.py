@@ -28,7 +28,6 @@ from .exchange import name
 from .scratch import scratch, shared_folder
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-EOD = 50256
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -41,15 +40,25 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def file_format(vocabulary: str, eod: int | None = None) -> tuple[int, str]:
+    """(end-of-document identifier, type of an identifier): by default the first one past the vocabulary's; two bytes if all fit, else four."""
+    top = encoder(vocabulary).max_token_value
+    eod = top + 1 if eod is None else eod
+    if eod in encoder(vocabulary)._mergeable_ranks.values():
+        raise ValueError(f"identifier {eod} stands for a token of the vocabulary")
+    return eod, "<u2" if max(top, eod) < 1 << 16 else "<u4"
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, eod: int = EOD) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, eod: int | None = None) -> DataFrame:
     """Write token files; (file, ordinal, doc_id) of their documents, ``ordinal`` from 0. Lazy: read it once, or write it down first."""
     schema = pa.schema([("file", pa.string()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
+    eod, dtype = file_format(vocabulary, eod)
 
     def kernel(batches):
         encode = encoder(vocabulary).encode_ordinary
@@ -61,14 +70,14 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)
                     ids = [x for t in part.column(1).to_pylist() for x in (*encode(t or ""), eod)]
-                    out.write(np.array(ids, "<u2").tobytes())
+                    out.write(np.array(ids, dtype).tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([uri] * part.num_rows), pa.array(range(ordinal, ordinal + part.num_rows), pa.int64()), part.column(0)], schema=schema)
                     ordinal += part.num_rows
 
     return docs.select(name(id_col).cast("long").alias("doc_id"), name(text_col).cast("string").alias("text")).mapInArrow(kernel, "file string, ordinal long, doc_id long")
 
 
-def count_tokens(files: DataFrame, eod: int = EOD, dtype: str = "<u2", block_tokens: int = 1 << 22) -> DataFrame:
+def count_tokens(files: DataFrame, eod: int, dtype: str = "<u2", block_tokens: int = 1 << 22) -> DataFrame:
     """(file, ordinal, start, n_tokens, ended) of every document in the files of column ``file``."""
     spark: SparkSession = files.sparkSession
     width = np.dtype(dtype).itemsize
@@ -113,8 +122,9 @@ def count_tokens(files: DataFrame, eod: int = EOD, dtype: str = "<u2", block_tok
     return ended.unionByName(rest)
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, eod: int = EOD, block_tokens: int = 1 << 22) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, eod: int | None = None, block_tokens: int = 1 << 22) -> DataFrame:
     """Write token files of ``docs`` to the shared folder and count them: doc_id, n_tokens, file, start."""
+    eod, dtype = file_format(vocabulary, eod)
     folder = f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     index = scratch(write_tokens(docs, folder, id_col, text_col, vocabulary, eod), "index")
-    return index.join(count_tokens(index, eod, "<u2", block_tokens), ["file", "ordinal"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "file", "start")
+    return index.join(count_tokens(index, eod, dtype, block_tokens), ["file", "ordinal"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "file", "start")
