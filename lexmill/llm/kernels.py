@@ -64,8 +64,8 @@ _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 _LONG = 64
 
 
-def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each ``data[s:e]``.
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, two: bool) -> list[np.ndarray]:
+    """A 64-bit hash, or two independent ones, of each ``data[s:e]``.
 
     Words are read eight bytes at a time and every step is a bijection of the bytes read, mixed
     with other constants in either hash, so words of up to eight bytes and one length never
@@ -75,22 +75,27 @@ def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndar
     n = e - s
     x = eight[s] & _LOW[np.minimum(n, 8)]
     size = n.astype(U)
-    a, b = mix(x ^ (size * U(_M2))), mix((x + U(_M1)) * U(_R) ^ (size * U(_M1)))
+    out = [mix(x ^ (size * U(_M2)))]
+    if two:
+        out.append(mix((x + U(_M1)) * U(_R) ^ (size * U(_M1))))
     more, at = np.flatnonzero((n > 8) & (n <= _LONG)), 8
     while len(more):
         x = eight[s[more] + at] & _LOW[np.minimum(n[more] - at, 8)]
-        a[more], b[more] = mix((a[more] + U(_R)) ^ x), mix((b[more] ^ U(_M2)) * U(_R) + x)
+        out[0][more] = mix((out[0][more] + U(_R)) ^ x)
+        if two:
+            out[1][more] = mix((out[1][more] ^ U(_M2)) * U(_R) + x)
         at += 8
         more = more[n[more] > at]
     for k in np.flatnonzero(n > _LONG).tolist():
-        a[k], b[k] = np.frombuffer(blake2b(data[s[k] : e[k]].tobytes(), digest_size=16).digest(), U)
-    return a, b
+        for h, half in zip(out, np.frombuffer(blake2b(data[s[k] : e[k]].tobytes(), digest_size=16).digest(), U)):
+            h[k] = half
+    return out
 
 
 class Words:
-    """Words of a batch: two 64-bit hashes each in document order; ``woff[d]:woff[d+1]`` belong to document d."""
+    """Words of a batch: a 64-bit hash each (``two``: and a second one) in document order; ``woff[d]:woff[d+1]`` belong to document d."""
 
-    def __init__(self, column, delim: np.ndarray = SPACES, lower: bool = False):
+    def __init__(self, column, delim: np.ndarray = SPACES, lower: bool = False, two: bool = False):
         self.data, self.off = text_buffer(column)
         off, hs, counts = self.off, [], []
         n, d = len(off) - 1, 0
@@ -98,10 +103,11 @@ class Words:
             e = max(d + 1, int(np.searchsorted(off, off[d] + SLICE_BYTES, "right")) - 1)
             part = self.data[off[d] : off[e]]
             s, t, c = word_spans(part, off[d : e + 1] - off[d], delim) if len(part) else (np.zeros(0, np.int64),) * 2 + (np.zeros(e - d, np.int64),)
-            hs.append(span_hashes(LOWER[part] if lower else part, s, t))
+            hs.append(span_hashes(LOWER[part] if lower else part, s, t, two))
             counts.append(c)
             d = e
-        self.hash, self.hash2 = (np.concatenate(x) for x in zip(*hs)) if hs else (np.zeros(0, U),) * 2
+        each = [np.concatenate(x) for x in zip(*hs)] if hs else [np.zeros(0, U)] * (1 + two)
+        self.hash, self.hash2 = each[0], each[-1] if two else None
         self.n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         self.woff = np.concatenate([[0], np.cumsum(self.n)]).astype(np.int64)
 

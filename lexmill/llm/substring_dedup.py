@@ -33,9 +33,9 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_pylist([dict(zip(_SENT.names, r)) for r in rows], _SENT)
 
 
-def _windows(docs: pa.Table, window: int):
+def _windows(docs: pa.Table, window: int, two: bool = True):
     """Words, valid starts, first fingerprints, document ids (null as ID_MAX)."""
-    w = Words(docs["text"])
+    w = Words(docs["text"], two=two)
     at = w.valid(window)
     ids = docs["doc_id"].combine_chunks().fill_null(ID_MAX).to_numpy(zero_copy_only=False)
     return w, at, w.windows(window)[at] if len(at) else np.zeros(0, U), ids
@@ -79,7 +79,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = chunked(docs, id_col, text_col, n)
 
     def sketch(t: pa.Table) -> pa.Table:
-        _, _, h, _ = _windows(t, window)
+        _, _, h, _ = _windows(t, window, False)
         cells, count = np.unique(_cells(h, n), return_counts=True)
         cut = np.searchsorted(cells, np.arange(n + 1, dtype=U) << U(32))
         chunk, low, many = t["chunk"][0].as_py(), cells.astype(np.uint32), count > 1
