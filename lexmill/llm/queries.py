@@ -96,7 +96,7 @@ def _fingerprint_sql() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER o, first_value(coalesce(text, '')) OVER o) AS nxt FROM documents WINDOW o AS (ORDER BY doc_id DESC)),
 e AS (SELECT doc_id, length(text) AS n, text, nxt, left(text, length(text) - length(text) // 3) || left(nxt, length(text) // 3) AS edited FROM d),
 x AS (SELECT doc_id, n, sha256(edited) AS edited_sha256, unnest([struct_pack(k := 't', v := text), struct_pack(k := 'e', v := edited), struct_pack(k := 'n', v := nxt)]) AS s FROM e),
-y AS (SELECT doc_id, n, edited_sha256, s.k AS k, list_transform(string_split(s.v, E'\n\n'), lambda a: list_transform(string_split(a, E'\n'), lambda p: list_transform(regexp_extract_all(p, '(?s).{1,192}?(?:[.,;:!?y] |\z)|.{1,192}'), lambda q: md5(q)))) AS t FROM x),
+y AS (SELECT doc_id, n, edited_sha256, s.k AS k, list_transform(string_split(s.v, E'\n\n'), lambda a: list_transform(string_split(a, E'\n'), lambda p: list_transform(flatten(list_transform(string_split(regexp_replace(p, '([.;:!?] )', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_extract_all(x, '(?s).{1,192}'))), lambda q: md5(q)))) AS t FROM x),
 y1 AS (SELECT *, list_transform(t, lambda a: list_transform(a, lambda p: struct_pack(h := md5(coalesce(array_to_string(p, ''), '')), r := coalesce(array_to_string(list_transform(p, lambda q: left(q, 8)), ''), '')))) AS ps FROM y),
 y2 AS (SELECT *, list_transform(ps, lambda a: md5(array_to_string(list_transform(a, lambda p: p.h), ''))) AS sh FROM y1),
 z AS (SELECT doc_id, n, edited_sha256, k, sha256(array_to_string(sh, '')) AS root, list_transform(ps, lambda a: list_transform(a, lambda p: p.h)) AS ph, sh,

@@ -1,5 +1,6 @@
 """The training-data operators: SQL on small tables, brute force, round trips, held-out accuracy, odd inputs."""
 
+import base64
 import itertools
 import random
 import re
@@ -7,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,11 +21,12 @@ from lexmill.llm.fingerprint import edited_fingerprints, fingerprints  # noqa: E
 from lexmill.llm.language_id import fit, held_out, identify  # noqa: E402
 from lexmill.llm.license_scan import license_scan  # noqa: E402
 from lexmill.llm.lm_score import lm_score  # noqa: E402
-from lexmill.llm.mixing import TARGETS, fit_classifier, label_domain, measured, mix, proximal, replay, solve  # noqa: E402
+from lexmill.llm.kernels import Words  # noqa: E402
+from lexmill.llm.mixing import TARGETS, fit_classifier, form, label_domain, measured, mix, posteriors, proximal, replay, solve  # noqa: E402
 from lexmill.llm.near_dup import near_dup  # noqa: E402
 from lexmill.llm.pii import find, luhn, patterns_of, redact, rendered  # noqa: E402
 from lexmill.llm.substring_dedup import substring_dedup  # noqa: E402
-from lexmill.llm.token_counts import VOCABULARY, count_tokens, encoder, token_counts  # noqa: E402
+from lexmill.llm.token_counts import VOCABULARY, count_tokens, encoder, file_format, token_counts  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, row string, d string, cls string"
@@ -267,6 +270,54 @@ def test_token_counts(spark, odd, tmp_path):
         assert got == [("a", 0, 0, 2, True), ("a", 1, 3, 0, True), ("a", 2, 4, 1, False), ("b", 0, 0, 0, True), ("d", 0, 0, 10, False), ("e", 0, 0, 3, True), ("e", 1, 4, 4, True)]
 
 
+def test_token_query(spark, tmp_path):
+    """The registered query against the encoder; a vocabulary of over 65,536 tokens takes four bytes each."""
+    encode = encoder(VOCABULARY).encode_ordinary
+    docs = {r.doc_id: len(encode(r.text or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: r.n_tokens for r in Q.op6_token_counts(spark, SF).collect()} == docs
+    eod, dtype = file_format(VOCABULARY)
+    assert eod == encoder(VOCABULARY).max_token_value + 1 and dtype == "<u2"
+    with pytest.raises(ValueError):
+        file_format(VOCABULARY, 7)
+    wide = tmp_path / "wide.tiktoken"
+    single = [bytes([k]) for k in range(256)] + [bytes([97 + k // 26 % 26, 97 + k % 26, *str(k).encode()]) for k in range(70_000)]
+    wide.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(k).encode() for k, t in enumerate(dict.fromkeys(single))))
+    assert file_format(str(wide))[1] == "<u4"
+    some = spark.createDataFrame([(1, "abc"), (2, ""), (3, None), (4, "x y z")], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts(some, vocabulary=str(wide), block_tokens=2).collect()} == {k: len(encoder(str(wide)).encode_ordinary(t)) for k, t in ((1, "abc"), (2, ""), (3, ""), (4, "x y z"))}
+
+
+def test_mixing_posteriors(spark):
+    """Posteriors against plain sums of word weights; quality on labelled documents the fit doesn't see."""
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_classifier(docs, labels.where("doc_id % 3 <> 0"), label_domain(), "doc_id", "text", 2000)
+    rows = {r.doc_id: r for r in posteriors(docs, model, model.domains, "doc_id", "text").collect()}
+    for r in docs.limit(30).collect():
+        z = form(pa.array([r.text]))[0] @ model.form
+        bins = {int(Words(pa.array([x]), lower=True).hash[0] >> np.uint64(44)) for x in set(words(r.text))}
+        z = z + sum(model.words[model.index[b]] for b in bins if model.index[b] >= 0)
+        assert rows[r.doc_id].n_tokens == len(words(r.text)) and np.allclose(rows[r.doc_id].p, np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-6)
+
+
+def test_mixing_quality(spark):
+    """Domains of labelled documents that the fit doesn't see."""
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_classifier(docs, labels.where("doc_id % 3 <> 0"), label_domain(), "doc_id", "text", 2000)
+    held = labels.where("doc_id % 3 = 0").select("doc_id", label_domain().alias("y")).join(posteriors(docs, model, model.domains, "doc_id", "text"), "doc_id").collect()
+    right = [(r.y, model.domains[int(np.argmax(r.p))] == r.y) for r in held]
+    assert np.mean([ok for _, ok in right]) > 0.9 and np.mean([ok for y, ok in right if y == "good-toxic"]) > 0.75
+
+
+def test_scratch_scope(spark):
+    from lexmill.llm.scratch import discarded, scratch
+
+    with discarded(spark):
+        kept = scratch(spark.range(3))
+        path = kept._saved_at.removeprefix("file://")
+        assert kept.count() == 3 and Path(path).exists()
+    assert not Path(path).exists()
+
+
 def test_mixing(spark, odd):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     targets = {"good-clean": 0.6, "poor-clean": 0.3, "good-toxic": 0.06, "poor-toxic": 0.04}

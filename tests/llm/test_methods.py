@@ -36,7 +36,7 @@ def thue_morse(n):
 def test_words_that_collide_under_polynomials(spark, n):
     """Two words that agree under any polynomial hash modulo a power of two are two words."""
     x, y = thue_morse(n)
-    w = Words(pa.array([x, y, x]))
+    w = Words(pa.array([x, y, x]), two=True)
     assert w.hash[0] != w.hash[1] and w.hash2[0] != w.hash2[1] and w.hash[0] == w.hash[2]
     docs = spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_dup(docs, shingle=3, percent=85).collect()} == {1: 1, 2: 2, 3: 1}
@@ -47,7 +47,7 @@ def test_words_that_collide_under_polynomials(spark, n):
 
 def test_word_hashes(spark):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["x" * k for k in range(200)] + [None, ""]
-    w, known, at = Words(pa.array(texts), lower=True), {}, 0
+    w, known, at = Words(pa.array(texts), lower=True, two=True), {}, 0
     for t in texts:
         for word in re.findall(rb"[^ \t-\r]+", (t or "").encode().lower()):
             assert known.setdefault(word, (w.hash[at], w.hash2[at])) == (w.hash[at], w.hash2[at])
@@ -142,10 +142,10 @@ SPACE = re.compile(r"[^\x20\t\n\r\x0b\x0c]+")
 WRAP = "\"'`()[]{}<>,;.!?*"
 
 
-def brute_contexts(texts, rounds=3, reliable=0.7, support=5):
+def brute_contexts(texts, rounds=3, reliable=0.7, support=5, promise=0.1):
     """New spans by text: the pattern graph built and scored in plain dictionaries."""
     mask = lambda x: re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), x))
-    induced, docs = collections.defaultdict(set), []
+    induced, stands, common, docs = collections.defaultdict(set), collections.Counter(), collections.Counter(), []
     for t in texts:
         base = [(s, e) for _, s, e in base_spans(t)]
         keys = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}", t) if len(re.findall("[0-9]", m[0])) >= 8 and len(re.findall("[A-Za-z]", m[0])) >= 8]
@@ -164,10 +164,17 @@ def brute_contexts(texts, rounds=3, reliable=0.7, support=5):
                 names = [f"2 {word(first - 2)} {one}", f"m {one} {word(last + 1)}"] + ([f"1 {one}"] if one[-1] in ":=#>|(" else [])
             for p in names:
                 induced[p].add(t[s:e].lower())
+                stands[p] += 1
                 if (s, e) in base:
                     edges.append((p, t[s:e].lower(), True, None))
         docs.append((t, base, keys, tokens, edges))
-    patterns = {p for p, found in induced.items() if len(found) >= support}
+        word = lambda k: mask(t[slice(*tokens[k])]) if 0 <= k < len(tokens) else "\n"
+        for k, (a, b) in enumerate(tokens):
+            common.update((f"2 {word(k - 2)} {word(k - 1)}", f"m {word(k - 1)} {word(k + 1)}", f"1 {word(k - 1)}"))
+            m = re.match(r".*[=:]", t[a:b], re.DOTALL)
+            if m and t[a + m.end() : b].strip(WRAP) and mask(m[0]).strip(WRAP):
+                common["p " + mask(m[0]).lstrip(WRAP)] += 1
+    patterns = {p for p, found in induced.items() if len(found) >= support and stands[p] >= promise * common[p]}
     graph, places = collections.defaultdict(dict), []
     for n, (t, base, keys, tokens, edges) in enumerate(docs):
         found = [x for x in edges if x[0] in patterns]
