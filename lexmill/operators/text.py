@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sentences import KINDS, Suppressor, sentences as _sentences
 from ..functions.tokens import TokenSpec, filter_of
+from ..functions.width import width
 from ..functions.words import PROPERTIES
 from ..resources import suppressions, word_break
 from ..sources.jsontype import unescape
@@ -133,3 +134,13 @@ def break_classes_of(text: Column) -> Column:
         return pa.array(out, pa.list_(item))
 
     return kernel.asNondeterministic()(text)
+
+
+def width_of(text: Column) -> Column:
+    """Display width of a text in cells; NULL for NULL."""
+
+    @F.arrow_udf("long")
+    def kernel(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else width(t) for t in texts.to_pylist()], pa.int64())
+
+    return kernel(text)

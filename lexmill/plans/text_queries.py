@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import TokenSpec
 from ..operators import counts as C
 from ..operators.search import search, terms_frame
-from ..operators.text import break_classes_of, sentences, spread, tokens, types_of
+from ..operators.text import break_classes_of, sentences, spread, tokens, types_of, width_of
 from ..resources import stopword_names, stopwords
 from . import sentence_sql
 
@@ -34,6 +34,10 @@ def word_break_classes(spark, d):
     return each.groupBy("property").agg(F.sum("n").alias("n"))
 
 
+def text_widths(spark, d):
+    return _docs(spark, d).select("doc_id", width_of(F.col("text")).alias("width"))
+
+
 def normalized_types(spark, d):
     """Compatibility forms, ignorables, decomposed letters and quotes put into the texts and folded away again."""
     t = F.col("text")
@@ -129,7 +133,7 @@ def sentences_glued(spark, d):
     return found.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"), "kind")
 
 
-QUERIES = {f.__name__: f for f in (token_spans, token_kinds, word_break_classes, normalized_types, user_stems, combined_spans, text_search_spans, text_search_bridged, stopword_counts, sequence_ids, int_set_sorted, numbered_tree, stem_samples, sentences_glued)}
+QUERIES = {f.__name__: f for f in (token_spans, token_kinds, text_widths, word_break_classes, normalized_types, user_stems, combined_spans, text_search_spans, text_search_bridged, stopword_counts, sequence_ids, int_set_sorted, numbered_tree, stem_samples, sentences_glued)}
 
 
 def spans(pattern: str, table: str = "documents", key: str = "doc_id") -> str:
@@ -154,6 +158,7 @@ phrase AS ({glue(("of", "the"), ("in", "the"), ("gnu", "general", "public", "lic
     return {
         "token_spans": f"WITH {span} SELECT doc_id, count(*) AS n, sum(start)::BIGINT AS starts, sum(size)::BIGINT AS sizes, sum(pos * start)::BIGINT AS places FROM span GROUP BY doc_id",
         "token_kinds": f"WITH {tok()} SELECT CASE WHEN {letter} THEN 'letter' WHEN {number} THEN 'number' WHEN {symbol} THEN 'symbol' ELSE 'punct' END AS kind, count(*) AS n FROM tok GROUP BY 1",
+        "text_widths": "SELECT doc_id, length(replace(text, chr(10), ''))::BIGINT AS width FROM documents",
         "word_break_classes": r"""WITH c AS (SELECT unnest(string_split(text, '')) AS c FROM documents) SELECT CASE WHEN regexp_matches(c, '\p{L}') THEN 'aletter' WHEN c BETWEEN '0' AND '9' THEN 'numeric' WHEN c = ' ' THEN 'white_space' WHEN c = chr(10) THEN 'lf' WHEN c = '.' THEN 'midnumlet'
 WHEN c IN (',', ';') THEN 'midnum' WHEN c = ':' THEN 'midletter' WHEN c = '"' THEN 'double_quote' WHEN c = '-' THEN 'hyphen' WHEN c = chr(39) THEN 'single_quote' WHEN c = '_' THEN 'extendnumlet' WHEN c IN ('!', '?', '(', ')', '*', '/', '[', ']', '{', '}') THEN 'punctuation' ELSE 'symbol' END AS property, count(*) AS n FROM c GROUP BY 1""",
         "normalized_types": f"WITH {tok()} SELECT CASE WHEN type = '\"' THEN '''' ELSE replace(lower(replace(token, 'i', 'fi')), 'ß', 'ss') END AS item, count(*) AS n FROM tok GROUP BY 1",
