@@ -44,6 +44,18 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), off
 
 
+def bounded(batches, *columns: int, rows: int = 1024, size: int = 4 << 20):
+    """Slices of the batches with at most so many rows and (but for a single longer one) bytes of text in the columns."""
+    for whole in batches:
+        lengths = sum(np.asarray(pc.fill_null(pc.binary_length(whole.column(c)), 0), np.int64) for c in columns)
+        ends, at = np.cumsum(lengths), 0
+        while at < whole.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            end = min(at + rows, max(at + 1, full), whole.num_rows)
+            yield whole.slice(at, end - at)
+            at = end
+
+
 def word_spans(data: np.ndarray, off: np.ndarray, delim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words by document) of the words of documents ``data[off[d]:off[d + 1]]``."""
     word = ~delim[data]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exchange import name
-from .kernels import SPACES, U, Words, exact_shingles, mix
+from .kernels import SPACES, U, Words, bounded, exact_shingles, mix
 from .scratch import discard, scratch
 
 
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
     salt = mix(np.arange(bands, dtype=U) + U(5))
 
     def kernel(batches):
-        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+        for batch in bounded(batches, 1):
             sets, cls, out, short = shingle_sets(batch.column(1), shingle), [], [], []
             for s in sets:
                 if len(s[0]):
@@ -155,7 +155,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, sig: DataFrame, percent: int
         return int(np.minimum(i[at], j[to]).sum())
 
     def kernel(batches):
-        for b in batches:
+        for b in bounded(batches, 2, 3):
             keep = [most(x, y) * (100 + percent) >= percent * (len(x) + len(y)) // 2 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=_PAIR).filter(pa.array(keep, pa.bool_()))
 
@@ -167,13 +167,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     text = docs.select(name(id_col).cast("long").alias("doc_id"), F.xxhash64(name(text_col)).alias("tie"), name(text_col).cast("string").alias("v"))
 
     def kernel(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                sets = exact_shingles(pa.concat_arrays([b.column(2), b.column(3)]), shingle)
-                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets, sets[b.num_rows :])]
-                keep = [k * 100 >= (len(x) + len(y) - k) * percent for k, x, y in zip(common, sets, sets[b.num_rows :])]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=_PAIR).filter(pa.array(keep, pa.bool_()))
+        for b in bounded(batches, 2, 3, rows=256):
+            sets = exact_shingles(pa.concat_arrays([b.column(2), b.column(3)]), shingle)
+            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets, sets[b.num_rows :])]
+            keep = [k * 100 >= (len(x) + len(y) - k) * percent for k, x, y in zip(common, sets, sets[b.num_rows :])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=_PAIR).filter(pa.array(keep, pa.bool_()))
 
     return _met(pairs, _values(pairs, classes, text)).mapInArrow(kernel, "m long, c long")
 
