@@ -9,7 +9,7 @@ as many blocks as chunks, and both follow the bytes of text (``CHUNK_BYTES`` eac
 neither a chunk nor a block grows with the collection, whatever ``spark.sql.shuffle.partitions``
 is. A row is sent only where a chunk has items of a block: there are never more rows than
 distinct items of the chunks. The shuffle of the documents is one Exchange node that Spark
-reuses.
+reuses. Rows equal in id and text share a chunk, so that a chunk grows with the copies of a row.
 """
 
 from __future__ import annotations

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .exchange import name
 from .features import DIM, mean_weights, shares, squared_hinge, trigram_bins
+from .kernels import bounded
 
 #: Families by ISO 639-1 code; a language that isn't listed is its own family.
 FAMILIES = {c: f for f, cs in {"germanic": "en de nl sv da no nb nn is af fy lb yi", "romance": "fr es it pt ro ca gl oc la", "slavic": "ru uk pl cs sk bg sr hr sl mk be bs", "uralic": "fi hu et", "turkic": "tr az kk uz tk ky", "indic": "hi ur bn pa gu mr ne si", "semitic": "ar he mt am", "celtic": "cy ga gd br"}.items() for c in cs.split()}
@@ -118,20 +119,18 @@ def identified(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     schema = f"d {fields.simpleString()}, lang_pred string, score double"
 
     def kernel(batches):
-        for b in batches:
-            for at in range(0, max(1, b.num_rows), 2048):
-                s = b.slice(at, 2048)
-                texts = s.column(1)
-                lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
-                langs, score = [None] * s.num_rows, np.zeros(s.num_rows)
-                if model and s.num_rows:
-                    if model.pairs:
-                        _, means = mean_weights(texts, (model.weights * SCALE).astype(np.float32), trigram_bins)
-                    else:
-                        means = np.zeros((s.num_rows, 0))
-                    langs, score = model.predict(means)
-                langs = [x if x and ok else "und" for x, ok in zip(langs, lettered)]
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(langs, pa.string()), pa.array(np.where([x != "und" for x in langs], score, 0.0) if langs else score, pa.float64())], names=["d", "lang_pred", "score"])
+        for s in bounded(batches, 1, rows=2048):
+            texts = s.column(1)
+            lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+            langs, score = [None] * s.num_rows, np.zeros(s.num_rows)
+            if model and s.num_rows:
+                if model.pairs:
+                    _, means = mean_weights(texts, (model.weights * SCALE).astype(np.float32), trigram_bins)
+                else:
+                    means = np.zeros((s.num_rows, 0))
+                langs, score = model.predict(means)
+            langs = [x if x and ok else "und" for x, ok in zip(langs, lettered)]
+            yield pa.RecordBatch.from_arrays([s.column(0), pa.array(langs, pa.string()), pa.array(np.where([x != "und" for x in langs], score, 0.0) if langs else score, pa.float64())], names=["d", "lang_pred", "score"])
 
     return wide.mapInArrow(kernel, schema).select("d", "lang_pred", F.round("score", 6).alias("score"))
 

@@ -2,14 +2,15 @@
 
 Method: n-gram count tables partitioned by hash, joined to the documents' n-grams and summed
 per document. A table row is a block of hashes with its counts; a chunk's distinct n-grams
-are its side of the join. With order 3 a word scores c(uvw)/c(uv) if uvw occurs (it does, as
+are its side of the join. Both sides are packed: a plain row per distinct n-gram of a document
+shuffles several times the input (figures in the README). With order 3 a word scores c(uvw)/c(uv) if uvw occurs (it does, as
 all documents are counted, unless ``leave_one_out``), else backoff * c(vw)/c(v), else
 backoff**2 * c(w)/N. With ``leave_one_out`` a document's own n-grams are taken from the
 counts first, so that the score says how usual it is for the rest of the collection; a word that
 occurs nowhere else scores as half an occurrence.
 
 Defined cases: null, empty and all-space texts have n_words 0 and null scores; n-grams don't
-cross documents and counts are of rows, so repeated rows count as often as they occur; the
+cross documents, a null id stays null and its row is scored like any other, and counts are of rows, so repeated rows count as often as they occur; the
 empty table gives an empty result. n-grams are identified by 60-bit hashes, of which
 half a byte less travels than of 64.
 """

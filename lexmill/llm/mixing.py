@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import name
-from .kernels import U, Words, text_buffer
+from .kernels import U, Words, bounded, text_buffer
 from .scratch import scratch
 
 _FORM = 6
@@ -122,7 +122,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain, id_col: str, text
     schema = pa.schema([("l", pa.string()), ("x", pa.binary()), ("f", pa.list_(pa.float64()))])
 
     def kernel(batches):
-        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+        for b in bounded(batches, 1):
             n, doc, bins = word_sets(b.column(1))
             parts = np.split(bins.astype(np.int32), np.searchsorted(doc, np.arange(1, len(n))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(form(b.column(1)).tolist(), pa.list_(pa.float64()))], schema=schema)
@@ -139,7 +139,7 @@ def posteriors(docs: DataFrame, model: Classifier | None, domains: list[str], id
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("p", pa.list_(pa.float64()))])
 
     def kernel(batches):
-        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+        for b in bounded(batches, 1):
             if model:
                 n, q = model.posterior(b.column(1))
                 p = np.array([q[:, model.domains.index(d)] if d in model.domains else np.zeros(len(n)) for d in domains]).T.reshape(len(n), len(domains))

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import name
+from .kernels import bounded
 from .scratch import discard, scratch
 
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -224,14 +225,13 @@ def _searched(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     edge = pa.list_(pa.struct([("pattern", pa.binary()), ("instance", pa.binary())]))
 
     def kernel(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b, spans, edges = whole.slice(at, 1024), [], []
-                for t in b.column(1).to_pylist():
-                    base, raw = base_spans(t or ""), (t or "").encode()
-                    spans.append([dict(zip(("kind", "start", "end"), x)) for x in base])
-                    edges.append([{"pattern": p, "instance": _instance(raw[s:e])} for s, e in seeds_of(t or "", raw, base) for p in patterns_of(raw, s, e)])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(spans, span), pa.array(edges, edge)], names=["d", "k1", "k2", "base", "edges"])
+        for b in bounded(batches, 1):
+            spans, edges = [], []
+            for t in b.column(1).to_pylist():
+                base, raw = base_spans(t or ""), (t or "").encode()
+                spans.append([dict(zip(("kind", "start", "end"), x)) for x in base])
+                edges.append([{"pattern": p, "instance": _instance(raw[s:e])} for s, e in seeds_of(t or "", raw, base) for p in patterns_of(raw, s, e)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(spans, span), pa.array(edges, edge)], names=["d", "k1", "k2", "base", "edges"])
 
     return wide.mapInArrow(kernel, f"d {kept}, k1 long, k2 long, base {_SPAN}, edges array<struct<pattern:binary,instance:binary>>")
 
@@ -244,14 +244,13 @@ def _frequencies(docs: DataFrame, text_col: str, patterns: DataFrame, few: bool)
 
     def kernel(batches):
         known = _Known(shipped.value) if shipped else None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                counts: Counter = Counter()
-                for t in whole.slice(at, 4096).column(0).to_pylist():
-                    raw = (t or "").encode()
-                    counts.update(p for p, _ in _hits(raw, known))
-                    counts.update(p for p, _, _ in _labelled(raw, known))
-                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], schema=schema)
+        for b in bounded(batches, 0, rows=4096):
+            counts: Counter = Counter()
+            for t in b.column(0).to_pylist():
+                raw = (t or "").encode()
+                counts.update(p for p, _ in _hits(raw, known))
+                counts.update(p for p, _, _ in _labelled(raw, known))
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], schema=schema)
 
     return docs.select(t.alias("t")).mapInArrow(kernel, "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
@@ -265,25 +264,24 @@ def _places(docs: DataFrame, text_col: str, patterns: DataFrame, few: bool) -> D
 
     def kernel(batches):
         known = _Known(shipped.value) if shipped else None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b, rows = whole.slice(at, 1024), []
-                for k1, k2, t in zip(*(b.column(k).to_pylist() for k in range(3))):
-                    raw = (t or "").encode()
-                    found = instances(raw, known)
-                    if not found:
-                        continue
-                    base = base_spans(t)
-                    seeds, base = seeds_of(t, raw, base), len(base)
-                    places = sorted({x for _, s, e in found for x in (s, e)})
-                    chars = dict(zip(places, places if t.isascii() else _chars_at(raw, places)))
-                    starts = sorted((s, e, k) for k, (s, e) in enumerate(seeds))
-                    for p, s, e in found:
-                        over = _overlapping(starts, s, e)
-                        if not any(k < base for _, _, k in over):  # base spans are seeds already
-                            rows.append((k1, k2, p, _instance(raw[s:e]), bool(over), chars[s], chars[e]))
-                    rows += [(k1, k2, p, _instance(raw[s:e]), True, None, None) for k, (s, e) in enumerate(seeds) for p in patterns_of(raw, s, e) if k < base]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+        for b in bounded(batches, 2):
+            rows = []
+            for k1, k2, t in zip(*(b.column(k).to_pylist() for k in range(3))):
+                raw = (t or "").encode()
+                found = instances(raw, known)
+                if not found:
+                    continue
+                base = base_spans(t)
+                seeds, base = seeds_of(t, raw, base), len(base)
+                places = sorted({x for _, s, e in found for x in (s, e)})
+                chars = dict(zip(places, places if t.isascii() else _chars_at(raw, places)))
+                starts = sorted((s, e, k) for k, (s, e) in enumerate(seeds))
+                for p, s, e in found:
+                    over = _overlapping(starts, s, e)
+                    if not any(k < base for _, _, k in over):  # base spans are seeds already
+                        rows.append((k1, k2, p, _instance(raw[s:e]), bool(over), chars[s], chars[e]))
+                rows += [(k1, k2, p, _instance(raw[s:e]), True, None, None) for k, (s, e) in enumerate(seeds) for p in patterns_of(raw, s, e) if k < base]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
     found = docs.select(*_keys(t), t.alias("t")).mapInArrow(kernel, "k1 long, k2 long, pattern binary, instance binary, seed boolean, start int, end int")
     return found if not few else found.join(F.broadcast(patterns.select("pattern")), "pattern", "left_semi")

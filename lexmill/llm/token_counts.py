@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .exchange import name
+from .kernels import bounded
 from .scratch import scratch, shared_folder
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -66,13 +67,11 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         system, path = _filesystem(uri)
         system.create_dir(path.rpartition("/")[0], recursive=True)
         with system.open_output_stream(path) as out:
-            for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    part = b.slice(at, 256)
-                    ids = [x for t in part.column(1).to_pylist() for x in (*encode(t or ""), eod)]
-                    out.write(np.array(ids, dtype).tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([uri] * part.num_rows), pa.array(range(ordinal, ordinal + part.num_rows), pa.int64()), part.column(0)], schema=schema)
-                    ordinal += part.num_rows
+            for part in bounded(batches, 1, rows=256, size=1 << 20):
+                ids = [x for t in part.column(1).to_pylist() for x in (*encode(t or ""), eod)]
+                out.write(np.array(ids, dtype).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * part.num_rows), pa.array(range(ordinal, ordinal + part.num_rows), pa.int64()), part.column(0)], schema=schema)
+                ordinal += part.num_rows
 
     return docs.select(name(id_col).cast("long").alias("doc_id"), name(text_col).cast("string").alias("text")).mapInArrow(kernel, "file string, ordinal long, doc_id long")
 

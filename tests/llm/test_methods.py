@@ -306,3 +306,67 @@ def test_stage_on_odd_rows(spark, odd_docs, stage):
     else:
         assert len(rows) == n and key[8, "mail <email> now"] == 1
         assert {r.doc_id: r.n_chars for r in rows}[8] == len("mail <email> now")
+
+
+def letter_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def holds_passage(text, items):
+    """Whether a window of min(length, 13) words of an item agrees with the text in four fifths of its words, in place."""
+    w = letter_words(text)
+    at = collections.defaultdict(list)
+    for p, x in enumerate(w):
+        at[x].append(p)
+    for item in items:
+        size = min(len(item), 13)
+        votes = collections.defaultdict(set)
+        for k, x in enumerate(item):
+            for p in at.get(x, ()):
+                votes[p - k].add(k)
+        for same in votes.values():
+            if len(same) >= 0.8 * size and any(sum(k in same for k in range(i, i + size)) >= 0.8 * size - 1e-9 for i in range(len(item) - size + 1)):
+                return True
+    return False
+
+
+def test_pipeline_brute_force(spark):
+    """All stages on one machine in plain Python: who stays, the cleaned texts, the tokens that are mixed."""
+    import corpus_pipeline as P
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    items = [w for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if (w := letter_words(r.text))]
+    left = {i: t for i, t in docs.items() if any(map(str.isalpha, t or ""))}
+    sets = {}
+    for i, t in left.items():
+        w = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    group = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = group[a], group[b]
+            group = {i: min(x, y) if g in (x, y) else g for i, g in group.items()}
+    left = {i: t for i, t in left.items() if group[i] == i}
+    left = {i: t for i, t in left.items() if not holds_passage(t, items)}
+    ids = sorted(left)
+    clean = {}
+    for i, found in zip(ids, brute_contexts([left[i] for i in ids])):
+        spans = [(s, e, ("email", "ip", "card", "phone")[k]) for k, s, e in base_spans(left[i])] + [(*map(int, x.split(":")[1:]), "context") for x in found]
+        out, end = [], 0
+        for s, e, kind in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if s >= end:
+                out += [left[i][end:s], f"<{kind}>"]
+            end = max(end, e)
+        clean[i] = "".join([*out, left[i][end:]])
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        rows = spark.createDataFrame(stage(spark, rows, SF).collect(), rows.schema)
+    assert {r.doc_id: r.text for r in rows.collect()} == clean and all(r.n_chars == len(r.text) for r in rows.collect())
+    mixed = P.run(spark, SF).collect()
+    assert {r.doc_id: r.n_tokens for r in mixed} == {i: len(re.findall(r"[^ \t-\r]+", t)) for i, t in clean.items()}
+    tokens, p, rate = (np.array([x[c] for x in mixed], float) for c in ("n_tokens", "p", "rate"))
+    goal = np.array([P.TARGETS[d] for d in sorted(P.TARGETS)])
+    residual = (tokens * rate) @ p / tokens.sum() - goal
+    # least squares over nonnegative rates: no rate can move the sums nearer to their targets
+    slope = p @ residual
+    assert (rate >= 0).all() and (np.abs(residual).max() < 1e-5 or slope.min() > -1e-5 and np.abs(slope[rate > 1e-9]).max() < 1e-5)
