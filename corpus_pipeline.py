@@ -33,7 +33,7 @@ def _wide(docs: DataFrame) -> DataFrame:
 
 def _marked(rows: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     """The rows that are (left_semi) or aren't (left_anti) among ``marks`` (doc_id, tie)."""
-    m = marks.select(F.col("doc_id").alias("marked_id"), F.col("tie").alias("marked_tie")).distinct()
+    m = marks.select(F.col("doc_id").alias("marked_id"), F.col("tie").alias("marked_tie"))
     return rows.join(m, F.col("i").eqNullSafe(F.col("marked_id")) & (F.col("t") == F.col("marked_tie")), how)
 
 
@@ -65,7 +65,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage; null and empty texts hold none and stay."""
-    marks = decontaminate(docs, _table(spark, sf_dir, "benchmark")).where("contaminated")
+    marks = scratch(decontaminate(docs, _table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "tie"), "marks")
+    if marks.count() <= 1_000_000:  # else the texts are shuffled to meet them
+        marks = F.broadcast(marks)
     return _marked(_wide(docs), marks, "left_anti").select("d.*")
 
 
