@@ -1,4 +1,4 @@
-"""Suffix stripping for European languages and Turkish by the published Snowball algorithms.
+"""Suffix stripping for European languages, Turkish and Arabic by the published Snowball algorithms.
 
 Each algorithm is a function from a lower-case word to its stem. A rule table maps suffixes to
 what replaces them (or to a function that decides); ``_last`` finds the longest suffix of a table,
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+from .arabic import arabic
 from .turkish import turkish
 
 
@@ -693,9 +694,9 @@ def hungarian(w: str) -> str:
     return w
 
 
-ALGORITHMS = {f.__name__: f for f in (danish, dutch, finnish, french, german, hungarian, italian, norwegian, portuguese, romanian, russian, spanish, swedish, turkish)}
+ALGORITHMS = {f.__name__: f for f in (arabic, danish, dutch, finnish, french, german, hungarian, italian, norwegian, portuguese, romanian, russian, spanish, swedish, turkish)}
 ALIASES = {
     "da": "danish", "dan": "danish", "nl": "dutch", "nld": "dutch", "dut": "dutch", "fi": "finnish", "fin": "finnish", "fr": "french", "fra": "french", "fre": "french", "de": "german", "deu": "german", "ger": "german",
     "hu": "hungarian", "hun": "hungarian", "it": "italian", "ita": "italian", "no": "norwegian", "nor": "norwegian", "pt": "portuguese", "por": "portuguese", "ro": "romanian", "ron": "romanian", "rum": "romanian",
-    "ru": "russian", "rus": "russian", "es": "spanish", "esl": "spanish", "spa": "spanish", "sv": "swedish", "swe": "swedish", "tr": "turkish", "tur": "turkish",
+    "ru": "russian", "rus": "russian", "es": "spanish", "esl": "spanish", "spa": "spanish", "sv": "swedish", "swe": "swedish", "tr": "turkish", "tur": "turkish", "ar": "arabic", "ara": "arabic",
 }
