@@ -40,15 +40,24 @@ def tree(text: Column, piece: int = 192) -> Column:
     return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), leaves))
 
 
-def rendered(t: Column) -> Column:
-    """root/section:paragraph.leaves,paragraph.leaves;section:... with the inner nodes' hashes cut to 16 digits, the leaves' to 8."""
+def _let(value: Column, f) -> Column:
+    """``f(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def nodes(t: Column) -> Column:
+    """(h, r) of each section: its hash, and its paragraphs' hashes and leaves as text. Keep it in a column of its own, so that it is computed once."""
     node = lambda hashes: F.md5(F.concat_ws("", hashes))
     short = lambda p: F.concat_ws("", F.transform(p, lambda x: F.substring(x, 1, 8)))
-    paragraph = lambda p: F.struct(node(p).alias("h"), F.concat(F.substring(node(p), 1, 16), F.lit("."), short(p)).alias("r"))
-    section = lambda s: F.struct(node(F.transform(s, lambda p: p["h"])).alias("h"), F.concat_ws(",", F.transform(s, lambda p: p["r"])).alias("r"))
-    nodes = F.transform(F.transform(t, lambda s: F.transform(s, paragraph)), section)
-    root = F.sha2(F.concat_ws("", F.transform(nodes, lambda s: s["h"])), 256)
-    return F.concat_ws("/", root, F.concat_ws(";", F.transform(nodes, lambda s: F.concat(F.substring(s["h"], 1, 16), F.lit(":"), s["r"]))))
+    paragraph = lambda p: _let(node(p), lambda h: F.struct(h.alias("h"), F.concat(F.substring(h, 1, 16), F.lit("."), short(p)).alias("r")))
+    section = lambda ps: F.struct(node(F.transform(ps, lambda p: p["h"])).alias("h"), F.concat_ws(",", F.transform(ps, lambda p: p["r"])).alias("r"))
+    return F.transform(t, lambda s: _let(F.transform(s, paragraph), section))
+
+
+def rendered(n: Column) -> Column:
+    """root/section:paragraph.leaves,paragraph.leaves;section:... with the inner nodes' hashes cut to 16 digits, the leaves' to 8."""
+    root = F.sha2(F.concat_ws("", F.transform(n, lambda s: s["h"])), 256)
+    return F.concat_ws("/", root, F.concat_ws(";", F.transform(n, lambda s: F.concat(F.substring(s["h"], 1, 16), F.lit(":"), s["r"]))))
 
 
 def leaves(fingerprint: Column) -> Column:
@@ -62,11 +71,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).when(n == 0, 0.0).otherwise(F.round(2 * F.size(F.array_intersect(x, y)) / n, 6))
 
 
-def _let(value: Column, f) -> Column:
-    """``f(value)``, with the value computed once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _sections(fingerprint: Column) -> Column:
     return F.split(F.substring_index(fingerprint, "/", -1), ";")
 
@@ -132,7 +136,7 @@ def first_difference(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = 192) -> DataFrame:
     """One row per document: doc_id, fingerprint."""
-    return docs.select(name(id_col).alias("doc_id"), tree(F.coalesce(name(text_col), F.lit("")), piece).alias("t")).select("doc_id", rendered(F.col("t")).alias("fingerprint"))
+    return docs.select(name(id_col).alias("doc_id"), tree(F.coalesce(name(text_col), F.lit("")), piece).alias("t")).select("doc_id", nodes(F.col("t")).alias("n")).select("doc_id", rendered(F.col("n")).alias("fingerprint"))
 
 
 def _following(runs: DataFrame) -> DataFrame:
@@ -162,5 +166,6 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     k = F.floor(n / 3).cast("int")
     d = pairs.select("doc_id", "text", "next", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next"), F.lit(1), k)).alias("edited"))
     d = d.select("doc_id", "n_chars", "edited", *(tree(F.col(c), piece).alias(f"t_{c}") for c in ("text", "edited", "next")))
+    d = d.select("doc_id", "n_chars", "edited", *(nodes(F.col(f"t_{c}")).alias(f"t_{c}") for c in ("text", "edited", "next")))
     d = d.select("doc_id", "n_chars", "edited", rendered(F.col("t_text")).alias("fingerprint"), rendered(F.col("t_edited")).alias("edited_fingerprint"), rendered(F.col("t_next")).alias("next_fingerprint"))
     return d.select("doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), first_difference(F.col("fingerprint"), F.col("edited_fingerprint")).alias("first_edit"))
