@@ -34,14 +34,17 @@ def _grams(w: Words, k: int):
     return at, w.windows(k)[at] & _KEEP if len(at) else np.zeros(0, U)
 
 
-def _own(w: Words, at, i):
-    """For each n-gram place: how often its n-gram occurs in that document."""
-    key = w.doc()[at].astype(np.int64) << 40 | i
-    order = np.argsort(key)
-    new = np.flatnonzero(np.diff(key[order], prepend=-1))
-    size = np.diff(new, append=len(key))
-    out = np.empty(len(key), np.int32)
-    out[order] = np.repeat(size, size)
+def _own(w: Words, at, i, parts: int = 8):
+    """For each n-gram place: how often its n-gram occurs in that document; an eighth of the documents at a time."""
+    doc, out = w.doc()[at], np.empty(len(at), np.int32)
+    cuts = np.searchsorted(doc, np.linspace(0, len(w.n), parts + 1).astype(np.int64))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if a < b:
+            key = doc[a:b] << 40 | i[a:b]
+            order = np.argsort(key)
+            new = np.flatnonzero(np.diff(key[order], prepend=-1))
+            size = np.diff(new, append=b - a)
+            out[a + order] = np.repeat(size, size)
     return out
 
 
@@ -88,6 +91,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", or
         for k in range(order):  # one length at a time bounds the memory
             at, h = _grams(w, k + 1)
             u, i = np.unique(h, return_inverse=True)
+            del h
             cut, totals = block_ends(u, n), np.zeros(len(u), np.int64)
             for b in range(n):
                 if (k, b) in got:
@@ -95,7 +99,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", or
             full = np.zeros(len(w.hash) + 1, np.int64)
             full[at] = totals[i] - (_own(w, at, i) if leave_one_out else 0)
             counts.append(full)
-            del at, h, u, i, totals
+            del at, u, i, totals
         m = len(w.hash)
         own = np.repeat(w.n, w.n) if leave_one_out else 0
         p = np.maximum(counts[0][:m], 0.5 if leave_one_out else 0) / np.maximum(total - own, 1)
