@@ -9,12 +9,14 @@ and the other classes are compared to the centre only (a star): 16 bits of each
 rules out most pairs that are no links; the rest are confirmed on their full sets of words, which
 are compared byte by byte.
 
-Links that the stars don't show are found in further rounds. A bucket whose classes are all in
-one component is done. In any other, each pair from two components has an end outside the
-bucket's most frequent component; those outside ends become further centres, 16 in the second
-round and 16 times as many in each later one, are compared to the classes of other components
-and leave the bucket. Rounds go on until no bucket is left: no bucket is capped, and the pairs
-of a round are at most centres times members, never those within a component.
+Links that the stars don't show are found by joining whole buckets. A bucket whose classes are all
+in one component is done. The classes of any other meet in one task with their 16-bit hashes, in
+tiles if they have more than ``TILE`` bytes, and every two of different components are counted:
+the hashes that many have in common by a product of 0/1 matrices, the rest only for pairs that
+this leaves possible. A link within the components found so far isn't wanted, so a task gives a
+spanning forest, at most one pair per class, and only these are met and confirmed on their words.
+A bucket with a pair that isn't confirmed is joined again without it. So no bucket is capped and
+none of its links between components is lost, while neither texts nor hashes are sent by the pair.
 
 Defined cases: null and empty texts have no shingles and link with nothing; with fewer words
 than a shingle the whole sequence is the only one; a null id is kept as null, and a group of
@@ -121,13 +123,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
     return docs.select(name(id_col).cast("long").alias("doc_id"), name(text_col).cast("string").alias("text"), F.xxhash64(name(text_col)).alias("tie")).mapInArrow(kernel, "doc_id long, tie long, n long, cls binary, bands array<long>, short binary")
 
 
-#: Pairs of one centre that meet its value in one task; classes whose values are looked up by broadcast.
-PAIRS, BROADCAST_CLASSES = 256, 1_000_000
+#: Pairs of one centre that meet its value in one task; classes whose values are looked up by broadcast; bytes of short hashes in a tile.
+PAIRS, BROADCAST_CLASSES, TILE = 256, 1_000_000, 4 << 20
 
 
-def _values(pairs: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
-    """(cls, v) of the pairs' ends: the value of each class's first row in ``source`` (doc_id, tie, v)."""
-    used = pairs.select(F.col("m").alias("cls")).union(pairs.select(F.col("c").alias("cls"))).distinct()
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("m").alias("cls")).union(pairs.select(F.col("c").alias("cls"))).distinct()
+
+
+def _values(used: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
+    """(cls, v) of the distinct classes ``used``: the value of each class's first row in ``source`` (doc_id, tie, v)."""
     used = scratch(used.join(classes.select("cls", "min_doc", F.col("tie").alias("min_tie")), "cls"), "used")
     if used.count() <= BROADCAST_CLASSES:
         used = F.broadcast(used)
@@ -159,7 +164,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, sig: DataFrame, percent: int
             keep = [most(x, y) * (100 + percent) >= percent * (len(x) + len(y)) // 2 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=_PAIR).filter(pa.array(keep, pa.bool_()))
 
-    return _met(pairs, _values(pairs, classes, sig.select("doc_id", "tie", F.col("short").alias("v")))).mapInArrow(kernel, "m long, c long")
+    return _met(pairs, _values(_ends(pairs), classes, sig.select("doc_id", "tie", F.col("short").alias("v")))).mapInArrow(kernel, "m long, c long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
@@ -173,7 +178,129 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
             keep = [k * 100 >= (len(x) + len(y) - k) * percent for k, x, y in zip(common, sets, sets[b.num_rows :])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=_PAIR).filter(pa.array(keep, pa.bool_()))
 
-    return _met(pairs, _values(pairs, classes, text)).mapInArrow(kernel, "m long, c long")
+    return _met(pairs, _values(_ends(pairs), classes, text)).mapInArrow(kernel, "m long, c long")
+
+
+class _Tokens:
+    """Multisets of 16-bit hashes as sets of numbers: the hash and which of its equals it is."""
+
+    def __init__(self, shorts: list[bytes]):
+        self.n = np.array([len(v) // 2 for v in shorts], np.int64)
+        self.at = np.cumsum(self.n) - self.n
+        x = np.frombuffer(b"".join(shorts), "<u2").astype(np.int64)  # ascending in each set
+        new = np.ones(len(x), bool)
+        new[1:] = x[1:] != x[:-1]
+        new[self.at[self.n > 0]] = True
+        first = np.flatnonzero(new)
+        self.token = x + ((np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))) << 16)
+        self.flag = np.zeros(int(self.token.max(initial=0)) + 1, bool)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """Tokens of the (not empty) sets, one set after the other."""
+        n = self.n[rows]
+        return self.token[np.repeat(self.at[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def common(self, x: int, rows: np.ndarray) -> np.ndarray:
+        """How many tokens set x has in common with each of the sets."""
+        own, out, step = self.token[self.at[x] : self.at[x] + self.n[x]], [], max(1, (1 << 20) // int(self.n[rows].max(initial=1)))
+        self.flag[own] = True
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            out.append(np.add.reduceat(self.flag[self.of(part)], np.cumsum(self.n[part]) - self.n[part], dtype=np.int64))
+        self.flag[own] = False
+        return np.concatenate(out)
+
+
+def _bounds(t: _Tokens, rows: np.ndarray, outside: int, percent: int):
+    """Of each of the first ``outside`` rows in turn: which of the rows after it it may be linked with. Common tokens are bounded from above."""
+    many = len(rows)
+    if outside * many < 256:
+        for k in range(outside):
+            yield np.ones(many - k - 1, bool)
+        return
+    tokens, n = t.of(rows), t.n[rows]
+    ids, count = np.unique(tokens, return_counts=True)
+    column = np.searchsorted(ids, tokens)
+    dense = count >= max(2, many / 4)
+    number, owner = np.cumsum(dense) - 1, np.repeat(np.arange(many), n)
+    x = np.zeros((many, int(dense.sum())), np.float32)
+    kept = dense[column]
+    x[owner[kept], number[column[kept]]] = 1
+    # tokens that are neither dense nor one row's own
+    other = np.bincount(owner[~kept & (count[column] > 1)], minlength=many).astype(np.float32)
+    need = (n * (percent / (100 + percent))).astype(np.float32)
+    step = max(1, (1 << 21) // many)
+    for k in range(0, outside, step):
+        end = min(k + step, outside)
+        most = x[k:end] @ x[k:].T
+        most += np.minimum(other[k:end, None], other[k:])
+        may = most * np.float32(1.00001) + 1 >= need[k:end, None] + need[k:]  # with room for rounding
+        for r in range(end - k):
+            yield may[r, r + 1 :]
+
+
+def forest(t: _Tokens, rows: np.ndarray, root: np.ndarray, percent: int, tile: np.ndarray | None = None, bad: dict[int, np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs of rows of different roots that may be links and, with the roots, connect all that such pairs connect.
+
+    ``tile``: only rows of different tiles are paired. ``bad``: by row, those that it isn't paired with.
+    """
+    _, label, count = np.unique(root[rows], return_inverse=True, return_counts=True)
+    order = np.argsort(label == count.argmax(), kind="stable")  # pairs have an end outside the most frequent root
+    rows, label, out = rows[order], label[order], []
+    outside = len(rows) - int(count.max())
+    for k, may in enumerate(_bounds(t, rows, outside, percent)):
+        may = may & (label[k + 1 :] != label[k])
+        if tile is not None:
+            may &= tile[rows[k + 1 :]] != tile[rows[k]]
+        if bad and rows[k] in bad:
+            may &= ~np.isin(rows[k + 1 :], bad[rows[k]])
+        left, some = np.flatnonzero(may) + k + 1, 0
+        while len(left):
+            # one row of each root; as long as that doesn't settle them, more and more of them
+            tried = np.sort(np.unique(label[left], return_index=True)[1]) if not some else np.arange(min(some, len(left)))
+            some = max(16, some * 4)
+            test = left[tried]
+            good = t.common(rows[k], rows[test]) * (100 + percent) >= percent * (t.n[rows[k]] + t.n[rows[test]])
+            for y in test[good]:
+                if label[y] != label[k]:
+                    out.append((int(rows[k]), int(rows[y])))
+                    label[label == label[y]] = label[k]
+            left = np.delete(left, tried)
+            left = left[label[left] != label[k]]
+    return out
+
+
+_FOUND = pa.schema([("h", pa.int64()), ("m", pa.int64()), ("c", pa.int64())])
+
+
+def _joined(rest: DataFrame, failed: DataFrame | None, classes: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+    """(h, m, c): pairs of classes of different roots in a bucket of ``rest`` (h, cls, n, root) that may be links, a forest per bucket and tile pair; none of ``failed`` (m, c)."""
+    values = _values(rest.select("cls").distinct(), classes, sig.select("doc_id", "tie", F.col("short").alias("v")))
+    sizes = rest.groupBy("h").agg(F.ceil(F.sum(F.col("n").cast("long")) * 2 / F.lit(TILE)).cast("int").alias("tiles"))
+    groups = int(rest.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0) * 2 // TILE + 1
+    r = rest.join(sizes, "h").join(values, "cls")
+    if failed is None:
+        r = r.withColumn("bad", F.array().cast("array<bigint>"))
+    else:
+        both = failed.union(failed.select("c", "m")).groupBy(F.col("m").alias("cls")).agg(F.collect_set("c").alias("bad"))
+        r = r.join(both, "cls", "left")
+    r = r.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    # small buckets share a task
+    r = r.select(F.when(F.col("tiles") == 1, F.pmod("h", F.lit(groups))).otherwise(F.col("h")).alias("g"), F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "h", "cls", "root", "tile", "v", "bad")
+
+    def kernel(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("h", "ascending"), ("cls", "ascending")])
+        h, cls, root, tile = (table.column(c).to_numpy() for c in ("h", "cls", "root", "tile"))
+        across = tile if table.num_rows and table.column("a")[0] != table.column("b")[0] else None
+        t, bads, out = _Tokens(table.column("v").to_pylist()), table.column("bad").to_pylist(), []
+        for at, end in zip(starts := np.flatnonzero(np.append(True, h[1:] != h[:-1])), np.append(starts[1:], len(h))):
+            rows = np.arange(at, end)
+            bad = {k: at + np.flatnonzero(np.isin(cls[at:end], bads[k])) for k in rows if bads[k]}
+            out += [(h[at], max(cls[x], cls[y]), min(cls[x], cls[y])) for x, y in forest(t, rows, root, percent, across, bad)]
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], schema=_FOUND)
+
+    return r.groupBy("g", "a", "b").applyInArrow(kernel, "h long, m long, c long")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, column: str, root: str) -> DataFrame:
@@ -194,36 +321,39 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     centre = every.groupBy("h").agg(F.min("cls").alias("c"), F.count("*").alias("k")).where("k > 1").select("h", "c")
     # each member of a bucket beside its centre
     starred = scratch(every.join(centre, "h").where("cls <> c").select("h", "cls", "n", "c"), "star")
-    done, roots, links, rest, centres = None, None, None, None, 16
     met = starred.select(F.col("cls").alias("m"), "n", "c").distinct()
     met = scratch(met.join(classes.select(F.col("cls").alias("c"), F.col("n").alias("nc")), "c"), "met")
-    while True:
-        pairs = met.where(f"least(n, nc) * 100L >= greatest(n, nc) * {percent}L").select(F.greatest("m", "c").alias("m"), F.least("m", "c").alias("c")).distinct()
-        pairs = scratch(pairs if done is None else pairs.join(done, ["m", "c"], "left_anti"), "pairs")
-        possible = scratch(_possible(pairs, classes, sig, percent), "possible")
-        new = scratch(_verified(possible, classes, docs, id_col, text_col, shingle, percent), "links").select(F.col("m").alias("a"), F.col("c").alias("b"))
-        discard(possible)
-        roots = components(new if roots is None else new.union(roots.select("node", "root")))
-        links, done = new if links is None else links.union(new), pairs if done is None else done.unionByName(pairs)
-        if rest is None:
-            # only buckets with a member that isn't yet in its centre's component go on, without the centre
-            apart = _rooted(_rooted(met.select(F.col("m").alias("cls"), "c"), roots, "cls", "root"), roots, "c", "rc").where("root <> rc").select("cls", "c")
-            open_ = starred.join(apart, ["cls", "c"], "left_semi").select("h").distinct()
-            part = starred.join(open_, "h", "left_semi").select("h", "cls", "n")
-        else:
-            gone = centre.select("h", F.col("c").alias("cls"))
-            part = rest.join(gone.select("h").distinct(), "h", "left_semi").join(gone, ["h", "cls"], "left_anti").select("h", "cls", "n")
+    pairs = met.where(f"least(n, nc) * 100L >= greatest(n, nc) * {percent}L").select(F.greatest("m", "c").alias("m"), F.least("m", "c").alias("c")).distinct()
+    possible = scratch(_possible(scratch(pairs, "pairs"), classes, sig, percent), "possible")
+    confirmed = lambda p: scratch(_verified(p, classes, docs, id_col, text_col, shingle, percent), "links")
+    links = confirmed(possible).select(F.col("m").alias("a"), F.col("c").alias("b"))
+    discard(possible)
+    roots = components(links)
+
+    def unsettled(part: DataFrame) -> DataFrame:
+        """(h, cls, n, root) of the buckets with classes of several components."""
         part = _rooted(part, roots, "cls", "root")
-        by_root = part.groupBy("h", "root").agg(F.count("*").alias("k"))
-        most = by_root.groupBy("h").agg(F.max(F.struct("k", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("h", F.col("x.root").alias("most"))
-        old, rest = rest, scratch(part.join(most, "h"), "rest")
-        discard(old if old is not None else starred)
-        if rest.isEmpty():
+        several = part.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+        return scratch(part.join(several, "h", "left_semi").select("h", "cls", "n", "root"), "rest")
+
+    # only buckets with a member that isn't yet in its centre's component go on, without the centre
+    apart = _rooted(_rooted(met.select(F.col("m").alias("cls"), "c"), roots, "cls", "root"), roots, "c", "rc").where("root <> rc").select("cls", "c")
+    open_ = starred.join(apart, ["cls", "c"], "left_semi").select("h").distinct()
+    rest, failed = unsettled(starred.join(open_, "h", "left_semi").select("h", "cls", "n")), None
+    discard(starred)
+    while not rest.isEmpty():
+        found = scratch(_joined(rest, failed, classes, sig, percent), "found")
+        if found.isEmpty():
+            break
+        new = confirmed(scratch(found.select("m", "c").distinct(), "pairs"))
+        wrong = scratch(found.join(new, ["m", "c"], "left_anti"), "wrong")
+        new = new.select(F.col("m").alias("a"), F.col("c").alias("b"))
+        links, roots = links.union(new), components(new.union(roots.select("node", "root")))
+        if wrong.isEmpty():
             break
-        nth = F.row_number().over(Window.partitionBy("h").orderBy("cls"))
-        centre = rest.where("root <> most").withColumn("nth", nth).where(F.col("nth") <= centres).select("h", F.col("cls").alias("c"), F.col("n").alias("nc"), F.col("root").alias("rc"))
-        met = rest.join(centre, "h").where("cls <> c and root <> rc").select(F.col("cls").alias("m"), "c", "n", "nc")
-        centres *= 16
+        failed = wrong.select("m", "c").distinct() if failed is None else failed.union(wrong.select("m", "c")).distinct()
+        old, rest = rest, unsettled(rest.join(wrong.select("h").distinct(), "h", "left_semi").select("h", "cls", "n"))
+        discard(old)
     ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
     known = _rooted(classes.select("digest", "cls", "min_doc"), roots, "cls", "root")
     least = known.groupBy("root").agg(F.min("min_doc").alias("component_id"))

@@ -370,3 +370,91 @@ def test_pipeline_brute_force(spark):
     # least squares over nonnegative rates: no rate can move the sums nearer to their targets
     slope = p @ residual
     assert (rate >= 0).all() and (np.abs(residual).max() < 1e-5 or slope.min() > -1e-5 and np.abs(slope[rate > 1e-9]).max() < 1e-5)
+
+
+def variants(rng, many, words, edits):
+    """Texts of one base with so many of its words replaced, so that few are linked."""
+    base = [f"w{rng.randrange(9000)}" for _ in range(words)]
+    for _ in range(many):
+        t = list(base)
+        for at in rng.sample(range(words), rng.choice(edits)):
+            t[at] = f"e{rng.randrange(10**6)}"
+        yield " ".join(t)
+
+
+def linked_components(texts, refused=()):
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        c = len(sets[a] & sets[b])
+        if 100 * c >= 85 * (len(sets[a]) + len(sets[b]) - c) and label[a] != label[b] and (a, b) not in refused:
+            x, y = sorted((label[a], label[b]))
+            label = [x if k == y else k for k in label]
+    return dict(enumerate(label))
+
+
+@pytest.mark.parametrize("tile", [None, 3000])
+def test_buckets_of_unlinked_copies(spark, monkeypatch, tile):
+    """Values are met for few pairs, however many unlinked members a bucket has; no link is lost, in tiles neither."""
+    from lexmill.llm import near_dup as N
+
+    rng, met, plain = random.Random(5), [], N._met
+    texts = [*variants(rng, 160, 200, (0, 5, 6, 18, 20)), *variants(rng, 20, 120, (2, 3, 8)), "a b", "a b c"]
+    rng.shuffle(texts)
+    monkeypatch.setattr(N, "_met", lambda pairs, values: met.append(pairs.count()) or plain(pairs, values))
+    if tile:
+        monkeypatch.setattr(N, "TILE", tile)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = linked_components(texts)
+    assert len({*want.values()}) > 60
+    assert {r.doc_id: r.component_id for r in near_dup(docs, shingle=3, percent=85).collect()} == want
+    assert sum(met) < 13 * len(texts)
+
+
+def test_pairs_not_confirmed(spark, monkeypatch):
+    """A bucket goes on without the pairs that words don't confirm: what connects in another way still does."""
+    from lexmill.llm import near_dup as N
+
+    rng, plain, refused, rounds = random.Random(8), N._verified, set(), []
+    texts = list(variants(rng, 60, 150, (1, 1, 2, 3)))
+
+    def verified(pairs, classes, *rest):
+        # of the first round none, of the second every second one isn't confirmed
+        doc, found = {r.cls: r.min_doc for r in classes.collect()}, sorted((r.m, r.c) for r in pairs.collect())
+        wrong = [found, found[::2], *[[]] * 9][len(rounds)]
+        rounds.append({*found})
+        refused.difference_update(tuple(sorted((doc[m], doc[c]))) for m, c in found)
+        refused.update(tuple(sorted((doc[m], doc[c]))) for m, c in wrong)
+        return plain(pairs, classes, *rest).where(~F.concat_ws(",", "m", "c").isin([f"{m},{c}" for m, c in wrong] or [""]))
+
+    monkeypatch.setattr(N, "_verified", verified)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup(docs, shingle=3, percent=85).collect()}
+    assert len(rounds) > 2 and len(rounds[1]) > 4 and not rounds[2] & {*sorted(rounds[1])[::2]}
+    assert got == linked_components(texts, refused)
+
+
+def test_forest_against_all_pairs():
+    from lexmill.llm.near_dup import _Tokens, forest
+
+    rng = random.Random(11)
+    for case in range(40):
+        top = rng.choice((30, 2000))
+        base = sorted(rng.choices(range(top), k=60))
+        sets = [np.sort(np.array([x for x in base if rng.random() > 0.06] + rng.choices(range(top), k=rng.choice((1, 3, 9)))).astype("<u2")) for _ in range(rng.choice((2, 5, 40)))]
+        root, tile = np.array([rng.randrange(len(sets)) for _ in sets]), np.array([rng.randrange(2) for _ in sets])
+        bad = {k: np.array([y]) for k in range(len(sets)) if (y := rng.randrange(len(sets))) != k}
+        refused = {frozenset((k, int(y[0]))) for k, y in bad.items()}
+        for k, y in list(refused and map(tuple, refused)):
+            bad[k], bad[y] = np.union1d(bad.get(k, []), [y]), np.union1d(bad.get(y, []), [k])
+        counts = [collections.Counter(s.tolist()) for s in sets]
+        may = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if root[a] != root[b] and tile[a] != tile[b] and frozenset((a, b)) not in refused and 185 * (counts[a] & counts[b]).total() >= 85 * (len(sets[a]) + len(sets[b]))]
+        got = forest(_Tokens([s.tobytes() for s in sets]), np.arange(len(sets)), root, 85, tile, bad)
+
+        def parts(pairs):
+            label = root.copy()
+            for a, b in pairs:
+                label[label == label[b]] = label[a]
+            return {frozenset(np.flatnonzero(label == x).tolist()) for x in label.tolist()}
+
+        assert {tuple(sorted(p)) for p in got} <= {*may} and parts(got) == parts(may) and len(got) < len(sets), case
