@@ -13,8 +13,8 @@ moved, inserted or deleted. Likeness is 1 for equal roots, else the Dice share o
 The next document is the one with the next smaller id (after the smallest: the largest). Ids
 are cut into runs of 64 consecutive values; a run is one window, and the last of each run takes
 its text from the run that follows, found on run numbers alone in three levels of at most 2**20
-values each. So no window holds more than 64 ids (rows that repeat one id share a window), and texts are shuffled once by run and once
-more for one in 64.
+values each. So no window holds more than 64 ids (rows that repeat one id share a window), texts are shuffled once by run and once
+more for one in 64, and each text's fingerprint is made once, for itself and as the next one's.
 
 Defined cases: null text is empty; null ids come after all others, ordered and parted by the
 hash of their text; rows that repeat an id are ordered by the hash of their text; a single row is
@@ -65,10 +65,20 @@ def leaves(fingerprint: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.substring_index(fingerprint, "/", -1), "[0-9a-f]{16}[:.]|[,;]", ""), F.lit(".{8}"), F.lit(0)))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    x, y = leaves(a), leaves(b)
+def _shared(x: Column, y: Column) -> Column:
+    """Dice share of two arrays of distinct leaves. Keep them in columns or variables, so that each is computed once."""
     n = F.size(x) + F.size(y)
-    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).when(n == 0, 0.0).otherwise(F.round(2 * F.size(F.array_intersect(x, y)) / n, 6))
+    return F.when(n == 0, 0.0).otherwise(F.round(2 * F.size(F.array_intersect(x, y)) / n, 6))
+
+
+def _distinct(t: Column) -> Column:
+    """Distinct shortened leaves of a tree."""
+    return F.array_distinct(F.transform(F.flatten(F.flatten(t)), lambda x: F.substring(x, 1, 8)))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    shared = _let(F.struct(leaves(a).alias("x"), leaves(b).alias("y")), lambda v: _shared(v["x"], v["y"]))
+    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).otherwise(shared)
 
 
 def _sections(fingerprint: Column) -> Column:
@@ -156,16 +166,24 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     i, t = name(id_col).cast("long"), F.coalesce(name(text_col).cast("string"), F.lit(""))
     tie = F.xxhash64(t)
     run = F.coalesce(F.shiftright(i, 6), F.lit(-(1 << 57) - 1) - F.shiftrightunsigned(tie, 48)).alias("run")
-    base = docs.select(i.alias("doc_id"), t.alias("text"), run, tie.alias("tie"))
-    order = Window.partitionBy("run").orderBy(F.desc_nulls_last("doc_id"), F.desc("tie"))
-    inner = base.select("doc_id", "text", "run", F.lead("text").over(order).alias("next"))
-    heads = base.withColumn("nth", F.row_number().over(order)).where("nth = 1").select(F.col("run").alias("next_run"), F.col("text").alias("next"))
-    ends = inner.where("next is null").drop("next").join(_following(docs.select(run, i.alias("x")).select("run").distinct()), "run").join(heads, "next_run").select("doc_id", "text", "run", "next")
-    pairs = inner.where("next is not null").unionByName(ends)
+    order = [F.desc_nulls_last("doc_id"), F.desc("tie")]
+    within = Window.partitionBy("run").orderBy(*order)
+    # the only shuffle of the texts: what follows on them is by run
+    base = docs.select(i.alias("doc_id"), t.alias("text"), run, tie.alias("tie")).repartition("run").sortWithinPartitions("run", *order)
+
+    def printed(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+        """``keep`` and fingerprint f, root r and distinct leaves l of a text, each computed once."""
+        n = rows.select(*keep, tree(F.col(text), piece).alias("tree")).select(*keep, nodes(F.col("tree")).alias("n"), _distinct(F.col("tree")).alias("l"))
+        return n.select(*keep, rendered(F.col("n")).alias("f"), "l").select(*keep, "f", "l", F.substring("f", 1, 64).alias("r"))
+
+    heads = printed(base.withColumn("nth", F.row_number().over(within)).where("nth = 1"), "text", "run", "text").select(F.col("run").alias("next_run"), F.col("text").alias("head"), F.col("l").alias("head_l"), F.col("r").alias("head_r"))
+    heads = _following(docs.select(run, i.alias("x")).select("run").distinct()).join(heads, "next_run").drop("next_run")
+    inner = printed(base, "text", "doc_id", "tie", "text", "run").withColumns({f"next_{c}": F.lead(c).over(within) for c in ("text", "l", "r")})
+    pairs = inner.join(heads, "run").select("doc_id", "text", F.coalesce("next_text", "head").alias("next"), "f", "l", "r", *(F.coalesce(f"next_{c}", f"head_{c}").alias(f"next_{c}") for c in "lr"))
     n = F.char_length("text")
     k = F.floor(n / 3).cast("int")
-    d = pairs.select("doc_id", "text", "next", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next"), F.lit(1), k)).alias("edited"))
-    d = d.select("doc_id", "n_chars", "edited", *(tree(F.col(c), piece).alias(f"t_{c}") for c in ("text", "edited", "next")))
-    d = d.select("doc_id", "n_chars", "edited", *(nodes(F.col(f"t_{c}")).alias(f"t_{c}") for c in ("text", "edited", "next")))
-    d = d.select("doc_id", "n_chars", "edited", rendered(F.col("t_text")).alias("fingerprint"), rendered(F.col("t_edited")).alias("edited_fingerprint"), rendered(F.col("t_next")).alias("next_fingerprint"))
-    return d.select("doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), first_difference(F.col("fingerprint"), F.col("edited_fingerprint")).alias("first_edit"))
+    d = pairs.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next"), F.lit(1), k)).alias("edited"), F.col("f").alias("fingerprint"), *(F.col(c).alias(f"own_{c}") for c in "lr"), "next_l", "next_r")
+    d = printed(d, "edited", *d.columns)
+    like = lambda side: F.when(F.col("own_r") == F.col(f"{side}r"), 1.0).otherwise(_shared(F.col("own_l"), F.col(f"{side}l")))
+    d = d.select("doc_id", "n_chars", "edited", "fingerprint", F.col("f").alias("edited_fingerprint"), like("").alias("near_edited"), like("next_").alias("near_next"))
+    return d.select("*", first_difference(F.col("fingerprint"), F.col("edited_fingerprint")).alias("first_edit"))

@@ -458,3 +458,33 @@ def test_forest_against_all_pairs():
             return {frozenset(np.flatnonzero(label == x).tolist()) for x in label.tolist()}
 
         assert {tuple(sorted(p)) for p in got} <= {*may} and parts(got) == parts(may) and len(got) < len(sets), case
+
+
+def test_fingerprints_once(spark):
+    """Texts are shuffled once, and likeness takes the leaves from the tree; pairs across runs of ids are right."""
+    from lexmill.llm.fingerprint import edited_fingerprints
+
+    rng, sc = random.Random(2), spark.sparkContext
+    texts = {i: f"{rng.getrandbits(6000):x}. {i}" for i in [*range(-70, 500), 10**9, 10**12, 2**62]}
+    rows = list(texts.items())
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+
+    def written():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = written()
+    df = edited_fingerprints(docs)
+    got = {r.doc_id: r for r in df.collect()}
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert written() - before < 1.3 * sum(map(len, texts.values()))
+    assert "regexp_extract_all(regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
+    ids = sorted(texts, reverse=True)
+    prints = {r.doc_id: r.fingerprint for r in fingerprints(docs).collect()}
+    for i, after in zip(ids, ids[1:] + ids[:1]):
+        t, r = texts[i], got[i]
+        assert r.edited == t[: len(t) - len(t) // 3] + texts[after][: len(t) // 3] and r.n_chars == len(t) and r.fingerprint == prints[i]
+    near = docs.sparkSession.createDataFrame([(i, prints[i], got[i].edited_fingerprint, prints[after]) for i, after in zip(ids, ids[1:] + ids[:1])], "i long, a string, b string, c string")
+    for r in near.select("i", likeness(F.col("a"), F.col("b")).alias("b"), likeness(F.col("a"), F.col("c")).alias("c")).collect():
+        assert (got[r.i].near_edited, got[r.i].near_next) == (r.b, r.c)
