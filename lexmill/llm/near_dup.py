@@ -124,7 +124,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
 
 
 #: Pairs of one centre that meet its value in one task; classes whose values are looked up by broadcast; bytes of short hashes in a tile.
-PAIRS, BROADCAST_CLASSES, TILE = 256, 1_000_000, 4 << 20
+PAIRS, BROADCAST_CLASSES, TILE = 256, 1_000_000, 2 << 20
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -187,12 +187,16 @@ class _Tokens:
     def __init__(self, shorts: list[bytes]):
         self.n = np.array([len(v) // 2 for v in shorts], np.int64)
         self.at = np.cumsum(self.n) - self.n
-        x = np.frombuffer(b"".join(shorts), "<u2").astype(np.int64)  # ascending in each set
+        x = np.frombuffer(b"".join(shorts), "<u2")  # ascending in each set
         new = np.ones(len(x), bool)
         new[1:] = x[1:] != x[:-1]
         new[self.at[self.n > 0]] = True
         first = np.flatnonzero(new)
-        self.token = x + ((np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))) << 16)
+        self.token = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+        if self.token.max(initial=0) < 1 << 15:
+            self.token = self.token.astype(np.int32)
+        self.token <<= 16
+        self.token += x
         self.flag = np.zeros(int(self.token.max(initial=0)) + 1, bool)
 
     def of(self, rows: np.ndarray) -> np.ndarray:
@@ -220,9 +224,9 @@ def _bounds(t: _Tokens, rows: np.ndarray, outside: int, percent: int):
         return
     tokens, n = t.of(rows), t.n[rows]
     ids, count = np.unique(tokens, return_counts=True)
-    column = np.searchsorted(ids, tokens)
+    column = np.searchsorted(ids, tokens).astype(np.int32)
     dense = count >= max(2, many / 4)
-    number, owner = np.cumsum(dense) - 1, np.repeat(np.arange(many), n)
+    number, owner = np.cumsum(dense) - 1, np.repeat(np.arange(many, dtype=np.int32), n)
     x = np.zeros((many, int(dense.sum())), np.float32)
     kept = dense[column]
     x[owner[kept], number[column[kept]]] = 1
@@ -293,11 +297,12 @@ def _joined(rest: DataFrame, failed: DataFrame | None, classes: DataFrame, sig:
         table = table.sort_by([("h", "ascending"), ("cls", "ascending")])
         h, cls, root, tile = (table.column(c).to_numpy() for c in ("h", "cls", "root", "tile"))
         across = tile if table.num_rows and table.column("a")[0] != table.column("b")[0] else None
-        t, bads, out = _Tokens(table.column("v").to_pylist()), table.column("bad").to_pylist(), []
+        v, bads, out = table.column("v"), table.column("bad"), []
         for at, end in zip(starts := np.flatnonzero(np.append(True, h[1:] != h[:-1])), np.append(starts[1:], len(h))):
-            rows = np.arange(at, end)
-            bad = {k: at + np.flatnonzero(np.isin(cls[at:end], bads[k])) for k in rows if bads[k]}
-            out += [(h[at], max(cls[x], cls[y]), min(cls[x], cls[y])) for x, y in forest(t, rows, root, percent, across, bad)]
+            ids, no = cls[at:end], bads[at:end].to_pylist()
+            bad = {k: np.flatnonzero(np.isin(ids, x)) for k, x in enumerate(no) if x}
+            found = forest(_Tokens(v[at:end].to_pylist()), np.arange(end - at), root[at:end], percent, across if across is None else across[at:end], bad)
+            out += [(h[at], max(ids[x], ids[y]), min(ids[x], ids[y])) for x, y in found]
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], schema=_FOUND)
 
     return r.groupBy("g", "a", "b").applyInArrow(kernel, "h long, m long, c long")
