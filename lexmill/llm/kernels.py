@@ -56,6 +56,12 @@ def bounded(batches, *columns: int, rows: int = 1024, size: int = 4 << 20):
             at = end
 
 
+def sliced(kernel, answer: pa.DataType, *columns: pa.Array, **limits) -> pa.Array:
+    """The answers of ``kernel`` to slices of the columns, bounded by the text of the first."""
+    whole = pa.RecordBatch.from_arrays([*columns], names=[str(k) for k in range(len(columns))])
+    return pa.concat_arrays([pa.array([], answer), *(kernel(*b.columns) for b in bounded([whole], 0, **limits))])
+
+
 def word_spans(data: np.ndarray, off: np.ndarray, delim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words by document) of the words of documents ``data[off[d]:off[d + 1]]``."""
     word = ~delim[data]

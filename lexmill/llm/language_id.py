@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .exchange import name
 from .features import DIM, mean_weights, shares, squared_hinge, trigram_bins
-from .kernels import bounded
+from .kernels import sliced
 
 #: Families by ISO 639-1 code; a language that isn't listed is its own family.
 FAMILIES = {c: f for f, cs in {"germanic": "en de nl sv da no nb nn is af fy lb yi", "romance": "fr es it pt ro ca gl oc la", "slavic": "ru uk pl cs sk bg sr hr sl mk be bs", "uralic": "fi hu et", "turkic": "tr az kk uz tk ky", "indic": "hi ur bn pa gu mr ne si", "semitic": "ar he mt am", "celtic": "cy ga gd br"}.items() for c in cs.split()}
@@ -111,28 +111,31 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return found.select(*(F.col("d").getField(c).alias(c) for c in docs.columns if c not in ("lang_pred", "score")), "lang_pred", "score")
 
 
-def identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """(d, lang_pred, score): each row as a struct, with its prediction."""
-    text = name(text_col).cast("string")
-    wide = docs.select(F.struct(*(name(c) for c in docs.columns)).alias("d"), text.alias("t"))
-    fields = docs.schema
-    schema = f"d {fields.simpleString()}, lang_pred string, score double"
+_PREDICTION = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
-    def kernel(batches):
-        for s in bounded(batches, 1, rows=2048):
-            texts = s.column(1)
-            lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
-            langs, score = [None] * s.num_rows, np.zeros(s.num_rows)
-            if model and s.num_rows:
-                if model.pairs:
-                    _, means = mean_weights(texts, (model.weights * SCALE).astype(np.float32), trigram_bins)
-                else:
-                    means = np.zeros((s.num_rows, 0))
-                langs, score = model.predict(means)
-            langs = [x if x and ok else "und" for x, ok in zip(langs, lettered)]
-            yield pa.RecordBatch.from_arrays([s.column(0), pa.array(langs, pa.string()), pa.array(np.where([x != "und" for x in langs], score, 0.0) if langs else score, pa.float64())], names=["d", "lang_pred", "score"])
-
-    return wide.mapInArrow(kernel, schema).select("d", "lang_pred", F.round("score", 6).alias("score"))
+
+def identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """(d, lang_pred, score): each row as a struct, with its prediction. Only texts go to Python, only predictions come back."""
+
+    def kernel(texts):
+        lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+        langs, score = [None] * len(texts), np.zeros(len(texts))
+        if model:
+            if model.pairs:
+                _, means = mean_weights(texts, (model.weights * SCALE).astype(np.float32), trigram_bins)
+            else:
+                means = np.zeros((len(texts), 0))
+            langs, score = model.predict(means)
+        langs = [x if x and ok else "und" for x, ok in zip(langs, lettered)]
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.where([x != "und" for x in langs], score, 0.0), pa.float64())], fields=list(_PREDICTION))
+
+    def predicted(texts: pa.Array) -> pa.Array:
+        return sliced(kernel, _PREDICTION, texts, rows=2048)
+
+    # "not deterministic" keeps Spark from predicting a text again wherever its prediction is read
+    predict = F.arrow_udf(predicted, "lang_pred string, score double").asNondeterministic()
+    found = docs.select(F.struct(*(name(c) for c in docs.columns)).alias("d"), predict(name(text_col).cast("string")).alias("p"))
+    return found.select("d", "p.lang_pred", F.round("p.score", 6).alias("score"))
 
 
 def held_out(id_col: str = "doc_id"):

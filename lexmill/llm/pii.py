@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import name
-from .kernels import bounded
+from .kernels import bounded, sliced
 from .scratch import discard, scratch
 
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -216,24 +216,29 @@ def _keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
 
 
+_SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+_EDGES = pa.list_(pa.struct([("pattern", pa.binary()), ("instance", pa.binary())]))
+_SEARCHED = pa.struct([("base", _SPANS), ("edges", _EDGES)])
+
+
 def _searched(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` as struct d, with the text's keys, base spans and the seeds' pattern edges."""
-    kept = docs.select(*map(name, keep)).schema.simpleString()
+    """Columns ``keep`` of ``docs`` as struct d, with the text's keys, base spans and the seeds' pattern edges. Only texts go to Python."""
     t = name(text_col).cast("string")
-    wide = docs.select(F.struct(*map(name, keep)).alias("d"), t.alias("t"), *_keys(t))
-    span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    edge = pa.list_(pa.struct([("pattern", pa.binary()), ("instance", pa.binary())]))
 
-    def kernel(batches):
-        for b in bounded(batches, 1):
-            spans, edges = [], []
-            for t in b.column(1).to_pylist():
-                base, raw = base_spans(t or ""), (t or "").encode()
-                spans.append([dict(zip(("kind", "start", "end"), x)) for x in base])
-                edges.append([{"pattern": p, "instance": _instance(raw[s:e])} for s, e in seeds_of(t or "", raw, base) for p in patterns_of(raw, s, e)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(spans, span), pa.array(edges, edge)], names=["d", "k1", "k2", "base", "edges"])
+    def kernel(texts):
+        spans, edges = [], []
+        for t in texts.to_pylist():
+            base, raw = base_spans(t or ""), (t or "").encode()
+            spans.append([dict(zip(("kind", "start", "end"), x)) for x in base])
+            edges.append([{"pattern": p, "instance": _instance(raw[s:e])} for s, e in seeds_of(t or "", raw, base) for p in patterns_of(raw, s, e)])
+        return pa.StructArray.from_arrays([pa.array(spans, _SPANS), pa.array(edges, _EDGES)], fields=list(_SEARCHED))
 
-    return wide.mapInArrow(kernel, f"d {kept}, k1 long, k2 long, base {_SPAN}, edges array<struct<pattern:binary,instance:binary>>")
+    def searched(texts: pa.Array) -> pa.Array:
+        return sliced(kernel, _SEARCHED, texts)
+
+    # "not deterministic" keeps Spark from searching a text again for each field that is read
+    search = F.arrow_udf(searched, f"base {_SPAN}, edges array<struct<pattern:binary,instance:binary>>").asNondeterministic()
+    return docs.select(F.struct(*map(name, keep)).alias("d"), *_keys(t), search(t).alias("s")).select("d", "k1", "k2", "s.base", "s.edges")
 
 
 def _frequencies(docs: DataFrame, text_col: str, patterns: DataFrame, few: bool) -> DataFrame:
@@ -348,8 +353,7 @@ def rendered(spans):
 
 def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with each span of its text replaced by its kind in angle brackets; overlapping spans merge."""
-    fields = docs.schema
-    found = find(docs, text_col, **options).select("d", F.col("d").getField(text_col).alias("t"), "spans")
+    found = find(docs, text_col, **options).select("d", F.col("d").getField(text_col).cast("string").alias("t"), "spans")
 
     def clean(text, spans):
         if text is None or not spans:
@@ -361,10 +365,13 @@ def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
             end = max(end, s["end"])
         return "".join([*out, text[end:]])
 
-    def kernel(batches):
-        for b in batches:
-            texts = [clean(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["d", "t"])
+    def kernel(texts, spans):
+        return pa.array([clean(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
+
+    def cleaned(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return sliced(kernel, pa.string(), texts, spans)
 
-    done = found.mapInArrow(kernel, f"d {fields.simpleString()}, t string")
+    # only texts with spans go to Python
+    replace = F.arrow_udf(cleaned, "string").asNondeterministic()
+    done = found.select("d", F.coalesce(replace(F.when(F.size("spans") > 0, F.col("t")), "spans"), "t").alias("t"))
     return done.select(*(F.col("t").alias(c) if c == text_col else F.col("d").getField(c).alias(c) for c in docs.columns))

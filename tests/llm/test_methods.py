@@ -488,3 +488,35 @@ def test_fingerprints_once(spark):
     near = docs.sparkSession.createDataFrame([(i, prints[i], got[i].edited_fingerprint, prints[after]) for i, after in zip(ids, ids[1:] + ids[:1])], "i long, a string, b string, c string")
     for r in near.select("i", likeness(F.col("a"), F.col("b")).alias("b"), likeness(F.col("a"), F.col("c")).alias("c")).collect():
         assert (got[r.i].near_edited, got[r.i].near_next) == (r.b, r.c)
+
+
+def python_traffic(df) -> tuple[int, int]:
+    """Bytes sent to and received from Python by a plan that has run."""
+    sent, got = 0, 0
+    nodes = [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
+            continue
+        metrics, children = node.metrics(), node.children()
+        if metrics.contains("pythonDataSent"):
+            sent, got = sent + metrics.apply("pythonDataSent").value(), got + metrics.apply("pythonDataReceived").value()
+        nodes += [children.apply(k) for k in range(children.size())]
+    return sent, got
+
+
+def test_rows_stay_out_of_python(spark):
+    """Language and personal data send each text to Python once at most, and no other column; texts come back only where they change."""
+    import corpus_pipeline as P
+    from lexmill.llm.pii import _searched, redact
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("ballast", F.repeat("text", 3))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    for made, once, back in ((P.language(spark, docs, SF), 1.1, 0.1), (_searched(docs, "text", docs.columns), 1.1, 0.2), (redact(docs), 0.9, 0.9)):
+        assert len(made.collect()) == docs.count()
+        sent, got = python_traffic(made)
+        assert 0 < sent < once * size and 0 < got < back * size
