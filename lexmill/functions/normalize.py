@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 _IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￸\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]")
-_SINGLE = str.maketrans(dict.fromkeys("‘’‚‛‟", "'"))
+_SINGLE = "‘’‚‛‟"
 
 
 def normalize(text: str, case: bool = True, compat: bool = True, quote: bool = True, ignorable: bool = True) -> str:
@@ -20,5 +20,6 @@ def normalize(text: str, case: bool = True, compat: bool = True, quote: bool = T
     if ignorable:
         text = _IGNORABLE.sub("", text)
     if quote:
-        text = text.translate(_SINGLE)
+        for mark in _SINGLE:
+            text = text.replace(mark, "'")
     return unicodedata.normalize("NFC", text)

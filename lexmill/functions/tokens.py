@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 from .normalize import normalize
 from .stem import stemmer
-from .words import CLASSES, LETTER, NONE, class_of, flat, scan
+from .words import CLASSES, LETTER, NONE, NUMBER, class_of, flat, kind_of, scan
+
+#: Words whose types a filter remembers.
+MEMO = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -47,6 +51,25 @@ class TokenSpec:
         return replace(self, drop=self.drop + types, stem_except=self.stem_except + (types if stem else ()))
 
 
+class _Memo(dict):
+    """What a function makes of characters."""
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __missing__(self, key):
+        out = self[key] = self.make(key)
+        return out
+
+
+def _leading(char: str) -> str | None:
+    """Class of a type that begins with this character, where that decides."""
+    return NUMBER if "0" <= char <= "9" else LETTER if char and unicodedata.category(char)[0] == "L" else None
+
+
+_SPACE = re.compile(r"[^\S\n]")
+
+
 @dataclass(eq=False)
 class Filter:
     """A spec made ready; keep one per worker."""
@@ -54,10 +77,13 @@ class Filter:
     spec: TokenSpec
     trie: dict = field(default_factory=dict)
     memo: dict = field(default_factory=dict)
+    by_word: dict = field(default_factory=dict)
+    leading: dict = field(default_factory=lambda: _Memo(_leading))
+    kinds: dict = field(default_factory=lambda: _Memo(kind_of))
 
     def __post_init__(self):
         s = self.spec
-        self.type = lru_cache(1 << 17)(s.map)
+        self.type = lru_cache(1 << 14)(s.map)
         self.stem = stemmer(s.stem) if s.stem else None
         self.unstemmed, self.dropped, self.kept = set(s.stem_except), set(s.drop), set(s.drop_except)
         for rule in s.combine:
@@ -68,9 +94,14 @@ class Filter:
                     node = node.setdefault(p, {})
                 node[None] = "".join(path)
 
-    @lru_cache(1 << 17)  # noqa: B019 - one filter per worker
     def first_class(self, type_: str) -> str:
-        return next((k for _, _, k in scan(type_) if k != NONE), NONE)
+        if k := self.leading[type_[:1]]:
+            return k
+        if type_ not in self.by_word:
+            if len(self.by_word) >= MEMO:
+                self.by_word.clear()
+            self.by_word[type_] = next((k for _, _, k in scan(type_) if k != NONE), NONE)
+        return self.by_word[type_]
 
     def drops(self, type_: str) -> bool:
         if type_ in self.kept:
@@ -83,6 +114,8 @@ class Filter:
     def stemmed(self, type_: str) -> str | None:
         if type_ in self.unstemmed:
             return type_
+        if type_.isascii() and type_.isalpha():
+            return self.stem(type_) or None
         words = list(scan(type_))
         if len(words) != 1 or words[0][2] != LETTER:
             return type_
@@ -113,20 +146,44 @@ class Filter:
             try:
                 type_ = memo[word]
             except KeyError:
-                if len(memo) > 1 << 20:
+                if len(memo) >= MEMO:
                     memo.clear()
                 type_ = memo[word] = self.final(word)
             if type_ is not None:
                 out.append(type_)
         return out
 
-    def final(self, word: str) -> str | None:
-        """What becomes of a single word; None if it is dropped."""
-        type_ = None if class_of(word) == NONE else self.type(word)
+    def mapped(self, words: list[str], kinds: list[str | None]) -> tuple[list[str], list[str | None], list[str]]:
+        """Types before combining, final types and classes of single words; a class that is given is kept.
+
+        The maps work on characters and their marks and words hold no line feed, so all words are mapped as one text.
+        """
+        if not words:
+            return [], [], []
+        one = self.spec.map("\n".join(words))
+        types = one.split("\n")
+        if len(types) != len(words):
+            types = [self.spec.map(w) for w in words]
+        kind = [k or self.kinds[w[0] if w[0] != "_" else next((c for c in w if c != "_"), "_")] for w, k in zip(words, kinds)]
+        if self.stem or _SPACE.search(one):
+            return types, [self.finished(t) for t in types], kind
+        drop = {NONE, *self.spec.drop_classes}
+        if not (self.dropped or self.kept):
+            final = [None if (self.leading[t[:1]] or self.first_class(t)) in drop else t for t in types]
+        else:
+            final = [None if self.drops(t) else t for t in types]
+        return types, final, kind
+
+    def finished(self, type_: str | None) -> str | None:
+        """A type stemmed, dropped or joined."""
         if type_ is not None and self.stem:
             type_ = self.stemmed(type_)
         return None if type_ is None or self.drops(type_) else re.sub(r"\s+", self.spec.connector, type_)
 
+    def final(self, word: str) -> str | None:
+        """What becomes of a single word; None if it is dropped."""
+        return self.finished(None if class_of(word) == NONE else self.type(word))
+
     def tokens(self, text: str) -> Iterator[tuple[int, int, str | None, str]]:
         """(start, end, type, class) of every word; the type is None for white space and dropped words."""
         words = list(scan(text))
@@ -138,11 +195,7 @@ class Filter:
             if type_ is not None and type_ in self.trie and (found := self._combined(words, types, at)):
                 type_, used = found
                 end = words[at + used - 1][1]
-            if type_ is not None and self.stem:
-                type_ = self.stemmed(type_)
-            if type_ is not None:
-                type_ = None if self.drops(type_) else re.sub(r"\s+", self.spec.connector, type_)
-            yield start, end, type_, kind
+            yield start, end, self.finished(type_), kind
             at += used
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tokens import TokenSpec
 from ..sources.saved import saved
+from .text import counted_runs
 
 
 def _weight(weight: str | Column | float) -> Column:
@@ -61,6 +63,12 @@ def ngrams(docs: DataFrame, n: int, types: str = "types", weight: str | Column |
     return each.groupBy("ngram").agg(F.sum("w").alias("weight")).select("ngram", F.size("ngram").alias("length"), "weight")
 
 
+def text_ngrams(df: DataFrame, n: int, text: str = "text", spec: TokenSpec = TokenSpec()) -> DataFrame:
+    """As ``ngrams`` over the types of texts, counted by parts of a partition first; they travel as strings."""
+    each = counted_runs(df, n, text, spec).groupBy("run", "length").agg(F.sum(_weight("n")).alias("weight"))
+    return each.select(F.split("run", "\n").alias("ngram"), "length", "weight")
+
+
 def weighted_ngrams(docs: DataFrame, n: int, items: str = "items") -> DataFrame:
     """As ``ngrams`` over arrays of (type, weight); an n-gram weighs what its last item does."""
     a = F.col(items)

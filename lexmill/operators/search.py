@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batch import Words, slices
 from ..functions.tokens import TokenSpec, filter_of
-from .text import tokens_of
+from .text import lists, tokens_of
 
 #: Terms are broadcast up to this many; a larger term table joins by shuffle.
 BROADCAST_TERMS = 100_000
@@ -41,32 +45,35 @@ _MATCH = "array<struct<term_id:int,start:int,size:int,end_pos:int,length:int>>"
 
 def matches(text: Column, terms: list[tuple[int, list[str]]], spec: TokenSpec = TokenSpec()) -> Column:
     """Array of matches in order of their last token, longest first; a trie is followed from tokens that start a term only."""
-    item = pa.struct([(c, pa.int32()) for c in ("term_id", "start", "size", "end_pos", "length")])
 
     @F.arrow_udf(_MATCH)
-    def kernel(texts: pa.Array) -> pa.Array:
+    def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trie: dict = {}
         for term, types in terms:
             node = trie
             for x in types:
                 node = node.setdefault(x, {})
             node[None] = term
-        f, out = filter_of(spec), []
-        for t in texts.to_pylist():
-            if t is None:
-                out.append(None)
-                continue
-            kept = [(a, b, x) for a, b, x, _ in f.tokens(t) if x is not None] if t else []
-            found = []
-            for i, (start, _, x) in enumerate(kept):
-                node, k = trie.get(x), i
-                while node is not None:
-                    if None in node:
-                        found.append((k, i - k - 1, node[None], start, kept[k][1]))
-                    k += 1
-                    node = node.get(kept[k][2]) if k < len(kept) else None
-            out.append([{"term_id": term, "start": start, "size": end - start, "end_pos": end, "length": -n} for _, n, term, start, end in sorted(found)])
-        return pa.array(out, pa.list_(item))
+        f = filter_of(spec)
+        for batch in batches:
+            for texts in slices(batch):
+                w = Words(texts, f)
+                starting = np.flatnonzero(np.array([x in trie for x in w.types], bool)[w.which]) if len(w.which) else np.zeros(0, np.int64)
+                doc = np.searchsorted(w.ends, starting, "right")
+                types, start, size, ends, found = w.types, w.start, w.size, w.ends.tolist(), []
+                for i, d in zip(starting.tolist(), doc.tolist()):
+                    node, k = trie[types[w.which[i]]], i
+                    while node is not None:
+                        if None in node:
+                            found.append((d, k, i - k - 1, node[None], i))
+                        k += 1
+                        node = node.get(types[w.which[k]]) if len(node) > (None in node) and k < ends[d] else None
+                found.sort()
+                d, k, n, term, i = np.array(found, np.int64).reshape(-1, 5).T
+                end = start[k] + size[k]
+                columns = [term, start[i], end - start[i], end, -n]
+                rows = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in columns], ["term_id", "start", "size", "end_pos", "length"])
+                yield lists(rows, np.searchsorted(d, np.arange(len(texts)), "right"), texts)
 
     return kernel.asNondeterministic()(text)
 

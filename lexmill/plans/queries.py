@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import TokenSpec
 from ..operators import counts as C
 from ..operators.search import BROADCAST_TERMS, occurrences, search, terms_frame
-from ..operators.text import sentences, spread, tokens, types_of
+from ..operators.text import counted_runs, first_places, sentences, spread, tokens, types_of
 from ..resources import stopwords, suppressions
 from ..sources import ndjson
 from . import json_queries, sentence_sql, stem_sql, text_queries
@@ -24,15 +24,16 @@ ENGLISH = tuple(stopwords("english"))
 
 
 def _types(spark, d, spec=TokenSpec(), table="documents"):
-    return _T(spark, d, table).select(F.explode(types_of(F.col("text"), spec)).alias("type"))
+    """(type, n): types of the texts with partial counts."""
+    return counted_runs(_T(spark, d, table), 1, spec=spec).select(F.col("run").alias("type"), "n")
 
 
 def term_census(spark, d):
-    return C.census(_types(spark, d)).select("item", F.col("weight").cast("long").alias("n"))
+    return C.census(_types(spark, d), weight="n").select("item", F.col("weight").cast("long").alias("n"))
 
 
 def term_topk(spark, d):
-    return C.census_sorted(C.census(_types(spark, d)), 50).select("item", F.col("weight").cast("long").alias("n"))
+    return C.census_sorted(C.census(_types(spark, d), weight="n"), 50).select("item", F.col("weight").cast("long").alias("n"))
 
 
 def doc_token_counts(spark, d):
@@ -41,20 +42,20 @@ def doc_token_counts(spark, d):
 
 
 def drop_classes(spark, d):
-    return C.census(_types(spark, d, TokenSpec(drop_classes=("punct", "symbol", "number")))).select("item", F.col("weight").cast("long").alias("n"))
+    return C.census(_types(spark, d, TokenSpec(drop_classes=("punct", "symbol", "number"))), weight="n").select("item", F.col("weight").cast("long").alias("n"))
 
 
 def stopword_drop(spark, d):
-    return C.census(_types(spark, d, TokenSpec(drop_classes=("punct", "symbol")).without(ENGLISH))).select("item", F.col("weight").cast("long").alias("n"))
+    return C.census(_types(spark, d, TokenSpec(drop_classes=("punct", "symbol")).without(ENGLISH)), weight="n").select("item", F.col("weight").cast("long").alias("n"))
 
 
 def drop_exception(spark, d):
-    return C.census(_types(spark, d, TokenSpec(drop_classes=("punct",), drop=("the", "of"), drop_except=("of", ".")))).select("item", F.col("weight").cast("long").alias("n"))
+    return C.census(_types(spark, d, TokenSpec(drop_classes=("punct",), drop=("the", "of"), drop_except=("of", "."))), weight="n").select("item", F.col("weight").cast("long").alias("n"))
 
 
 def combine_terms(spark, d):
     types = _types(spark, d, TokenSpec(combine=("of the", "in the", "gnu general public license")))
-    return C.census(types.where(F.col("type").contains("_"))).select("item", F.col("weight").cast("long").alias("n"))
+    return C.census(types.where(F.col("type").contains("_")), weight="n").select("item", F.col("weight").cast("long").alias("n"))
 
 
 def benchmark_ngrams(spark, d):
@@ -63,16 +64,16 @@ def benchmark_ngrams(spark, d):
 
 
 def document_bigram_count(spark, d):
-    docs = _T(spark, d, "documents").select(types_of(F.col("text")).alias("types"))
-    return C.ngrams(docs, 2).groupBy("length").agg(F.count("*").alias("n_distinct"), F.sum("weight").cast("long").alias("n"))
+    docs = _T(spark, d, "documents").select("text")
+    return C.text_ngrams(docs, 2).groupBy("length").agg(F.count("*").alias("n_distinct"), F.sum("weight").cast("long").alias("n"))
 
 
 def vocabulary(spark, d):
-    return C.vocabulary(tokens(_T(spark, d, "documents").select("text")).where("kind = 'letter'")).select("type", F.concat_ws(" ", "tokens").alias("tokens"))
+    return C.vocabulary(tokens(_T(spark, d, "documents").select("text"), fields=("token", "type", "kind")).where("kind = 'letter'")).select("type", F.concat_ws(" ", "tokens").alias("tokens"))
 
 
 def vocab_ids(spark, d):
-    return C.distinct_ids(tokens(_T(spark, d, "documents").select("doc_id", "text")), "type", ["doc_id", "pos"])
+    return C.distinct_ids(first_places(_T(spark, d, "documents"), "doc_id"), "type", ["doc_id", "pos"])
 
 
 def int_ids(spark, d):
@@ -108,7 +109,7 @@ def event_search(spark, d):
 
 def term_membership(spark, d):
     bench = _T(spark, d, "benchmark").select(F.explode(types_of(F.col("text"))).alias("type"))
-    return C.census(C.having(_types(spark, d), bench, ["type"], False)).select("item", F.col("weight").cast("long").alias("n"))
+    return C.census(C.having(_types(spark, d), bench, ["type"], False), weight="n").select("item", F.col("weight").cast("long").alias("n"))
 
 
 def json_get_k(spark, d):
@@ -133,16 +134,19 @@ def prefix_tree(spark, d):
     return C.prefix_tree(_T(spark, d, "benchmark").select(types_of(F.col("text")).alias("types")), "types").groupBy("depth").agg(F.count("*").alias("n_nodes"))
 
 
+_PLACES = ("start", "size", "kind")
+
+
 def document_sentences(spark, d):
-    return sentences(_T(spark, d, "documents").select("doc_id", "text")).select("doc_id", "pos", "start", "size", "kind")
+    return sentences(_T(spark, d, "documents").select("doc_id", "text"), fields=_PLACES).select("doc_id", "pos", "start", "size", "kind")
 
 
 def sentences_suppressed(spark, d):
-    return sentences(_T(spark, d, "conversations").select("conv_id", "turn", "text"), suppress="english").select("conv_id", "turn", "pos", "start", "size", "kind")
+    return sentences(_T(spark, d, "conversations").select("conv_id", "turn", "text"), suppress="english", fields=_PLACES).select("conv_id", "turn", "pos", "start", "size", "kind")
 
 
 def tokens_stemmed(spark, d):
-    return C.census(_types(spark, d, TokenSpec(drop_classes=("punct", "symbol"), stem="english").without(ENGLISH))).select("item", F.col("weight").cast("long").alias("n"))
+    return C.census(_types(spark, d, TokenSpec(drop_classes=("punct", "symbol"), stem="english").without(ENGLISH)), weight="n").select("item", F.col("weight").cast("long").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (term_census, term_topk, doc_token_counts, drop_classes, stopword_drop, drop_exception, combine_terms, benchmark_ngrams, document_bigram_count, vocabulary, vocab_ids, int_ids, text_search, event_census, event_bigrams, event_search, term_membership, json_get_k, json_scan_types, json_decode, json_fields, prefix_tree, document_sentences, sentences_suppressed, tokens_stemmed)} | json_queries.QUERIES | text_queries.QUERIES

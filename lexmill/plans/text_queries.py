@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import TokenSpec
 from ..operators import counts as C
 from ..operators.search import search, terms_frame
-from ..operators.text import break_classes_of, sentences, spread, tokens, types_of, width_of
+from ..operators.text import break_classes_of, counted_runs, sentences, spread, tokens, types_of, width_of
 from ..resources import stopword_names, stopwords
 from . import sentence_sql
 
@@ -20,13 +20,13 @@ def _docs(spark, d, table="documents", *columns):
 
 
 def token_spans(spark, d):
-    t = tokens(_docs(spark, d))
+    t = tokens(_docs(spark, d), fields=("start", "size"))
     total = lambda c: F.sum(c.cast("long"))
     return t.groupBy("doc_id").agg(F.count("*").alias("n"), total(F.col("start")).alias("starts"), total(F.col("size")).alias("sizes"), total(F.col("pos").cast("long") * F.col("start")).alias("places"))
 
 
 def token_kinds(spark, d):
-    return tokens(_docs(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+    return tokens(_docs(spark, d), fields=("kind",)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def word_break_classes(spark, d):
@@ -43,8 +43,8 @@ def normalized_types(spark, d):
     t = F.col("text")
     for a, b in (("i", "\ufb01"), ("n", "n\u00ad"), ("\u00e9", "e\u0301"), ('"', "\u2019")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    types = _docs(spark, d).select(F.explode(types_of(t)).alias("type"))
-    return C.census(types).select("item", F.col("weight").cast("long").alias("n"))
+    types = counted_runs(_docs(spark, d).select(t.alias("text")), 1)
+    return C.census(types, "run", "n").select("item", F.col("weight").cast("long").alias("n"))
 
 
 def first_four(word: str) -> str:
@@ -53,13 +53,13 @@ def first_four(word: str) -> str:
 
 
 def user_stems(spark, d):
-    types = types_of(F.col("text"), TokenSpec(stem=first_four, stem_except=("where", "therefore", "eines")))
-    return C.census(_docs(spark, d).select(F.explode(types).alias("type"))).select("item", F.col("weight").cast("long").alias("n"))
+    types = counted_runs(_docs(spark, d), 1, spec=TokenSpec(stem=first_four, stem_except=("where", "therefore", "eines")))
+    return C.census(types, "run", "n").select("item", F.col("weight").cast("long").alias("n"))
 
 
 def combined_spans(spark, d):
     """Combined words with another connector, where they stand."""
-    t = tokens(_docs(spark, d), spec=TokenSpec(combine=("of the", "in the", "gnu general public license"), connector="+")).where(F.col("type").contains("+") & (F.length("type") > 1))
+    t = tokens(_docs(spark, d), spec=TokenSpec(combine=("of the", "in the", "gnu general public license"), connector="+"), fields=("start", "size", "type")).where(F.col("type").contains("+") & (F.length("type") > 1))
     return t.select("doc_id", "start", "size", "type")
 
 
@@ -129,7 +129,7 @@ SAMPLES = {
 
 
 def sentences_glued(spark, d):
-    found = sentences(_docs(spark, d), suppress=GLUED)
+    found = sentences(_docs(spark, d), suppress=GLUED, fields=("start", "size", "kind"))
     return found.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"), "kind")
 
 
