@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batch import slices
 from . import jsontype as J
 
 
@@ -16,6 +19,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path)
 
 
+_FIELD = "array<struct<name:string,value:string>>"
+_ARROW = {"string": pa.string(), "array<string>": pa.list_(pa.string()), _FIELD: pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))}
+
+
 def _kernel(f, schema: str, mode: str):
     def one(line):
         try:
@@ -25,9 +32,11 @@ def _kernel(f, schema: str, mode: str):
                 raise ValueError(str(e)) from None
             return None
 
-    @F.pandas_udf(schema)
-    def kernel(lines: pd.Series) -> pd.Series:
-        return lines.map(one)
+    @F.arrow_udf(schema)
+    def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for lines in slices(batch):
+                yield pa.array(map(one, lines), _ARROW[schema])
 
     return kernel.asNondeterministic()  # else Catalyst may call it more than once per row
 
@@ -89,7 +98,7 @@ def fields_of(line: Column, mode: str = "FAILFAST") -> Column:
         t, spans = J.scan(s)
         return [{"name": k, "value": s[a:b]} for k, (a, b) in spans.items()] if t.kind == "record" else None
 
-    return _kernel(walk, "array<struct<name:string,value:string>>", mode)(line)
+    return _kernel(walk, _FIELD, mode)(line)
 
 
 def n_fields(line: Column, mode: str = "FAILFAST") -> Column:
@@ -140,10 +149,13 @@ def text_array(items: Column, raw: bool = False) -> Column:
     string's source, whose escapes pass through untouched.
     """
 
-    @F.pandas_udf("string")
-    def kernel(rows: pd.Series) -> pd.Series:
-        one = (lambda t: f'"{t}"') if raw else json.dumps
-        return rows.map(lambda r: "null" if r is None else "[" + ", ".join(map(one, r)) + "]")
+    one = (lambda t: f'"{t}"') if raw else json.dumps
+
+    @F.arrow_udf("string")
+    def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for rows in slices(batch):
+                yield pa.array(["null" if r is None else "[" + ", ".join(map(one, r)) + "]" for r in rows], pa.string())
 
     return kernel(items)
 
